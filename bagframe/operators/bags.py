@@ -49,6 +49,7 @@ def attention_logits(tiles: DataFrame, weights: dict[str, np.ndarray], feat: str
                 a = a + m["d"]
             yield pd.Series(list(a))
 
+    tiles = tiles.drop("cls")
     x = tiles.withColumn("__a", logits(F.col(feat)))
     if heads == 1:
         return x.withColumn("cls", F.lit(0)).withColumn("a_raw", F.col("__a")[0]).drop("__a")

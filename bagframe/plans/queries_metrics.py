@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from bagframe.functions import labels as L
 from bagframe.operators import binary as B
+from bagframe.operators import cohort as C
 from bagframe.operators import groups as G
 from bagframe.operators import multiclass as M
 from bagframe.operators import predict as P
+from bagframe.operators import profile as PR
 from bagframe.operators.spec import CohortSpec, TrainType
 from bagframe.plans import fixtures as fx
 from bagframe.plans.registry import query
@@ -587,14 +589,11 @@ def _(spark, sf):
     return fx.preds3(spark, sf).withColumn("risk", L.row_mean(THREE.out_cols))
 
 
-@query("score_columns", "column:s kind:s",
-       "select * from (values ('out0', 'out'), ('out1', 'out'), ('pred0', 'pred'), ('pred1', 'pred')) t(\"column\", kind) where (select count(*) from preds) > 0",
-       "preds")
+@query("score_column_means", "var:s mean:d",
+       """select 'out0' as var, avg(out0) as mean from preds union all select 'out1', avg(out1) from preds
+          union all select 'pred0', avg(cast(out0 >= out1 as integer)) from preds
+          union all select 'pred1', avg(cast(out1 > out0 as integer)) from preds""", "preds")
 def _(spark, sf):
-    """Columns found by prefix: pred_ columns are not predictions."""
-    from bagframe.operators.cohort import out_columns, pred_columns
-
+    """Means of the score and prediction columns found by prefix (pred_ columns are not predictions)."""
     df = P.add_predictions(fx.preds(spark, sf), BINARY)
-    found = [("out", c) for c in out_columns(df, BINARY)] + [("pred", c) for c in pred_columns(df, BINARY)]
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind")) for k, c in found])
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.explode(items).alias("r")).select("r.*")
+    return PR.column_stats(df, C.out_columns(df, BINARY) + C.pred_columns(df, BINARY))
