@@ -166,6 +166,9 @@ def contour_distances(contours: DataFrame, within: float, file: str = "file", na
     return j.groupBy(F.col("file").alias(file), "a", "b").agg(F.min("distance").alias("distance"))
 
 
+CROWDED = 256
+
+
 def _overlap_links(boxes: DataFrame, group: str) -> DataFrame:
     """(group, id, other): for every box at most a few boxes it strictly overlaps; none only if no two overlap.
 
@@ -201,9 +204,15 @@ def _probes(boxes: DataFrame, group: str) -> DataFrame:
     return b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
 
 
+def _thin(boxes: DataFrame, group: str) -> bool:
+    """Whether no grid cell holds so many boxes that listing its overlapping pairs would be expensive."""
+    top = _probes(boxes, group).groupBy(group, "level", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return top is None or top <= CROWDED
+
+
 def _exact_links(boxes: DataFrame, group: str) -> DataFrame:
-    """All strictly overlapping pairs. Used when the linear links are exhausted: what is left are nearly disjoint
-    boxes, of which only few can share a cell of their own size."""
+    """All strictly overlapping pairs. Used when cells are thinly populated, or when the linear links are exhausted:
+    what is left then are nearly disjoint boxes, of which only few can share a cell of their own size."""
     x = _probes(boxes, group)
     cellkey = [group, "level", "cx", "cy"]
     big = x.where(F.col("own") == F.col("level")).select(*cellkey, F.struct("id", "x0", "y0", "x1", "y1").alias("o"))
@@ -216,16 +225,19 @@ def connected_labels(nodes: DataFrame, links: DataFrame, group: str, max_rounds:
     One count per round comes to the driver; every round is checkpointed."""
     edges = cut_lineage(links.select(group, F.col("id").alias("a"), F.col("other").alias("b")).unionByName(
         links.select(group, F.col("other").alias("a"), F.col("id").alias("b"))).distinct())
-    lab = cut_lineage(nodes.select(group, "id", F.col("id").alias("root")))
-    for _ in range(max_rounds):
+    lab = nodes.select(group, "id", F.col("id").alias("root"))
+
+    def step(lab: DataFrame) -> DataFrame:
         heard = edges.join(lab.select(group, F.col("id").alias("b"), "root"), [group, "b"]).groupBy(
             group, F.col("a").alias("id")).agg(F.min("root").alias("__m"))
-        nxt = lab.join(heard, [group, "id"], "left").withColumn("__r", F.least("root", F.coalesce("__m", F.col("root"))))
+        near = lab.join(heard, [group, "id"], "left").withColumn("__r", F.least("root", F.coalesce("__m", F.col("root"))))
         jump = lab.select(group, F.col("id").alias("__r"), F.col("root").alias("__rr"))
-        nxt = cut_lineage(nxt.join(jump, [group, "__r"]).select(
-            group, "id", F.least("__r", "__rr").alias("root"), (F.least("__r", "__rr") != F.col("root")).alias("moved")))
-        lab = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
+        return near.join(jump, [group, "__r"]).select(group, "id", F.least("__r", "__rr").alias("root"), F.col("root").alias("was"))
+
+    for _ in range(max_rounds):
+        done = cut_lineage(step(step(lab).drop("was")))
+        lab = done.drop("was")
+        if done.where("root <> was").isEmpty():
             return lab
     raise RuntimeError("label propagation did not settle")
 
@@ -240,10 +252,10 @@ def merge_boxes(boxes: DataFrame, group: str = "file", id_col: str = "id", max_r
         F.col(group), F.col(id_col).alias("id"), F.col("col").cast("double").alias("x0"), F.col("row").cast("double").alias("y0"),
         (F.col("col") + F.col("w")).cast("double").alias("x1"), (F.col("row") + F.col("h")).cast("double").alias("y1")))
     for _ in range(max_rounds):
-        links = cut_lineage(_overlap_links(x, group))
-        if not links.limit(1).count():
+        links = cut_lineage(_exact_links(x, group) if _thin(x, group) else _overlap_links(x, group))
+        if links.isEmpty():
             links = cut_lineage(_exact_links(x, group))
-            if not links.limit(1).count():
+            if links.isEmpty():
                 return x.select(group, F.col("id").alias(id_col), F.col("y0").alias("row"), F.col("x0").alias("col"),
                                 (F.col("y1") - F.col("y0")).alias("h"), (F.col("x1") - F.col("x0")).alias("w"))
         lab = connected_labels(x, links, group)

@@ -51,9 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the step survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a step of an iterative operator to the shared folder and read it back.
+
+    The table survives the loss of any executor. A written table is used instead of ``checkpoint()`` because that
+    carries the constraints of the old plan along, which makes planning slower with every round.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def default_blocks(spark: SparkSession) -> int:

@@ -69,7 +69,8 @@ def filter_paths(df: DataFrame, path: str = "path", containing_any=None, contain
     if ignore_dots and not ignore_case:
         keep.append(~S.file_name(p).startswith("."))
     if depth is not None:
-        below = F.size(F.split(F.substr(p, F.lit(len(root.rstrip("/")) + 2)), "/"))
+        start = len(root if root.endswith("/") else root + "/") + 1
+        below = F.size(F.split(F.substr(p, F.lit(start)), "/"))
         keep.append(below <= depth)
     return df.where(reduce(lambda a, b: a & b, keep))
 
