@@ -44,13 +44,16 @@ def midranks(df: DataFrame, value: str, group: Sequence[str] = (), blocks: int |
     return s.select(*group, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("midrank"))
 
 
-def auc_from_scan(scan: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """AUC with ties counted one half (Mann-Whitney); NULL when a group has only one class."""
+def _auc() -> Column:
+    """Aggregate over a score scan: Mann-Whitney with ties counted one half."""
     wins = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
-    pairs = F.max(F.col("total_pos").cast("double") * F.col("total_neg"))
+    return ratio(F.sum(wins), F.max(F.col("total_pos").cast("double") * F.col("total_neg")))
+
+
+def auc_from_scan(scan: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group..., auc, n_pos, n); the AUC is NULL when a group has only one class."""
     return scan.groupBy(*group).agg(
-        ratio(F.sum(wins), pairs).alias("auc"), F.max("total_pos").alias("n_pos"),
-        F.max(F.col("total_pos") + F.col("total_neg")).alias("n"))
+        _auc().alias("auc"), F.max("total_pos").alias("n_pos"), F.max(F.col("total_pos") + F.col("total_neg")).alias("n"))
 
 
 def roc_auc(df: DataFrame, target: str, score: str, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
@@ -70,6 +73,20 @@ def auc_by_predictor(df: DataFrame, target: str, predictors: Sequence[str], grou
     return roc_auc(long, "target", "score", [*group, "predictor"])
 
 
+def _is_first() -> Column:
+    return F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+
+
+def _is_kept() -> Column:
+    """Whether a scan row stays on the ROC curve when equally spaced collinear points are left out."""
+    same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+    return _is_first() | F.col("next_pos").isNull() | ~same
+
+
+def _start_threshold(top_score: Column) -> Column:
+    return F.when(top_score < 1, F.lit(1.0)).otherwise(F.lit(float("inf")))
+
+
 def roc_from_scan(scan: DataFrame, group: Sequence[str] = (), drop_intermediate: bool = True) -> DataFrame:
     """ROC points (group..., threshold, tps, fps, tpr, fpr) from a score scan.
 
@@ -78,15 +95,13 @@ def roc_from_scan(scan: DataFrame, group: Sequence[str] = (), drop_intermediate:
     threshold; the first and last points always stay. The starting point (0, 0) has threshold infinity, or 1 when
     all scores are below 1.
     """
-    last, first = F.col("next_pos").isNull(), F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
     if drop_intermediate:
-        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
-        scan = scan.where(first | last | ~same)
+        scan = scan.where(_is_kept())
+    zero = F.lit(0).cast("long")
     point = F.struct(F.col("score").alias("threshold"), F.col("cum_pos").cast("long").alias("tps"),
                      F.col("cum_neg").cast("long").alias("fps"))
-    start = F.when(F.col("score") < 1, F.lit(1.0)).otherwise(F.lit(float("inf")))
-    origin = F.struct(start.alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"))
-    points = F.when(first, F.array(origin, point)).otherwise(F.array(point))
+    origin = F.struct(_start_threshold(F.col("score")).alias("threshold"), zero.alias("tps"), zero.alias("fps"))
+    points = F.when(_is_first(), F.array(origin, point)).otherwise(F.array(point))
     return scan.select(*group, "total_pos", "total_neg", F.explode(points).alias("p")).select(
         *group, "p.threshold", "p.tps", "p.fps", ratio(F.col("p.tps"), F.col("total_pos")).alias("tpr"),
         ratio(F.col("p.fps"), F.col("total_neg")).alias("fpr"))
@@ -98,11 +113,11 @@ def roc_curve(df: DataFrame, target: str, score: str, group: Sequence[str] = (),
     return roc_from_scan(scan, group, drop_intermediate)
 
 
-def criterion_value(criterion: str = "gmean", weight: Column | float | None = None) -> Column:
-    """Threshold criterion over the columns tpr and fpr. ``weight`` is the weight of sensitivity over specificity."""
-    tpr, tnr = F.col("tpr"), 1 - F.col("fpr")
+def criterion_value(criterion: str, weight: Column | float | None, tpr: Column, fpr: Column) -> Column:
+    """Threshold criterion: g-mean or Youden. ``weight`` is the weight of sensitivity over specificity."""
+    tnr = 1 - fpr
     if weight is None:
-        return F.sqrt(tpr * tnr) if criterion == "gmean" else tpr - F.col("fpr")
+        return F.sqrt(tpr * tnr) if criterion == "gmean" else tpr - fpr
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     w_sens = w / (w + 1)
     if criterion == "gmean":
@@ -110,16 +125,34 @@ def criterion_value(criterion: str = "gmean", weight: Column | float | None = No
     return 2 * (w_sens * tpr + (1 - w_sens) * tnr) - 1
 
 
+def _candidate(criterion: str, weight: Column | float | None, threshold: Column, tpr: Column, fpr: Column) -> Column:
+    """Ordered so that the maximum is the best criterion, then the highest threshold."""
+    value = F.round(criterion_value(criterion, weight, tpr, fpr), 12)
+    return F.struct(value.alias("criterion"), threshold.alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"))
+
+
 def best_threshold(roc: DataFrame, group: Sequence[str] = (), criterion: str = "gmean",
                    weight: Column | float | None = None) -> DataFrame:
     """(group..., threshold, criterion, tpr, fpr) at the maximum; ties go to the highest threshold."""
-    value = F.round(criterion_value(criterion, weight), 12)
-    best = F.max(F.struct(value.alias("criterion"), F.col("threshold"), F.col("tpr"), F.col("fpr")))
+    best = F.max(_candidate(criterion, weight, F.col("threshold"), F.col("tpr"), F.col("fpr")))
     scored = roc.where(F.col("tpr").isNotNull() & F.col("fpr").isNotNull())
     return scored.groupBy(*group).agg(best.alias("b")).select(
         *group, "b.threshold", "b.criterion", "b.tpr", "b.fpr")
 
 
+def group_statistics(scan: DataFrame, group: Sequence[str] = (), criterion: str = "gmean",
+                     weight: Column | float | None = None) -> DataFrame:
+    """(group..., auc, best) in one aggregate over a score scan: AUC and the best ROC point as a struct (criterion,
+    threshold, tpr, fpr); both NULL with one class only."""
+    tpr, fpr = ratio(F.col("cum_pos"), F.col("total_pos")), ratio(F.col("cum_neg"), F.col("total_neg"))
+    usable = _is_kept() & (F.col("total_pos") > 0) & (F.col("total_neg") > 0)
+    a = scan.groupBy(*group).agg(
+        _auc().alias("auc"), F.max("score").alias("__top"),
+        F.max(F.when(usable, _candidate(criterion, weight, F.col("score"), tpr, fpr))).alias("__best"))
+    origin = _candidate(criterion, weight, _start_threshold(F.col("__top")), F.lit(0.0), F.lit(0.0))
+    return a.select(*group, "auc", F.when(F.col("__best").isNotNull(), F.greatest("__best", origin)).alias("best"))
+
+
 def threshold_scores(score: str, threshold: Column | float) -> Column:
     """0/1 prediction: at or above the threshold."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
@@ -133,6 +166,18 @@ def confusion_counts(df: DataFrame, target: str, pred: str, group: Sequence[str]
         F.count_if(t & ~p).alias("fn"), F.count_if(t & p).alias("tp"))
 
 
+def _threshold_counts() -> list[Column]:
+    """Aggregates over score counts with a threshold column: confusion (>=) and strict contingency (>) counts."""
+    at, over = F.col("score") >= F.col("threshold"), F.col("score") > F.col("threshold")
+
+    def total(c: str, cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col(c)).when(~cond, 0)).cast("long")
+
+    return [total("neg", ~at).alias("tn"), total("neg", at).alias("fp"), total("pos", ~at).alias("fn"),
+            total("pos", at).alias("tp"), total("neg", ~over).alias("low_neg"), total("neg", over).alias("high_neg"),
+            total("pos", ~over).alias("low_pos"), total("pos", over).alias("high_pos")]
+
+
 def confusion_at(counts: DataFrame, thresholds: DataFrame, group: Sequence[str] = (),
                  on: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Confusion counts and the strict (> threshold) contingency per group, from score counts.
@@ -144,16 +189,7 @@ def confusion_at(counts: DataFrame, thresholds: DataFrame, group: Sequence[str]
         x = counts.join(thresholds.select(*on, "threshold"), list(on), how)
     else:
         x = counts.withColumn("threshold", thresholds.select("threshold").scalar())
-    at, over = F.col("score") >= F.col("threshold"), F.col("score") > F.col("threshold")
-
-    def total(c: str, cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col(c)).when(~cond, 0)).cast("long")
-
-    return x.groupBy(*group).agg(
-        F.max("threshold").alias("threshold"), total("neg", ~at).alias("tn"), total("neg", at).alias("fp"),
-        total("pos", ~at).alias("fn"), total("pos", at).alias("tp"),
-        total("neg", ~over).alias("low_neg"), total("neg", over).alias("high_neg"),
-        total("pos", ~over).alias("low_pos"), total("pos", over).alias("high_pos"))
+    return x.groupBy(*group).agg(F.max("threshold").alias("threshold"), *_threshold_counts())
 
 
 def binary_scores(tn: str = "tn", fp: str = "fp", fn: str = "fn", tp: str = "tp") -> list[Column]:
@@ -225,18 +261,21 @@ def report_from_counts(counts: DataFrame, group: Sequence[str] = (), threshold:
     group = list(group)
     scan = scan_scores(counts, group, blocks)
     if threshold is not None:
-        found, on = counts.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold")), []
-    elif threshold_from is not None:
-        on = list(threshold_on)
-        found = best_threshold(roc_from_scan(scan.where(threshold_from), group), on, criterion, weight)
+        x = scan.withColumn("threshold", F.lit(float(threshold)))
     else:
-        found, on = best_threshold(roc_from_scan(scan, group), group, criterion, weight), group
-    cm = confusion_at(counts, found, group, on, how="left")
+        best = group_statistics(scan, group, criterion, weight).select(*group, "best")
+        if threshold_from is not None:
+            # a condition inside the aggregate, not a filter: a filter would be pushed below the scan and make Spark
+            # compute the scan a second time for the chosen groups
+            on = list(threshold_on)
+            found = best.groupBy(*on).agg(F.max(F.when(threshold_from, F.col("best")))["threshold"].alias("threshold"))
+        else:
+            on, found = group, best.select(*group, F.col("best.threshold").alias("threshold"))
+        x = scan.join(found, on, "left") if on else scan.withColumn("threshold", found.scalar())
+    rep = x.groupBy(*group).agg(_auc().alias("auc"), F.max("threshold").alias("threshold"), *_threshold_counts())
     cells = [F.col(c) for c in ("low_neg", "high_neg", "low_pos", "high_pos")]
-    cm = _with_chi2(cm, cells, "chi2", "chi2_dof", "p_thresh")
-    rep = cm.select(*group, "threshold", "tn", "fp", "fn", "tp", "chi2", "p_thresh", *binary_scores())
-    auc = auc_from_scan(scan, group).select(*group, "auc")
-    return rep.join(auc, group) if group else rep.withColumn("auc", auc.scalar())
+    rep = _with_chi2(rep, cells, "chi2", "chi2_dof", "p_thresh")
+    return rep.select(*group, "threshold", "tn", "fp", "fn", "tp", "chi2", "p_thresh", *binary_scores(), "auc")
 
 
 def calibration(df: DataFrame, target: str, score: str, group: Sequence[str] = (), bins: int = 10) -> DataFrame:

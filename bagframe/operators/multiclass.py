@@ -37,7 +37,8 @@ def class_thresholds(df: DataFrame, spec: CohortSpec, split: str = "validation",
     if weights:
         w = reduce(lambda e, kv: e.when(F.col("class") == kv[0], F.lit(float(kv[1]))), weights.items(),
                    F.when(F.lit(False), F.lit(1.0))).otherwise(F.lit(1.0))
-    return B.best_threshold(B.roc_from_scan(scan, ["class"]), ["class"], criterion, w).select("class", "threshold")
+    stats = B.group_statistics(scan, ["class"], criterion, w)
+    return stats.where(F.col("best").isNotNull()).select("class", F.col("best.threshold").alias("threshold"))
 
 
 def class_report(df: DataFrame, spec: CohortSpec, group: Sequence[str] = ("split",), split: str = "validation",

@@ -24,12 +24,18 @@ from bagframe.session import default_blocks
 BLOCK = "__block"
 
 
-def with_blocks(df: DataFrame, key: str, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Add the range number of ``key`` within its group. Ranges are ascending and hold similar row counts."""
+def with_blocks(df: DataFrame, key: str, group: Sequence[str] = (), blocks: int | None = None,
+                shared: Sequence[str] = ()) -> DataFrame:
+    """Add the range number of ``key`` within its group. Ranges are ascending and hold similar row counts.
+
+    The sketch pass mentions the ``shared`` columns (in a condition that always holds), so that column pruning leaves
+    it the same pre-aggregation shuffle as the main pass, and Spark runs that shuffle once for both.
+    """
     n = blocks or default_blocks(df.sparkSession)
     if n <= 1:
         return df.withColumn(BLOCK, F.lit(0))
-    cuts = F.percentile_approx(F.col(key), [i / n for i in range(1, n)], F.lit(max(1000, 20 * n)))
+    value = F.when(F.hash(*shared) % 2 < 2, F.col(key)) if shared else F.col(key)
+    cuts = F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(max(1000, 20 * n)))
     if group:
         bounds = df.groupBy(*group).agg(cuts.alias("__cuts"))
         df = df.join(bounds, list(group))
@@ -64,7 +70,7 @@ def ordered_scan(
     if block_expr is not None:
         x = df.withColumn(BLOCK, block_expr)
     else:
-        x = with_blocks(df, key, group if bounds_group is None else list(bounds_group), blocks)
+        x = with_blocks(df, key, group if bounds_group is None else list(bounds_group), blocks, [*sums, *next_cols])
 
     def ordering(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
