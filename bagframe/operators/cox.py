@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagframe.functions.stats import chi2_sf
-from bagframe.operators.scan import ordered_scan
+from bagframe.operators.scan import BLOCK, ordered_scan
 from bagframe.operators.survival import concordance
 from bagframe.session import default_blocks
 
@@ -151,11 +151,13 @@ def cox_summary(df: DataFrame, duration: str, event: str, covariates: Sequence[s
 
 
 def baseline_hazard(df: DataFrame, model: CoxModel, duration: str, event: str) -> DataFrame:
-    """(time, hazard, cumulative): Breslow baseline at every distinct time."""
+    """(time, hazard, cumulative, place): Breslow baseline at every distinct time, numbered from 1."""
     t = df.groupBy(F.col(duration).cast("double").alias("time")).agg(
         F.sum(F.exp(model.log_hazard())).alias("r"), F.count_if(F.col(event) == 1).cast("double").alias("d"))
-    t = ordered_scan(t, "time", [], ["r"], descending=True).select("time", (F.col("d") / F.col("cum_r")).alias("hazard"))
-    return ordered_scan(t, "time", [], ["hazard"]).select("time", "hazard", F.col("cum_hazard").alias("cumulative"))
+    t = ordered_scan(t, "time", [], ["r"], descending=True, keep_block=True).select(
+        "time", BLOCK, (F.col("d") / F.col("cum_r")).alias("hazard"), F.lit(1).cast("long").alias("one"))
+    t = ordered_scan(t, "time", [], ["hazard", "one"], block_expr=F.col(BLOCK), keep_block=True)
+    return t.select("time", BLOCK, "hazard", F.col("cum_hazard").alias("cumulative"), F.col("cum_one").alias("place"))
 
 
 def expected_lifetime(df: DataFrame, model: CoxModel, duration: str, event: str, id_col: str, chunk: int = 1024) -> DataFrame:
@@ -165,15 +167,17 @@ def expected_lifetime(df: DataFrame, model: CoxModel, duration: str, event: str,
     the partial areas are added up, so no task needs the whole baseline.
     """
     complete = df.dropna(subset=[duration, event, *model.covariates])
-    base = baseline_hazard(complete, model, duration, event).withColumn("one", F.lit(1).cast("long"))
-    base = ordered_scan(base, "time", [], ["one"], next_cols=["time", "cumulative"])
-    base = base.where(F.col("next_time").isNotNull()).withColumn("chunk", F.floor((F.col("cum_one") - 1) / chunk))
-    pieces = base.groupBy("chunk").agg(F.collect_list(F.struct(
-        F.col("cumulative").alias("h0"), F.col("next_cumulative").alias("h1"),
-        (F.col("next_time") - F.col("time")).alias("w"))).alias("pieces"))
-    n_chunks = base.agg(F.max("chunk")).scalar()
+    base = baseline_hazard(complete, model, duration, event)
+    base = base.withColumn("point", F.struct("place", "time", "cumulative"))
+    # a chunk also holds the first point of the next one, so every interval lies in exactly one chunk
+    home, last = F.floor((F.col("place") - 1) / chunk), (F.col("place") - 1) % chunk == 0
+    both = F.when(last & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    pieces = base.select(F.explode(both).alias("chunk"), "point").groupBy("chunk").agg(
+        F.array_sort(F.collect_list("point")).alias("p"))
+    n_chunks = base.agg(F.max(home)).scalar()
     rows = complete.select(F.col(id_col), F.exp(model.log_hazard()).alias("__h"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
-    area = F.aggregate("pieces", F.lit(0.0), lambda s, q: s + q["w"] * (
-        F.exp(-q["h0"] * F.col("__h")) + F.exp(-q["h1"] * F.col("__h"))) / 2)
+    steps = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: (
+        b["time"] - a["time"]) * (F.exp(-a["cumulative"] * F.col("__h")) + F.exp(-b["cumulative"] * F.col("__h"))) / 2)
+    area = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
     return rows.join(pieces, "chunk").groupBy(id_col).agg(F.sum(area).alias("expected"))

@@ -58,13 +58,15 @@ def ordered_scan(
     blocks: int | None = None,
     bounds_group: Sequence[str] | None = None,
     block_expr: Column | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Running totals along ``key`` for a table with one row per (group, key).
 
     Adds ``cum_<s>`` (this row included) and ``total_<s>`` (whole group) for each column in ``sums``, and
     ``next_<c>`` (value on the following row, NULL on the last) for each column in ``next_cols``.
     ``bounds_group`` shares range bounds between groups (a subset of ``group``); ``block_expr`` replaces them by
-    a monotone function of the key, which saves the sketch pass.
+    a monotone function of the key, which saves the sketch pass. ``keep_block`` leaves the range number in the result,
+    so that a second scan of the same rows can use it and needs no new shuffle of the rows.
     """
     group = list(group)
     if block_expr is not None:
@@ -102,7 +104,7 @@ def ordered_scan(
     x = x.join(offsets, parts)
     zero = F.lit(0)
     return x.select(
-        *df.columns,
+        *df.columns, *([BLOCK] if keep_block else []),
         *[(F.col(f"__i_{s}") + F.coalesce(F.col(f"__o_{s}"), zero)).alias(f"cum_{s}") for s in sums],
         *[F.col(f"total_{s}") for s in sums],
         *[F.coalesce(F.col("__follow"), F.col("__after"))[c].alias(f"next_{c}") for c in next_cols],

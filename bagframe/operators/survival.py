@@ -15,14 +15,15 @@ from bagframe.functions.stats import chi2_pvalue, ratio
 from bagframe.operators.scan import BLOCK, exact_quantiles, ordered_scan, with_blocks
 
 
-def event_table(df: DataFrame, duration: str, event: str, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """(group..., time, events, censored, at_risk)."""
+def event_table(df: DataFrame, duration: str, event: str, group: Sequence[str] = (), blocks: int | None = None,
+                keep_block: bool = False) -> DataFrame:
+    """(group..., time, events, censored, at_risk, total)."""
     t = df.groupBy(*group, F.col(duration).cast("double").alias("time")).agg(
         F.count_if(F.col(event) == 1).alias("events"), F.count_if(F.col(event) != 1).alias("censored"))
     t = t.withColumn("__n", F.col("events") + F.col("censored"))
-    s = ordered_scan(t, "time", group, ["__n"], descending=True, blocks=blocks)
+    s = ordered_scan(t, "time", group, ["__n"], descending=True, blocks=blocks, keep_block=keep_block)
     return s.select(*group, "time", "events", "censored", F.col("cum___n").alias("at_risk"),
-                    F.col("total___n").alias("total"))
+                    F.col("total___n").alias("total"), *([BLOCK] if keep_block else []))
 
 
 def survival_curves(df: DataFrame, duration: str, event: str, group: Sequence[str] = (), origin: bool = True,
@@ -32,12 +33,12 @@ def survival_curves(df: DataFrame, duration: str, event: str, group: Sequence[st
     ``survival`` is the Kaplan-Meier product, ``cumulative_hazard`` the Nelson-Aalen sum. ``origin`` adds the row at
     time 0 when no row has that time.
     """
-    t = event_table(df, duration, event, group, blocks)
+    t = event_table(df, duration, event, group, blocks, keep_block=True)
     d, n = F.col("events"), F.col("at_risk")
     t = t.withColumns({
         "__log": F.when(d < n, F.log(1 - ratio(d, n))).otherwise(F.lit(0.0)),
         "__dead": F.when(d == n, 1).otherwise(0), "__haz": ratio(d, n)})
-    s = ordered_scan(t, "time", group, ["__log", "__dead", "__haz"], blocks=blocks)
+    s = ordered_scan(t, "time", group, ["__log", "__dead", "__haz"], block_expr=F.col(BLOCK))
     first = F.col("at_risk") == F.col("total")
     row = F.struct("time", "at_risk", "events", "censored",
                    F.when(F.col("cum___dead") > 0, F.lit(0.0)).otherwise(F.exp("cum___log")).alias("survival"),
