@@ -24,36 +24,104 @@ WIDE = 256
 MAX_MODEL_BYTES = 256 << 20
 
 
+def _gated_attention(x: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
+    """[rows, heads]: w . (tanh(V x + b) * sigmoid(U x + c)) + d."""
+    gate = 1.0 / (1.0 + np.exp(-(x @ m["U"].T + m["c"])))
+    a = (np.tanh(x @ m["V"].T + m["b"]) * gate) @ m["w"].T
+    return a + m["d"] if "d" in m else a
+
+
+def _shared_weights(tiles: DataFrame, weights: dict[str, np.ndarray]):
+    if sum(a.nbytes for a in weights.values()) > MAX_MODEL_BYTES:
+        raise ValueError("attention weights are too large to broadcast")
+    return tiles.sparkSession.sparkContext.broadcast(weights)
+
+
 def attention_logits(tiles: DataFrame, weights: dict[str, np.ndarray], feat: str = "feat") -> DataFrame:
-    """Long table (name, i, j, feat, cls, a_raw) of gated attention: w . (tanh(V x + b) * sigmoid(U x + c)) + d.
+    """Long table (tile columns..., cls, a_raw) of gated attention, one row per tile and head.
 
     ``weights``: V, U of shape [hidden, dim], b, c [hidden], w [heads, hidden], optional d [heads]. They are a
     broadcast variable of checked size; vectors go through NumPy in Arrow batches.
     """
-    if sum(a.nbytes for a in weights.values()) > MAX_MODEL_BYTES:
-        raise ValueError("attention weights are too large to broadcast")
-    heads = weights["w"].shape[0]
-    shared = tiles.sparkSession.sparkContext.broadcast(weights)
+    shared = _shared_weights(tiles, weights)
 
     @pandas_udf(T.ArrayType(T.DoubleType()))
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
         for s in batches:
             if len(s) == 0:
                 yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(s.to_numpy()).astype(np.float64)
-            gate = 1.0 / (1.0 + np.exp(-(x @ m["U"].T + m["c"])))
-            a = (np.tanh(x @ m["V"].T + m["b"]) * gate) @ m["w"].T
-            if "d" in m:
-                a = a + m["d"]
-            yield pd.Series(list(a))
+            else:
+                yield pd.Series(list(_gated_attention(np.stack(s.to_numpy()).astype(np.float64), shared.value)))
 
     tiles = tiles.drop("cls")
-    x = tiles.withColumn("__a", logits(F.col(feat)))
-    if heads == 1:
-        return x.withColumn("cls", F.lit(0)).withColumn("a_raw", F.col("__a")[0]).drop("__a")
-    return x.select(*tiles.columns, F.posexplode("__a").alias("cls", "a_raw"))
+    return tiles.withColumn("__a", logits(F.col(feat))).select(*tiles.columns, F.posexplode("__a").alias("cls", "a_raw"))
+
+
+STEP = 50.0
+
+
+def pool_with_attention(tiles: DataFrame, weights: dict[str, np.ndarray], dim: int, temperature: float = 1.0,
+                        mask: bool = True, feat: str = "feat") -> DataFrame:
+    """(name, cls, m, top, total): attention-pooled vectors of all bags in one pass over the tile vectors.
+
+    Softmax pooling is a ratio of sums, so it can be merged: every Arrow batch computes attention, masks background
+    and adds up exp(a - top) and exp(a - top) * x per bag, where top is the batch maximum rounded up to a multiple of
+    50. Sums with the same top simply add; the few different tops of a bag are rescaled at the end. The vectors are
+    read once, and the shuffle carries one row per bag and batch instead of the tiles. ``top`` and ``total`` give the
+    softmax of any tile as exp(a - top) / total. Bags without unmasked tiles are absent.
+    """
+    shared = _shared_weights(tiles, weights)
+    name = tiles.schema["name"]
+    schema = T.StructType([name, T.StructField("cls", T.IntegerType()), T.StructField("top", T.DoubleType()),
+                           T.StructField("s", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["__f"].to_numpy()).astype(np.float64)
+            keep = x.max(1) != x.min(1) if mask else np.ones(len(x), bool)
+            a = _gated_attention(x, shared.value) / temperature
+            rows = []
+            for key, at in pdf.groupby("name", sort=False).indices.items():
+                at = at[keep[at]]
+                if len(at) == 0:
+                    continue
+                top = np.ceil(a[at].max(0) / STEP) * STEP
+                e = np.exp(a[at] - top)
+                rows += [(key, c, top[c], e[:, c].sum(), e[:, c] @ x[at]) for c in range(a.shape[1])]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    parts = tiles.select("name", F.col(feat).alias("__f")).mapInPandas(partial, schema)
+    if dim <= WIDE:
+        sums = parts.groupBy("name", "cls", "top").agg(F.sum("s").alias("s"), *[F.sum(F.col("v")[k]).alias(f"__d{k}") for k in range(dim)])
+        sums = sums.select("name", "cls", "top", "s", F.array(*[F.col(f"__d{k}") for k in range(dim)]).alias("v"))
+    else:
+        cells = parts.select("name", "cls", "top", F.posexplode(F.concat(F.array("s"), "v")).alias("pos", "x")).groupBy(
+            "name", "cls", "top", "pos").agg(F.sum("x").alias("x"))
+        sums = cells.groupBy("name", "cls", "top").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__c")).select(
+            "name", "cls", "top", F.col("__c")[0]["x"].alias("s"), F.transform(F.slice("__c", 2, dim), lambda c: c["x"]).alias("v"))
+    # the tops of a bag differ by multiples of 50: a handful of rows
+    bag = sums.groupBy("name", "cls").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "s", "v")).alias("__p"))
+    scaled = F.transform("__p", lambda p: F.struct((p["s"] * F.exp(p["top"] - F.col("top"))).alias("s"),
+                                                   F.transform(p["v"], lambda x: x * F.exp(p["top"] - F.col("top"))).alias("v")))
+    zero = F.struct(F.lit(0.0).alias("s"), F.array_repeat(F.lit(0.0), dim).alias("v"))
+    total = F.aggregate(scaled, zero, lambda t, p: F.struct((t["s"] + p["s"]).alias("s"), F.zip_with(
+        t["v"], p["v"], lambda x, y: x + y).alias("v")))
+    bag = bag.select("name", "cls", "top", total.alias("__t"))
+    return bag.select("name", "cls", F.transform("__t.v", lambda x: x / F.col("__t.s")).alias("m"), "top", F.col("__t.s").alias("total"))
+
+
+def tile_attention(tiles: DataFrame, weights: dict[str, np.ndarray], bags: DataFrame, temperature: float = 1.0,
+                   mask: bool = True) -> DataFrame:
+    """(name, cls, i, j, a_raw, a_soft) from the bag totals of :func:`pool_with_attention`: no second sum over bags."""
+    att = attention_logits(tiles, weights)
+    if mask:
+        att = mask_background(att)
+    att = att.select("name", "cls", "i", "j", "a_raw").join(bags.select("name", "cls", "top", "total"), ["name", "cls"], "left")
+    soft = F.when(F.abs("a_raw") < float("inf"), F.exp(F.col("a_raw") / temperature - F.col("top")) / F.col("total")).otherwise(
+        F.when(F.col("total").isNotNull(), 0.0))
+    return att.select("name", "cls", "i", "j", "a_raw", soft.alias("a_soft"))
 
 
 def mask_background(att: DataFrame, feat: str = "feat", value: str = "a_raw") -> DataFrame:
@@ -80,11 +148,19 @@ def keep_top_k(att: DataFrame, k: int, value: str = "a_raw", group: Sequence[str
 
 
 def attention_softmax(att: DataFrame, temperature: float | str | None = None, value: str = "a_raw", out: str = "a_soft",
-                      group: Sequence[str] = ("name", "cls")) -> DataFrame:
+                      group: Sequence[str] = ("name", "cls"), few_rows: bool = False) -> DataFrame:
     """Softmax over the tiles of a bag. ``temperature`` is a number or 'sqrt' (root of the number of finite values).
-    A bag without finite attention gets NULL."""
+    A bag without finite attention gets NULL. ``few_rows`` promises that groups are short (after a top-k), so that
+    windows can replace the aggregates and the input is computed once."""
     group = list(group)
     finite = F.abs(F.col(value)) < float("inf")
+    if few_rows:
+        w = Window.partitionBy(*group)
+        count = F.count_if(finite).over(w)
+        scale = F.sqrt(count.cast("double")) if temperature == "sqrt" else F.lit(float(temperature or 1.0))
+        e = F.when(finite, F.exp((F.col(value) - F.max(value).over(w)) / scale)).otherwise(0.0)
+        x = att.withColumn("__e", F.when(count > 0, e))
+        return x.withColumn(out, ratio(F.col("__e"), F.sum("__e").over(w))).drop("__e")
     stats = att.groupBy(*group).agg(F.max(value).alias("__max"), F.count_if(finite).alias("__fin"))
     x = att.join(stats, group)
     scale = F.sqrt(F.col("__fin").cast("double")) if temperature == "sqrt" else F.lit(float(temperature or 1.0))
@@ -225,18 +301,22 @@ def suppress_non_peaks(att: DataFrame, kernel: int = 3, value: str = "a_raw", lo
 
 
 def score_bags(tiles: DataFrame, attention: dict[str, np.ndarray], head: tuple, dim: int, topk: int | None = None,
-               temperature: float | str | None = None, merge_heads: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(bag logits, attention table) of all bags of all splits in one plan: attention, background mask, top-k,
-    softmax, weighted vectors, linear head."""
-    att = mask_background(attention_logits(tiles, attention))
-    if topk:
-        att = keep_top_k(att, topk)
-    att = attention_softmax(att, temperature)
-    use = sum_heads(att) if merge_heads else att
-    bags = bag_vectors(use, dim)
+               temperature: float | str | None = None) -> DataFrame:
+    """(name, logit0..) of all bags of all splits in one plan: attention, background mask, top-k, softmax, weighted
+    vectors, linear heads.
+
+    Without top-k and with a fixed temperature the vectors are read once (:func:`pool_with_attention`). With top-k
+    only k tiles per bag and task travel on, with their vectors, before softmax and pooling.
+    """
     heads = attention["w"].shape[0]
-    scored = linear_head(bags, *head).drop("m", "cls") if merge_heads or heads == 1 else per_class_head(bags, *head)
-    return scored, att.drop("feat")
+    if topk is None and temperature != "sqrt":
+        bags = pool_with_attention(tiles, attention, dim, float(temperature or 1.0)).select("name", "cls", "m")
+    else:
+        att = mask_background(attention_logits(tiles, attention))
+        if topk:
+            att = top_k(att.where(F.col("a_raw") > float("-inf")), "a_raw", topk, ["name", "cls"])
+        bags = bag_vectors(attention_softmax(att, temperature, few_rows=bool(topk)), dim)
+    return linear_head(bags, *head).drop("m", "cls") if heads == 1 else per_class_head(bags, *head)
 
 
 def fit_bag_classifier(bags: DataFrame, label: str, vector: str = "m", weight: str | None = None, split: str = "split",

@@ -2,11 +2,11 @@
 
 ROC curves, AUC, Kaplan-Meier, Cox sums, concordance, exact quantiles, fold numbers and weighted sampling all
 need a running total along an ordered key. ``Window.partitionBy(group)`` would put a whole group, possibly a
-third of the table, into one task. Here each group is cut into key ranges first:
+third of the table, into one task. Here the table is cut into key ranges first:
 
 1. the caller pre-aggregates to one row per (group, key), so a hot key is a single row;
-2. range bounds per group come from ``percentile_approx`` (a mergeable sketch) or from an explicit block column;
-3. running totals are computed inside (group, range);
+2. range bounds come from ``percentile_approx`` (a mergeable sketch) or from an explicit block column;
+3. running totals are computed inside (group, range), which is at most one range of the whole table;
 4. range totals (at most ``blocks`` rows per group) are turned into offsets and joined back.
 
 Rows with a NULL group value belong to no group and are left out, as in a group-by selection on equality.
@@ -24,28 +24,33 @@ from bagframe.session import default_blocks
 BLOCK = "__block"
 
 
-def with_blocks(df: DataFrame, key: str, group: Sequence[str] = (), blocks: int | None = None,
-                shared: Sequence[str] = ()) -> DataFrame:
-    """Add the range number of ``key`` within its group. Ranges are ascending and hold similar row counts.
+def with_blocks(df: DataFrame, key: str, blocks: int | None = None, shared: Sequence[str] = ()) -> DataFrame:
+    """Add the number of the key range a row falls into, ascending.
 
-    The sketch pass mentions the ``shared`` columns (in a condition that always holds), so that column pruning leaves
-    it the same pre-aggregation shuffle as the main pass, and Spark runs that shuffle once for both.
+    Ranges are quantiles of the keys of the whole table, all groups together. A range holds about 1 / blocks of all
+    rows, so no (group, range) can hold more, however large its group is; and the bounds are one small array that
+    needs no join. The sketch pass mentions the ``shared`` columns (in a condition that always holds), so that
+    column pruning leaves it the same pre-aggregation shuffle as the main pass, and Spark runs that shuffle once.
     """
     n = blocks or default_blocks(df.sparkSession)
     if n <= 1:
         return df.withColumn(BLOCK, F.lit(0))
     value = F.when(F.hash(*shared) % 2 < 2, F.col(key)) if shared else F.col(key)
-    cuts = F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(max(1000, 20 * n)))
-    if group:
-        bounds = df.groupBy(*group).agg(cuts.alias("__cuts"))
-        df = df.join(bounds, list(group))
-        where = F.col("__cuts")
-    else:
-        where = df.agg(cuts.alias("__cuts")).scalar()
-        df = df.withColumn("__cuts", where)
-        where = F.col("__cuts")
-    block = F.size(F.filter(where, lambda c: c < F.col(key)))
-    return df.withColumn(BLOCK, block).drop("__cuts")
+    cuts = F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(max(1000, 10 * n)))
+    x = df.withColumn("__cuts", df.agg(cuts).scalar())
+    return _count_below(x, "__cuts", key, n - 1).drop("__cuts")
+
+
+def _count_below(df: DataFrame, cuts: str, key: str, size: int) -> DataFrame:
+    """Add the number of array elements below the key by binary search. Each step is its own column, so the search
+    stays inside generated code; a lambda over the array would be interpreted for every element."""
+    out = df.withColumn(BLOCK, F.lit(0))
+    step = 1 << (size.bit_length() - 1)
+    while step:
+        below = F.get(F.col(cuts), F.col(BLOCK) + (step - 1)) < F.col(key)
+        out = out.withColumn(BLOCK, F.col(BLOCK) + F.when(below, step).otherwise(0))
+        step //= 2
+    return out
 
 
 def ordered_scan(
@@ -56,7 +61,6 @@ def ordered_scan(
     next_cols: Sequence[str] = (),
     descending: bool = False,
     blocks: int | None = None,
-    bounds_group: Sequence[str] | None = None,
     block_expr: Column | None = None,
     keep_block: bool = False,
 ) -> DataFrame:
@@ -64,15 +68,14 @@ def ordered_scan(
 
     Adds ``cum_<s>`` (this row included) and ``total_<s>`` (whole group) for each column in ``sums``, and
     ``next_<c>`` (value on the following row, NULL on the last) for each column in ``next_cols``.
-    ``bounds_group`` shares range bounds between groups (a subset of ``group``); ``block_expr`` replaces them by
-    a monotone function of the key, which saves the sketch pass. ``keep_block`` leaves the range number in the result,
+    ``block_expr`` replaces the ranges by a monotone function of the key, which saves the sketch pass. ``keep_block`` leaves the range number in the result,
     so that a second scan of the same rows can use it and needs no new shuffle of the rows.
     """
     group = list(group)
     if block_expr is not None:
         x = df.withColumn(BLOCK, block_expr)
     else:
-        x = with_blocks(df, key, group if bounds_group is None else list(bounds_group), blocks, [*sums, *next_cols])
+        x = with_blocks(df, key, blocks, [*group, *sums, *next_cols])
 
     def ordering(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()

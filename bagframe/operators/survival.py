@@ -99,7 +99,7 @@ def concordance(df: DataFrame, duration: str, event: str, score: str, group: Seq
     ranks = df.select(*group, F.col(score).cast("double").alias("__s")).distinct().withColumn("__one", F.lit(1).cast("long"))
     ranks = ordered_scan(ranks, "__s", group, ["__one"], blocks=blocks).select(
         *group, "__s", (F.col("cum___one") - 1).alias("__rank"), F.col("total___one").alias("__distinct"))
-    x = with_blocks(base, "time", group, blocks, ["__s", "__e", "__c"]).withColumnRenamed(BLOCK, "__tb")
+    x = with_blocks(base, "time", blocks, [*group, "__s", "__e", "__c"]).withColumnRenamed(BLOCK, "__tb")
     x = x.join(ranks, [*group, "__s"])
     bits = F.when(F.col("__distinct") > 1, F.length(F.bin(F.col("__distinct") - 1))).otherwise(0)
     zero = F.lit(0).cast("long")

@@ -39,24 +39,26 @@ def tile_grid(slides: DataFrame, stride: int, patch_size: int | None = None, hei
         "read_y": F.col("i") * stride - half, "read_x": F.col("j") * stride - half})
 
 
-def mask_fraction(tiles: DataFrame, mask: DataFrame, patch_size: int, downsampling: float, label: int | None = None
-                  ) -> DataFrame:
+def mask_fraction(tiles: DataFrame, mask: DataFrame, patch_size: int, stride: int, downsampling: float,
+                  label: int | None = None) -> DataFrame:
     """(name, i, j, fraction): share of mask cells > 0 (or equal to ``label``) inside each tile.
 
-    Mask cells are (name, mi, mj, v). Tile origins and sizes are scaled to mask cells and rounded half to even, so
-    tiles may overlap; a mask cell is matched to the tiles it falls into by equi-join on the mask coordinates of the
-    tile's rows and columns.
+    Mask cells are (name, mi, mj, v). Tile origins (i * stride, j * stride) and the patch size are scaled to mask cells
+    and rounded half to even, so tiles may overlap; cells outside the mask count as zero. Only positive mask cells are
+    sent on, each to the few tiles that can contain it, and counted there; pixels are never joined.
     """
-    size = int(np.round(patch_size * downsampling))
-    steps = F.sequence(F.lit(0), F.lit(size - 1))
-    t = tiles.select("name", "i", "j", F.rint(F.col("y") * downsampling).cast("long").alias("__y"),
-                     F.rint(F.col("x") * downsampling).cast("long").alias("__x"))
-    t = t.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps)).select(
-        "name", "i", "j", (F.col("__y") + F.col("__dy")).alias("mi"), (F.col("__x") + F.col("__dx")).alias("mj"))
+    size, step = int(np.round(patch_size * downsampling)), stride * downsampling
     hit = (F.col("v") == label) if label is not None else (F.col("v") > 0)
-    m = mask.select("name", "mi", "mj", hit.cast("double").alias("__hit"))
-    j = t.join(m, ["name", "mi", "mj"], "left")  # cells outside the mask read as zero padding
-    return j.groupBy("name", "i", "j").agg(F.avg(F.coalesce("__hit", F.lit(0.0))).alias("fraction"))
+
+    def owners(cell: str) -> Column:
+        c = F.col(cell)
+        near = F.sequence(F.greatest(F.floor((c - size) / step), F.lit(0)), F.greatest(F.floor(c / step) + 1, F.lit(0)))
+        return F.filter(near, lambda k: (F.rint(k * step) <= c) & (c < F.rint(k * step) + size))
+
+    hits = mask.where(hit).select("name", F.explode(owners("mi")).alias("i"), "mj").select(
+        "name", "i", F.explode(owners("mj")).alias("j")).groupBy("name", "i", "j").agg(F.count(F.lit(1)).alias("__n"))
+    return tiles.select("name", "i", "j").join(hits, ["name", "i", "j"], "left").select(
+        "name", "i", "j", (F.coalesce("__n", F.lit(0)) / float(size * size)).alias("fraction"))
 
 
 def aligned_mask_fraction(mask: DataFrame, cells_per_tile: int, label: int | None = None) -> DataFrame:

@@ -74,8 +74,7 @@ def _(spark, sf):
             and m.mj >= round_even(t.j * 16 * 0.25e0, 0) and m.mj < round_even(t.j * 16 * 0.25e0, 0) + 6 group by all""", ("tiles", "masks"))
 def _(spark, sf):
     """Overlapping tiles of patch 24 and stride 16 on a mask at a quarter of the resolution, one mask label."""
-    t = TI.with_coordinates(fx.tiles(spark, sf), 16)
-    return TI.mask_fraction(t, fx.masks(spark, sf), 24, 0.25, label=1)
+    return TI.mask_fraction(fx.tiles(spark, sf), fx.masks(spark, sf), 24, 16, 0.25, label=1)
 
 
 @query("tissue_tiles_kept", "name:s i:l j:l",
@@ -364,10 +363,26 @@ def _(spark, sf):
        soft=SOFT.format(t="1.0e0", src="top5"), bags=_BAGS)
 def _(spark, sf):
     """Attention network, mask, top-k, softmax, pooling, heads and output function in one plan."""
-    scored, _att = BG.score_bags(bg_tiles(spark, sf), _weights(), (W2, [0.1, -0.2]), DIM, topk=5)
+    scored = BG.score_bags(bg_tiles(spark, sf), _weights(), (W2, [0.1, -0.2]), DIM, topk=5)
     return P.add_scores(scored, BINARY, ["logit0", "logit1"])
 
 
+@query("bag_vectors_one_pass", "name:s cls:l p:l m:d",
+       "select name, cls, p, m from bags", "tiles", net=_NET, att="select net.*, feat, tissue_frac from net join tiles using (name, i, j)",
+       masked=MASKED, soft=SOFT.format(t="1.0e0", src="masked"), bags=_BAGS)
+def _(spark, sf):
+    """Attention network, mask, softmax and pooling in a single pass over the vectors."""
+    return BG.pool_with_attention(bg_tiles(spark, sf), _weights(), DIM).select("name", "cls", F.posexplode("m").alias("p", "m"))
+
+
+@query("tile_attention_from_bag_totals", "name:s cls:l i:l j:l a_soft:d", "select name, cls, i, j, a_soft from soft", "tiles", net=_NET,
+       att="select net.*, feat, tissue_frac from net join tiles using (name, i, j)", masked=MASKED, soft=SOFT.format(t="1.0e0", src="masked"))
+def _(spark, sf):
+    """Softmax of every tile from the bag totals of the one-pass pooling."""
+    t = bg_tiles(spark, sf)
+    return BG.tile_attention(t, _weights(), BG.pool_with_attention(t, _weights(), DIM))
+
+
 @query("bag_classifier_fit", "name:s split:s out1:d")
 def _(spark, sf):
     """Weighted logistic regression on pooled bags, regularisation by validation AUC."""
