@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from bagframe.functions.stats import chi2_sf
 from bagframe.operators.scan import BLOCK, ordered_scan
 from bagframe.operators.survival import concordance
-from bagframe.session import default_blocks
 
 TIE_CHUNK = 4096
 
@@ -73,7 +72,7 @@ def _newton_terms(rows: DataFrame, beta: np.ndarray, p: int) -> tuple[float, np.
     fixed = s.agg(F.sum("eta").alias("eta"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(p)])
     # a time with d tied events contributes d terms; large ties are cut into chunks spread over tasks
     chunks = s.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("deaths") - 1) / TIE_CHUNK))))
-    chunks = chunks.repartition(default_blocks(rows.sparkSession), "time", "__c")
+    chunks = chunks.repartition("time", "__c")
     lo = F.col("__c") * TIE_CHUNK
     hi = F.least(lo + TIE_CHUNK - 1, F.col("deaths") - 1)
     t = chunks.withColumn("__l", F.explode(F.sequence(lo, hi)))

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, LongType
 from bagframe.functions import scalars as S
 from bagframe.functions.stats import ratio
 from bagframe.operators.scan import exact_quantiles, hash60
+from bagframe.session import cut_lineage
 
 
 def tile_grid(slides: DataFrame, stride: int, patch_size: int | None = None, height: str = "height",
@@ -155,8 +156,12 @@ def background_distance(grid: DataFrame, tissue: str = "tissue") -> DataFrame:
 
 
 def distance_map(grid: DataFrame, tissue: str = "tissue", percentile: float = 98.0) -> DataFrame:
-    """Add ``weight``: distance / max, squared, zero below the percentile of the slide's cells, divided by its sum."""
-    d = background_distance(grid, tissue)
+    """Add ``weight``: distance / max, squared, zero below the percentile of the slide's cells, divided by its sum.
+
+    The distances are needed for the maximum, the percentile and the sum, so they are written to the shared folder once
+    instead of being computed for each.
+    """
+    d = cut_lineage(background_distance(grid, tissue))
     top = d.groupBy("name").agg(F.max("distance").alias("__top"))
     d = d.join(top, "name").withColumn("__s", F.pow(ratio(F.col("distance"), F.col("__top")), F.lit(2.0)))
     cut = exact_quantiles(d, "__s", [percentile / 100.0], ["name"]).select("name", F.col("quantiles")[0].alias("__cut"))

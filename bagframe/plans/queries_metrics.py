@@ -483,7 +483,26 @@ def _(spark, sf):
     return M.evaluate_binary(fx.preds(spark, sf), BINARY)
 
 
-@query("multiclass_category_groups", "split:s level:s category_group:s n:l acc:d kappa:d auc:d")
+@query("multiclass_category_groups", "split:s level:s category_group:s n:l acc:d kappa:d auc:d",
+       """select split, level, category_group, n, acc, kappa, auc from (select split, level, category_group, count(*) as n, avg(cast(y = p as integer)) as acc,
+              (avg(cast(y = p as integer)) - {pe}) / (1 - {pe}) as kappa from mem group by split, level, category_group)
+          join (select split, level, category_group, avg(auc) as auc from (
+              select split, level, category_group, class, (sum(case when t = 1 then r end) - max(pos) * (max(pos) + 1) / 2.0e0)
+                / nullif(max(pos) * cast(count(*) - max(pos) as double), 0) as auc from (
+                select *, rank() over (partition by split, level, category_group, class order by s)
+                    + (count(*) over (partition by split, level, category_group, class, s) - 1) / 2.0e0 as r,
+                  sum(t) over (partition by split, level, category_group, class) as pos from (
+                  select split, level, category_group, k as class, cast(y = k as integer) as t, case k when 0 then out0 when 1 then out1 else out2 end as s
+                  from mem, range(0, 3) c(k))) group by split, level, category_group, class) group by split, level, category_group)
+          using (split, level, category_group)""".format(pe="(" + " + ".join(
+              f"cast(count(*) filter (y = {k}) as double) * count(*) filter (p = {k})" for k in range(3)) + ") / (cast(count(*) as double) * count(*))"),
+       "preds3", cat=f"select *, 'k' || cast(length(name) % 3 as varchar) as category, {ARGMAX3} as p from preds3",
+       present="""select category, bit_or(1 << y) as seen, row_number() over (order by category) - 1 as i, count(*) over () as c from cat group by category""",
+       combos="""select k, string_agg(category, '_' order by category) as category_group, count(*) as size from present, range(1, 2048) t(k)
+              where k < (1 << c) - 1 and (k >> i) & 1 = 1 group by k having bit_or(seen) = 7""",
+       kept="select * from combos where size = 1 or (select count(*) from combos) <= 16",
+       mem="""select 'all' as level, 'all' as category_group, cat.* from cat union all
+              select 'category', category_group, cat.* from cat join present using (category) join kept on (k >> i) & 1 = 1""")
 def _(spark, sf):
     """Matrix metrics and macro AUC for all category groups."""
     df = fx.preds3(spark, sf).withColumn("category", F.concat(F.lit("k"), (F.length("name") % 3).cast("string")))
