@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
 from bagframe.operators.cohort import select_split
+from bagframe.operators.groups import MAX_CATEGORIES
 from bagframe.operators.spec import CohortSpec, TrainType
 
 
@@ -73,7 +74,9 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def categories(df: DataFrame, spec: CohortSpec, level: str | int = "") -> list[str]:
     """Sorted categories of a level; a given order must be the same set. Categories name result groups, so the list
     comes to the driver."""
-    found = [r[0] for r in distinct_values(df, spec.category(level)).collect()]
+    found = [r[0] for r in distinct_values(df, spec.category(level)).limit(MAX_CATEGORIES + 1).collect()]
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"{spec.category(level)} has more than {MAX_CATEGORIES} categories")
     if spec.categories_order and str(level) == "":
         if set(found) != set(spec.categories_order):
             raise ValueError(f"categories {found} differ from the given order {list(spec.categories_order)}")

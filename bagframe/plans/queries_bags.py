@@ -337,7 +337,20 @@ def _(spark, sf):
     return BG.extreme_instances(attention(spark, sf))
 
 
-@query("attention_peaks", "name:s cls:l i:l j:l a_raw:d")
+def _peak_rounds(rounds: int = 10) -> dict[str, str]:
+    """Ten fixed rounds of peak suppression; rounds after the peaks are stable change nothing."""
+    ctes = {"r0": "select name, cls, i, j, a_raw as v, min(a_raw) over (partition by name, cls) as low from att"}
+    near = "a.name = b.name and a.cls = b.cls and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1"
+    for k in range(rounds):
+        ctes[f"p{k}"] = (f"select a.name, a.cls, a.i, a.j, any_value(a.v) as v, any_value(a.low) as low, "
+                         f"max({{'v': b.v, 'bi': -b.i, 'bj': -b.j}}) = {{'v': any_value(a.v), 'bi': -a.i, 'bj': -a.j}} as peak "
+                         f"from r{k} a join r{k} b on {near} group by a.name, a.cls, a.i, a.j")
+        ctes[f"r{k + 1}"] = (f"select a.name, a.cls, a.i, a.j, case when not any_value(a.peak) and bool_or(b.peak) then any_value(a.low) "
+                             f"else any_value(a.v) end as v, any_value(a.low) as low from p{k} a join p{k} b on {near} group by a.name, a.cls, a.i, a.j")
+    return ctes
+
+
+@query("attention_peaks", "name:s cls:l i:l j:l a_raw:d", "select name, cls, i, j, v as a_raw from r10", "tiles", att=ATT, **_peak_rounds())
 def _(spark, sf):
     """Non-peak cells near a peak set to the smallest value, until stable."""
     return BG.suppress_non_peaks(attention(spark, sf))

@@ -48,10 +48,10 @@ def _(spark, sf):
     return C.names_in_categories(fx.cohort(spark, sf), BINARY, ["fr", "es"])
 
 
-@query("image_of_name", "name:s image:s", "select name, '/img/' || name || '.tif' as image from cohort where name = '0'", "cohort")
+@query("image_of_name", "name:s image:s", "select name, '/img/' || name || '.tif' as image from cohort where name = (select min(name) from cohort)", "cohort")
 def _(spark, sf):
     df = fx.cohort(spark, sf).withColumn("image", F.concat(F.lit("/img/"), "name", F.lit(".tif, /old/x.tif")))
-    return C.image_of(df, BINARY, "0")
+    return C.image_of(df, BINARY, df.agg(F.min("name")).first()[0])
 
 
 @query("categories_deleted_and_renamed", "name:s category:s",
@@ -518,10 +518,10 @@ def _(spark, sf):
 
 
 @query("distinct_difference", "key:l",
-       "select c_custkey as key from customer except select o_custkey from orders where o_totalprice > 200000")
+       "select c_custkey as key from customer except select o_custkey from orders where o_totalprice > 450000")
 def _(spark, sf):
     c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return C.distinct_difference(c, fx.table(spark, sf, "orders").where("o_totalprice > 200000").select(
+    return C.distinct_difference(c, fx.table(spark, sf, "orders").where("o_totalprice > 450000").select(
         F.col("o_custkey").alias("key")), "key")
 
 

@@ -192,7 +192,14 @@ def _(spark, sf):
     return GE.overlapping(a.where("type <> 'Polygon'"), regions, cell=128.0)
 
 
-@query("annotations_overlapping_polygon", "file:s region:s name:s")
+@query("annotations_overlapping_polygon", "file:s region:s name:s",
+       """select file, 'diamond' as region, name from (select file, name,
+              least(120 * nx, 240 * nx + 100 * ny, 120 * nx + 200 * ny, 100 * ny) as lo1, greatest(120 * nx, 240 * nx + 100 * ny, 120 * nx + 200 * ny, 100 * ny) as hi1,
+              least(xs[1] * nx + ys[1] * ny, xs[2] * nx + ys[2] * ny, xs[3] * nx + ys[3] * ny) as lo2,
+              greatest(xs[1] * nx + ys[1] * ny, xs[2] * nx + ys[2] * ny, xs[3] * nx + ys[3] * ny) as hi2
+            from (select *, unnest([ys[1] - ys[2], ys[2] - ys[3], ys[3] - ys[1], -5, 5]) as nx, unnest([xs[2] - xs[1], xs[3] - xs[2], xs[1] - xs[3], 6, 6]) as ny
+                  from annos where type = 'Polygon'))
+          group by file, name having bool_and(lo1 <= hi2 and lo2 <= hi1)""", "tiles", annos=ANNOS)
 def _(spark, sf):
     """The exact polygon test: triangles against a diamond per file."""
     a = annos(spark, sf)
