@@ -31,3 +31,12 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.token_shards import token_digest
 
     return token_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the rule cascade on every document, with all measures."""
+    from bagframe.llm.quality import cascade
+
+    found = cascade(table(spark, sf_dir, "documents"), measures=True)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

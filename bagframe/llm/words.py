@@ -135,3 +135,42 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h)
     first = np.flatnonzero(w.text[:n] == w.text[k - 1:])
     return first, h[first]
+
+
+class Lines(NamedTuple):
+    """Lines of a batch of texts, split at newline; an empty text has one empty line."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
+    breaks = np.flatnonzero(data == 0x0A)
+    of = np.searchsorted(offsets, breaks, side="right") - 1
+    start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+    # a break at the very end of a text makes an empty line that begins where the next text begins
+    text = np.sort(np.concatenate([np.arange(len(offsets) - 1), of]), kind="stable")
+    last = np.ones(len(text), bool)
+    last[:-1] = text[1:] != text[:-1]
+    end = np.empty(len(start), np.int64)
+    end[:-1] = start[1:] - 1
+    end[last] = offsets[1:][text[last]]
+    return Lines(text, start, end)
+
+
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the white space at both ends; an all-white span gets start == end."""
+    solid = np.flatnonzero(~SPACE[data])
+    i, j = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    some = i < j
+    a, b = start.copy(), start.copy()
+    a[some], b[some] = solid[i[some]], solid[j[some] - 1] + 1
+    return a, b
+
+
+def sums_per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of a per-byte array over each text."""
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
