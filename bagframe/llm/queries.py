@@ -75,3 +75,19 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.mixing import mix_taken
 
     return mix_taken(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in a ten-word window of a benchmark item."""
+    from bagframe.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@query
+def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by pattern and by entropy."""
+    from bagframe.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
