@@ -91,3 +91,25 @@ def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.secrets import secret_digest
 
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    from bagframe.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _remainder(divisor: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+@query
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    from bagframe.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held = _remainder(4) == 2
+    return predict(docs, fit(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
