@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagframe.llm import store
-from bagframe.llm.words import SPACE, _hashes, buffers, code_points, lines, mix, sums_per_text, windows, words
+from bagframe.llm.words import SPACE, _hashes, buffers, code_points, lines, repeats, sums_per_text, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -40,23 +40,13 @@ def symbol_measures(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"n_symbols": sums_per_text(_SYMBOL[data], offsets)}
 
 
-def _repeated(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by text and hash, True where an entry equals the one before it in that order)."""
-    with np.errstate(over="ignore"):
-        key = mix(hashes ^ mix(text.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
-    return order, same
-
-
 def line_measures(texts: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = buffers(texts)
     found = lines(data, offsets)
     solid = np.concatenate([[0], np.cumsum(~SPACE[data], dtype=np.int64)])
     some = solid[found.end] > solid[found.start]
     text, start, end = found.text[some], found.start[some], found.end[some]
-    order, same = _repeated(text, _hashes(data, start, end))
+    order, same = repeats(text, _hashes(data, start, end))
     n = len(offsets) - 1
     return {"n_lines": np.bincount(text, minlength=n).astype(np.int64),
             "n_dup_lines": np.bincount(text[order[same]], minlength=n).astype(np.int64)}
@@ -65,7 +55,7 @@ def line_measures(texts: pa.Array) -> dict[str, np.ndarray]:
 def repeat_measures(texts: pa.Array) -> dict[str, np.ndarray]:
     w = words(texts)
     first, h = windows(w, WINDOW)
-    order, same = _repeated(w.text[first], h)
+    order, same = repeats(w.text[first], h)
     twice = same.copy()
     twice[:-1] |= same[1:]
     cover = np.zeros(len(w.hash) + 1, np.int64)

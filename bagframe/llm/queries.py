@@ -113,3 +113,11 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = _remainder(4) == 2
     return predict(docs, fit(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents that near copies link, four-word shingles, Jaccard 0.85 or more."""
+    from bagframe.llm.jaccard_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))

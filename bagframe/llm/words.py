@@ -174,3 +174,13 @@ def sums_per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def repeats(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that puts equal hashes of one text together, earlier ones first; True where an entry equals the one before)."""
+    with np.errstate(over="ignore"):
+        key = mix(hashes ^ mix(text.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
+    return order, same
