@@ -121,3 +121,11 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.jaccard_join import near_classes
 
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of all documents by mixed bit predictors, learned from nine tenths of them."""
+    from bagframe.llm.context_mixing import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), _remainder(10) != 0)
