@@ -26,6 +26,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
+def text_key() -> Column:
+    """128 bits of the text; null for a null text."""
+    text = F.col("text").cast("string")
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its count, which is taken now, is within BROADCAST_ROWS."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -33,7 +39,7 @@ def small(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PhraseIndex:
-    """terms (term, term_id), texts (row, doc_id, n_words), postings (row, pos, term_id), items (item, item_id, ipos, term_id,
+    """terms (term, term_id), texts (row, doc_id, text_key, n_words), postings (row, pos, term_id), items (item, item_id, ipos, term_id,
     item_words): a place per benchmark word."""
 
     terms: DataFrame
@@ -51,15 +57,17 @@ class PhraseIndex:
         places = items.select("item", "item_id", F.size("words").alias("item_words"), F.posexplode("words").alias("ipos", "term"))
         terms = store.written(places.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms")
         places = store.written(places.join(terms, "term").drop("term"), "item-places")
-        found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+        found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"),
+                            words_of(F.col("text")).alias("words"))
         # a null word in front stands for the text itself, so one pass writes texts and postings
-        found = found.select("row", "doc_id", F.size("words").alias("n_words"),
+        found = found.select("row", "doc_id", "text_key", F.size("words").alias("n_words"),
                              F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("pos", "term"))
         found = found.join(small(terms), "term", "left").where("pos = 0 or term_id is not null")
         index = store.written(found.select("row", F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"),
                                            F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"),
+                                           F.when(F.col("pos") == 0, F.col("text_key")).alias("text_key"),
                                            (F.col("pos") - 1).alias("pos"), "term_id"), "postings")
-        return cls(terms, index.where("pos = -1").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")),
+        return cls(terms, index.where("pos = -1").select("row", "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words")),
                    index.where("pos >= 0").select("row", "pos", "term_id"), places, window)
 
     def _span(self) -> Column:
@@ -121,3 +129,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     return found.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
                         (n_hit > 0).alias("contaminated"), "near_share")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of the benchmark. That depends on the text alone, so rows
+    are told by 128 bits of their text."""
+    index = PhraseIndex.build(docs, benchmark, window)
+    hit = index.exact(store.written(index.candidates(), "candidates")).select("row").distinct()
+    keys = store.written(index.texts.join(hit, "row").select("text_key").distinct(), "contaminated")
+    return docs.join(small(keys), text_key() == keys.text_key, "left_anti")

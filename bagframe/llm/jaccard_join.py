@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from bagframe.llm import store
 from bagframe.llm.components import components
@@ -303,13 +304,8 @@ def links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: Fracti
     return store.written(inner.unionByName(outer).repartition(F.rand(7)).mapInArrow(verify, "a long, b long, n long"), "links")
 
 
-def near_classes(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size: int = 4, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row: component_id is the smallest doc_id that links reach, n_links the number of
-    other texts (distinct sets) that the text links with.
-
-    A null or wordless text has the empty set and links with nothing. Rows with equal sets are linked, whether their ids differ, repeat
-    or are null; a component of null ids only has a null id. An empty table gives no rows. Extra columns are not read.
-    """
+def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int) -> DataFrame:
+    """(doc_id, n_shingles, sid, root, n_links) of every row; root is a set id that all rows of a class share."""
     table = store.written(set_table(docs, size), "sets")
     sizes = table.where("n_shingles > 0").select("sid", "n_shingles").distinct()
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
@@ -319,9 +315,49 @@ def near_classes(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size:
     roots = components(found.where("b is not null"))
     degree = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
     degree = store.written(degree.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left"), "near-roots")
-    rooted = table.where("n_shingles > 0").join(degree, "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rooted = store.written(rooted, "rooted")
-    smallest = store.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    some = rooted.join(smallest, "root").select("doc_id", "n_shingles", "component_id", "n_links")
-    none = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return store.written(table.join(degree, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("root", "sid").alias("root"), n_links), "rooted")
+
+
+def near_classes(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size: int = 4, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row: component_id is the smallest doc_id that links reach, n_links the number of
+    other texts (distinct sets) that the text links with.
+
+    A null or wordless text has the empty set and links with nothing. Rows with equal sets are linked, whether their ids differ, repeat
+    or are null; a component of null ids only has a null id. An empty table gives no rows. Extra columns are not read.
+    """
+    rooted = _rooted(docs, threshold, size, group_shingles)
+    some = rooted.where("n_shingles > 0")
+    smallest = store.written(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    some = some.join(smallest, "root").select("doc_id", "n_shingles", "component_id", "n_links")
+    none = rooted.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links")
     return some.unionByName(none)
+
+
+def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size: int = 4, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: of each class the row with the smallest id (null after all others)
+    stays, one row if several have it. All rows with the empty set stay."""
+    rooted = _rooted(docs, threshold, size, group_shingles)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sid"))
+    chosen = rooted.where("n_shingles > 0").groupBy("root").agg(first.alias("c")).select("c.doc_id", "c.sid")
+    rows = rooted.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = store.written(chosen.join(rows, chosen.doc_id.eqNullSafe(rows.doc_id) & (chosen.sid == rows.sid)).select(chosen.doc_id, chosen.sid, "rows"), "chosen")
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    text = names.index("text")
+    schema = StructType([*inner.schema.fields, StructField("sid", LongType()), StructField("empty", BooleanType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in store.pieces(batches, f"c{text}"):
+            t, h = shingle_sets(piece.column(f"c{text}"), size)
+            n, sid = set_ids(t, h, piece.num_rows)
+            yield piece.append_column("sid", pa.array(sid)).append_column("empty", pa.array(n == 0))
+
+    told = inner.mapInArrow(scan, schema)
+    picked = small(chosen.select(F.col("doc_id").alias("id"), F.col("sid").alias("id_sid"), "rows"))
+    told = told.join(picked, F.col(f"c{names.index('doc_id')}").cast("long").eqNullSafe(F.col("id")) & (F.col("sid") == F.col("id_sid")), "left")
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    single = told.where("empty or rows = 1").select(*back)
+    if chosen.where("rows > 1").isEmpty():
+        return single
+    return single.unionByName(told.where("not empty and rows > 1").dropDuplicates(["id", "sid"]).select(*back))

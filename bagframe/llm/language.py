@@ -233,3 +233,16 @@ def predict(docs: DataFrame, crf: Crf, key: str = "doc_id") -> DataFrame:
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def recognised(docs: DataFrame, crf: Crf, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a mean probability of `least` or more; a text that is null
+    or has no letter goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in store.pieces(batches):
+            texts = piece.column("text").fill_null("")
+            label, score, _, _ = label_texts(texts, crf)
+            yield piece.filter(pa.array([y != UNDETERMINED and s >= least for y, s in zip(label, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if crf.labels else docs.limit(0)

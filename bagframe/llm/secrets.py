@@ -79,7 +79,7 @@ def _entropy(candidates: DataFrame, window: int) -> DataFrame:
     left = F.coalesce(F.lag("down", window).over(whole), F.lit(0.0))
     total = F.sum(F.col("up") - F.col("left")).over(whole.rowsBetween(Window.unboundedPreceding, 0))
     bits = steps.withColumn("left", left).withColumn("total", total).where(F.col("i") >= window - 1)
-    return bits.groupBy("row", "start", "end").agg(F.max(F.lit(float(window)).cast("double") * 0 + F.log2(F.lit(float(window))) - F.col("total") / window).alias("bits"))
+    return bits.groupBy("row", "start", "end").agg(F.max(F.log2(F.lit(float(window))) - F.col("total") / window).alias("bits"))
 
 
 def _class(s: Column) -> Column:
