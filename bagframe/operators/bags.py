@@ -1,7 +1,7 @@
 """Attention pooling of bags: masking, top-k, softmax, bag vectors, heads, peaks, pooling, fitting.
 
-Per-bag maxima and sums are aggregates joined back (map-side partial sums, AQE splits a hot bag), not windows over
-whole bags; top-k uses row_number with a limit, which Spark applies per task before the shuffle.
+Per-bag maxima and sums are aggregates (map-side partial sums) that are joined back by :mod:`bagframe.operators.hot`, which spreads the
+rows of a hot bag; there are no windows over whole bags. Top-k uses row_number with a limit, which Spark applies per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
+from bagframe.operators.hot import with_stats
 from bagframe.operators.tiles import is_background
 from bagframe.session import cut_lineage
 
@@ -161,13 +162,11 @@ def attention_softmax(att: DataFrame, temperature: float | str | None = None, va
         e = F.when(finite, F.exp((F.col(value) - F.max(value).over(w)) / scale)).otherwise(0.0)
         x = att.withColumn("__e", F.when(count > 0, e))
         return x.withColumn(out, ratio(F.col("__e"), F.sum("__e").over(w))).drop("__e")
-    stats = att.groupBy(*group).agg(F.max(value).alias("__max"), F.count_if(finite).alias("__fin"))
-    x = att.join(stats, group)
+    x = with_stats(att, group, __max=F.max(value), __fin=F.count_if(finite))
     scale = F.sqrt(F.col("__fin").cast("double")) if temperature == "sqrt" else F.lit(float(temperature or 1.0))
     e = F.when(finite, F.exp((F.col(value) - F.col("__max")) / scale)).otherwise(0.0)
     x = x.withColumn("__e", F.when(F.col("__fin") > 0, e))
-    total = x.groupBy(*group).agg(F.sum("__e").alias("__sum"))
-    return x.join(total, group).withColumn(out, ratio(F.col("__e"), F.col("__sum"))).drop("__max", "__fin", "__e", "__sum")
+    return with_stats(x, group, __sum=F.sum("__e")).withColumn(out, ratio(F.col("__e"), F.col("__sum"))).drop("__max", "__fin", "__e", "__sum")
 
 
 def sum_heads(att: DataFrame, value: str = "a_soft") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
+from bagframe.operators.hot import COUNT, attach
 from bagframe.operators.profile import label_ratios, target_values
 from bagframe.operators.scan import exact_quantiles, hash60, hash_position, ordered_scan
 from bagframe.operators.spec import CohortSpec
@@ -30,7 +31,7 @@ def column_weights(df: DataFrame, col: str) -> DataFrame:
     """Add ``weight`` = rows / rows with the same value."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
     total = c.where(F.col(col).isNotNull()).agg(F.sum("__c")).scalar()
-    return df.join(c.withColumn("weight", ratio(total, F.col("__c"))).drop("__c"), col, "left")
+    return attach(df, c.select(col, F.col("__c").alias(COUNT), ratio(total, F.col("__c")).alias("weight")), [col], "left")
 
 
 def survival_weights(df: DataFrame, spec: CohortSpec, bins: int = 4) -> DataFrame:
@@ -47,7 +48,7 @@ def survival_weights(df: DataFrame, spec: CohortSpec, bins: int = 4) -> DataFram
     x = x.withColumn("bin", F.size(F.filter(edges, lambda e: e <= d)).cast("int")).drop("__q")
     sizes = x.groupBy("bin").agg(F.count(F.lit(1)).alias("__c"))
     total = sizes.agg(F.sum("__c")).scalar()
-    return x.join(sizes.withColumn("weight", ratio(total, F.col("__c"))).drop("__c"), "bin")
+    return attach(x, sizes.select("bin", F.col("__c").alias(COUNT), ratio(total, F.col("__c")).alias("weight")), ["bin"])
 
 
 def equal_cell_sample(df: DataFrame, spec: CohortSpec, n: int = 20, seed: int = 1) -> DataFrame:

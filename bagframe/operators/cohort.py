@@ -256,13 +256,13 @@ def invert_unique_lists(df: DataFrame, key: str, values: str) -> DataFrame:
         "value", F.when(F.col("__n") > 1, several).otherwise(F.col("__k").cast("string")).alias("key"))
 
 
-def infer_targets(df: DataFrame, col: str, max_classes: int = 10_000) -> tuple[TrainType, DataFrame, int]:
+def infer_targets(df: DataFrame, col: str) -> tuple[TrainType, DataFrame, int]:
     """Find the train type of a target column (number, or array of numbers) and expand it.
 
     One number per row: integers are a classification (shifted to start at 0, gaps are an error), fractions a
     regression. Lists: integers are multilabel, fractions of equal length a regression with several outputs.
-    Returns (type, table with columns t0.., number of columns). One aggregate decides; for multilabel the sorted
-    distinct classes (at most ``max_classes``) come to the driver as column names need them.
+    Returns (type, table with columns t0.., number of columns). One aggregate decides; for multilabel the sorted distinct classes
+    come to the driver, as each becomes a column: their number is bounded by what a table can hold as columns.
     """
     a = F.col(col) if dict(df.dtypes)[col].startswith("array") else F.array(F.col(col))
     x = df.withColumn("__a", F.transform(a, lambda v: v.cast("double")))
@@ -274,14 +274,12 @@ def infer_targets(df: DataFrame, col: str, max_classes: int = 10_000) -> tuple[T
             return TrainType.REGR, x.withColumn("t0", F.col("__a")[0]).drop("__a"), 1
         n = int(f["mx"] - f["mn"]) + 1
         found = x.select(F.col("__a")[0]).agg(F.count_distinct(F.col("__a[0]"))).first()[0]
-        if found != n or n > max_classes:
+        if found != n:
             raise ValueError(f"{found} classes between {f['mn']} and {f['mx']}: bad ordering")
         cols = {f"t{k}": (F.col("__a")[0] - f["mn"] == k).cast("int") for k in range(n)}
         return TrainType.CLF, x.withColumns(cols).drop("__a"), n
     if f["ints"]:
-        vals = [r[0] for r in x.select(F.explode("__a").alias("v")).distinct().orderBy("v").limit(max_classes + 1).collect()]
-        if len(vals) > max_classes:
-            raise ValueError("too many classes")
+        vals = [r[0] for r in x.select(F.explode("__a").alias("v")).distinct().orderBy("v").collect()]
         cols = {f"t{k}": F.array_contains("__a", F.lit(v)).cast("int") for k, v in enumerate(vals)}
         return TrainType.MULTILABEL, x.withColumns(cols).drop("__a"), len(vals)
     if f["lo"] != f["hi"]:

@@ -1,109 +1,96 @@
-"""Category groups: which combinations of categories are evaluated, and membership of rows in them."""
+"""Category groups: which combinations of categories are evaluated, and which rows belong to them. Everything stays in tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from itertools import combinations
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagframe.operators.spec import CohortSpec
 
-ENUMERATION_LIMIT = 20
-MAX_CATEGORIES = 10_000
+Sizes = Sequence[int] | None
+Levels = Sequence[str | int]
 
 
 def class_presence(df: DataFrame, spec: CohortSpec, level: str | int = "") -> DataFrame:
-    """(category, mask): bit k is set when class k occurs in the category. One pass, one row per category."""
-    bits = F.lit(0).cast("long")
-    for k, c in enumerate(spec.target_cols):
-        bits = bits.bitwiseOR(F.when(F.col(c) == 1, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.groupBy(F.col(spec.category(level)).alias("category")).agg(F.bit_or(bits).alias("mask"))
-
-
-def _evaluable(masks: dict[str, int], full: int, clf: bool, stop_after: int | None) -> Iterable[tuple[str, ...]]:
-    names = sorted(masks)
-    found = 0
-    for r in range(1, len(names)):
-        for combo in combinations(names, r):
-            seen = 0
-            for c in combo:
-                seen |= masks[c]
-            if not clf or seen == full:
-                yield combo
-                found += 1
-                if stop_after is not None and found > stop_after:
-                    return
-
-
-def _masks(df: DataFrame, spec: CohortSpec, level: str | int) -> dict[str, int]:
-    rows = class_presence(df, spec, level).where(F.col("category").isNotNull()).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{spec.category(level)} has more than {MAX_CATEGORIES} categories")
-    return {r["category"]: r["mask"] for r in rows}
-
-
-def _groups(by_cat: dict[str, int], spec: CohortSpec, max_groups: int | None) -> list[tuple[str, ...]]:
-    if len(by_cat) == 1:
-        return [tuple(by_cat)]
-    full = (1 << spec.n_classes) - 1
-    clf = spec.train_type.is_class_type
-    singles = [(c,) for c in sorted(by_cat) if not clf or by_cat[c] == full]
-    if len(by_cat) > ENUMERATION_LIMIT:
-        if max_groups is None:
-            raise ValueError(f"{len(by_cat)} categories have too many combinations; set max_groups")
-        return singles
-    groups = list(_evaluable(by_cat, full, clf, max_groups))
-    return singles if max_groups is not None and len(groups) > max_groups else groups
-
-
-def category_groups(df: DataFrame, spec: CohortSpec, level: str | int = "", max_groups: int | None = None
-                    ) -> list[tuple[str, ...]]:
-    """Combinations of 1..n-1 categories; for classification only those in which every class occurs.
-
-    With ``max_groups``, more combinations than that leave only the single categories. Only the category masks
-    (one number per category) come to the driver; with more than 20 categories the combinations are not listed.
-    """
-    return _groups(_masks(df, spec, level), spec, max_groups)
-
+    """(category, classes): the sorted class numbers that occur in the category. One pass, one row per category."""
+    found = [F.max(F.col(c) == 1).alias(f"__p{k}") for k, c in enumerate(spec.target_cols)]
+    flags = df.where(F.col(spec.category(level)).isNotNull()).groupBy(F.col(spec.category(level)).alias("category")).agg(*found)
+    return flags.select("category", F.array_compact(F.array(*[F.when(F.col(f"__p{k}"), F.lit(k)) for k in range(spec.n_classes)])).alias("classes"))
+
+
+def _numbered(presence: DataFrame) -> DataFrame:
+    """Adds i (1..n by name) and n. The window holds one row per category."""
+    return presence.withColumn("i", F.row_number().over(Window.orderBy("category"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+
+
+def _combinations(numbered: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(members): index arrays of the combinations of the given sizes, below n (a single category is a group of its own)."""
+    out, grown = None, numbered.select("n", F.array("i").alias("members"))
+    for size in range(1, max(sizes) + 1):
+        if size > 1:
+            last = F.element_at("members", -1)
+            grown = grown.where(last < F.col("n")).select("n", "members", F.explode(F.sequence(last + 1, F.col("n"))).alias("j"))
+            grown = grown.select("n", F.concat("members", F.array("j")).alias("members"))
+        if size in sizes:
+            kept = grown.where(F.greatest(F.col("n") - 1, F.lit(1)) >= size).select("members")
+            out = kept if out is None else out.unionByName(kept)
+    return out
 
-def group_name(group: Sequence[str]) -> str:
-    return "_".join(group)
 
+def _subsets(numbered: DataFrame) -> DataFrame:
+    """(members): index arrays of all subsets but the empty and the full one; 2^n of them, so n is the caller's business."""
+    low, high = F.least(F.col("n"), F.lit(16)), F.greatest(F.col("n") - 16, F.lit(0))
+    power = lambda e: F.pow(F.lit(2.0), e).cast("long")
+    x = numbered.where("i = 1").select("n", F.explode(F.sequence(F.lit(0).cast("long"), power(low) - 1)).alias("lo"), high.alias("high"))
+    x = x.withColumn("hi", F.explode(F.sequence(F.lit(0).cast("long"), power(F.col("high")) - 1)))
+    mask = F.col("hi") * 65536 + F.col("lo")
+    x = x.withColumn("members", F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.pmod(F.floor(mask / F.pow(F.lit(2.0), i - 1)), F.lit(2)) == 1))
+    size = F.size("members")
+    return x.where((size >= 1) & (size <= F.greatest(F.col("n") - 1, F.lit(1)))).select("members")
+
+
+def _group_members(df: DataFrame, spec: CohortSpec, level: str | int, sizes: Sizes) -> DataFrame:
+    """(category_group, size, category, n): a row per category of every evaluable group."""
+    numbered = _numbered(class_presence(df, spec, level))
+    combos = _subsets(numbered) if sizes is None else _combinations(numbered, list(sizes))
+    rows = combos.select("members", F.explode("members").alias("i")).join(numbered, "i")
+    named = rows.groupBy("members").agg(F.array_sort(F.collect_list("category")).alias("categories"),
+                                        F.size(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("seen"), F.max("n").alias("n"))
+    if spec.train_type.is_class_type:
+        named = named.where(F.col("seen") == spec.n_classes)
+    return named.select(F.array_join("categories", "_").alias("category_group"), F.size("categories").alias("size"), F.explode("categories").alias("category"), "n")
+
+
+def category_groups(df: DataFrame, spec: CohortSpec, level: str | int = "", sizes: Sizes = None) -> DataFrame:
+    """(category_group, size, category): combinations of categories, a row per category of each; for classification only those in
+    which every class occurs.
+
+    ``sizes`` are the numbers of categories to combine; None means every size from one to all but one, which are 2^n groups
+    for n categories, so give sizes where there are many.
+    """
+    return _group_members(df, spec, level, sizes).drop("n")
 
-def membership(spec: CohortSpec, levels: dict[str, list[tuple[str, ...]]]) -> Column:
-    """Array of (level, category_group) a row belongs to: ('', 'all') plus its groups on each level.
 
-    The literal map has one entry per category and at most ``max_groups`` names each; with single-category groups the
-    name is the category itself and no map is needed.
-    """
-    every = F.array(F.struct(F.lit("all").alias("level"), F.lit("all").alias("category_group")))
-    parts = [every]
-    for level, groups in levels.items():
-        cat = F.col(spec.category(level))
-        lev = F.lit(f"category{level}")
-        by_cat: dict[str, list[str]] = {}
-        for g in groups:
-            for c in g:
-                by_cat.setdefault(c, []).append(group_name(g))
-        if not by_cat:
-            continue
-        pairs = []
-        for c, names in sorted(by_cat.items()):
-            pairs += [F.lit(c), F.array(*[F.lit(n) for n in names])]
-        names = F.coalesce(F.try_element_at(F.create_map(*pairs), cat), F.array().cast("array<string>"))
-        parts.append(F.transform(names, lambda n: F.struct(lev.alias("level"), n.alias("category_group"))))
-    return F.concat(*parts)
-
-
-def evaluation_levels(df: DataFrame, spec: CohortSpec, max_groups: int = 16,
-                      levels: Sequence[str | int] = ("", 2, 3)) -> dict[str, list[tuple[str, ...]]]:
-    """Groups of every category level that has more than one category."""
+def memberships(df: DataFrame, spec: CohortSpec, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3)) -> dict[str, DataFrame]:
+    """(level, category_group, category) for every category level of the table; a level with one category has no rows.
+    ``sizes`` holds for all levels, or is given by level ("" for the first)."""
     out = {}
     for n in levels:
         if spec.category(n) in df.columns:
-            masks = _masks(df, spec, n)
-            if len(masks) > 1:
-                out[str(n)] = _groups(masks, spec, max_groups)
+            chosen = sizes.get(str(n), (1,)) if isinstance(sizes, Mapping) else sizes
+            found = _group_members(df, spec, n, chosen).where("n > 1")
+            out[str(n)] = found.select(F.lit(f"category{n}").alias("level"), "category_group", "category")
+    return out
+
+
+def in_groups(rows: DataFrame, spec: CohortSpec, members: Mapping[str, DataFrame]) -> DataFrame:
+    """The rows once for the whole table (level and category_group 'all') and once for each group they belong to."""
+    cats = [spec.category(n) for n in members]
+    plain = rows.drop(*cats)
+    out = plain.select(F.lit("all").alias("level"), F.lit("all").alias("category_group"), *plain.columns)
+    for n, table in members.items():
+        own = rows.join(table, rows[spec.category(n)] == table["category"])
+        out = out.unionByName(own.select("level", "category_group", *[rows[c] for c in plain.columns]))
     return out

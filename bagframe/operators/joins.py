@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagframe.operators.cohort import concat
+from bagframe.operators.hot import keep_keys
 from bagframe.operators.spec import CohortSpec
 
 
@@ -101,9 +102,7 @@ def not_done(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def pop_names(df: DataFrame, names: DataFrame, spec: CohortSpec, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose name is listed, rows that share no id with them)."""
     popped = df.join(names.select(spec.name_col), spec.name_col, "left_semi")
-    gone = popped.select(F.col(id_col).alias("__id")).distinct()
-    rest = df.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    return popped, rest
+    return popped, keep_keys(df, popped.select(id_col).distinct(), [id_col], anti=True)
 
 
 def split_overlap(df: DataFrame, spec: CohortSpec, id_col: str | None = None) -> DataFrame:

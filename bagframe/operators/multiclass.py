@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
 from bagframe.operators import binary as B
-from bagframe.operators.groups import evaluation_levels, membership
+from bagframe.operators.groups import Levels, Sizes, in_groups, memberships
 from bagframe.operators.spec import CohortSpec, TrainType
 
 
@@ -152,15 +153,20 @@ def multilabel_matrices(df: DataFrame, spec: CohortSpec, group: Sequence[str] =
     return B.confusion_counts(long, "t", "p", [*group, "class"])
 
 
-def multilabel_metrics(df: DataFrame, spec: CohortSpec, group: Sequence[str] = ()) -> DataFrame:
-    """Subset accuracy and micro/macro/weighted F1 over targets and pred columns; F1 of an empty class is 0."""
+def multilabel_metrics(df: DataFrame, spec: CohortSpec, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Subset accuracy and micro/macro/weighted F1 over targets and pred columns; F1 of an empty class is 0. ``weight``: a column
+    with the number of rows that a row stands for."""
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+
+    def number(condition: Column) -> Column:
+        return F.sum(F.when(condition, w).otherwise(0))
+
     equal = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{spec.pred_prefix}{i}")
                                         for i, c in enumerate(spec.target_cols)])
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(equal.cast("double")).alias("acc")]
+    aggs = [F.sum(w).alias("n"), (number(equal) / F.sum(w)).alias("acc")]
     for i, c in enumerate(spec.target_cols):
         t, p = F.col(c) == 1, F.col(f"{spec.pred_prefix}{i}") == 1
-        aggs += [F.count_if(t & p).alias(f"__tp{i}"), F.count_if(~t & p).alias(f"__fp{i}"),
-                 F.count_if(t & ~p).alias(f"__fn{i}")]
+        aggs += [number(t & p).alias(f"__tp{i}"), number(~t & p).alias(f"__fp{i}"), number(t & ~p).alias(f"__fn{i}")]
     a = df.groupBy(*group).agg(*aggs)
     k = range(spec.n_classes)
     f1 = [F.coalesce(ratio(2 * F.col(f"__tp{i}"), 2 * F.col(f"__tp{i}") + F.col(f"__fp{i}") + F.col(f"__fn{i}")),
@@ -243,46 +249,104 @@ def grouped_class_scores(df: DataFrame, logits: Sequence[str], targets: Sequence
     return df.withColumns({"group_logit": z, "group_target": (t > 0).cast("int")})
 
 
-def evaluate_binary(df: DataFrame, spec: CohortSpec, max_groups: int = 16, split: str = "validation",
-                    levels: Sequence[str | int] = ("", 2, 3)) -> DataFrame:
+GROUP = ["level", "category_group"]
+
+
+def _member_counts(counts: DataFrame, spec: CohortSpec, members: Mapping[str, DataFrame], keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Counts per (split, categories..., keys) turned into counts per (split, group, keys): counts are multiplied, not rows."""
+    grouped = in_groups(counts, spec, members).groupBy(spec.split_col, *GROUP, *keys)
+    return grouped.agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def evaluate_binary(df: DataFrame, spec: CohortSpec, sizes: Mapping[str, Sizes] | Sizes = (1,), split: str = "validation",
+                    levels: Levels = ("", 2, 3)) -> DataFrame:
     """Binary report for the whole table and all category groups of all levels, per split, in one plan.
 
-    Rows are first reduced to distinct scores per (split, categories); only that table is multiplied by the group
-    memberships, and every metric is computed for all groups at once. Groups with one class have a NULL AUC.
+    ``sizes`` says how many categories are combined (see :func:`bagframe.operators.groups.memberships`). Rows are first reduced to
+    distinct scores per (split, categories); only that table is multiplied by the group memberships, and every metric is computed
+    for all groups at once. Groups with one class have a NULL AUC.
     """
-    found = evaluation_levels(df, spec, max_groups, levels)
-    cats = [spec.category(n) for n in found]
-    pos, out = spec.target_cols[-1], spec.out_cols[-1]
-    counts = B.score_counts(df, pos, out, [spec.split_col, *cats])
-    counts = counts.select(spec.split_col, F.explode(membership(spec, found)).alias("m"), "score", "pos", "neg").groupBy(
-        spec.split_col, "m.level", "m.category_group", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    group = [spec.split_col, "level", "category_group"]
+    members = memberships(df, spec, sizes, levels)
+    cats = [spec.category(n) for n in members]
+    counts = B.score_counts(df, spec.target_cols[-1], spec.out_cols[-1], [spec.split_col, *cats])
+    counts = _member_counts(counts, spec, members, ["score"], ["pos", "neg"])
     whole = (F.col(spec.split_col) == split) & (F.col("level") == "all")
-    return B.report_from_counts(counts, group, threshold_from=whole)
+    return B.report_from_counts(counts, [spec.split_col, *GROUP], threshold_from=whole)
 
 
-def evaluate_multiclass(df: DataFrame, spec: CohortSpec, max_groups: int = 16,
-                        levels: Sequence[str | int] = ("", 2, 3)) -> DataFrame:
+def evaluate_multiclass(df: DataFrame, spec: CohortSpec, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3)) -> DataFrame:
     """Matrix metrics and macro AUC per split and category group in one plan (argmax predictions)."""
     if spec.train_type is not TrainType.CLF:
         raise ValueError("evaluate_multiclass needs a clf cohort")
-    found = evaluation_levels(df, spec, max_groups, levels)
-    cats = [spec.category(n) for n in found]
-    group = [spec.split_col, "level", "category_group"]
-    member = F.explode(membership(spec, found)).alias("m")
+    members = memberships(df, spec, sizes, levels)
+    cats = [spec.category(n) for n in members]
+    group = [spec.split_col, *GROUP]
     cm = df.groupBy(spec.split_col, *cats, L.argmax(spec.target_cols).alias("y_true"),
                     L.argmax(spec.out_cols).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
-    cm = cm.select(spec.split_col, member, "y_true", "y_pred", "n").groupBy(
-        spec.split_col, "m.level", "m.category_group", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    cm = _member_counts(cm, spec, members, ["y_true", "y_pred"], ["n"])
     over = matrix_metrics(complete_matrix(cm, spec.n_classes, group), group)
-    counts = class_counts(df, spec, [spec.split_col, *cats]).select(
-        spec.split_col, member, "class", "score", "pos", "neg").groupBy(
-        spec.split_col, "m.level", "m.category_group", "class", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = _member_counts(class_counts(df, spec, [spec.split_col, *cats]), spec, members, ["class", "score"], ["pos", "neg"])
     auc = B.auc_from_scan(B.scan_scores(counts, [*group, "class"]), [*group, "class"])
     return over.join(macro_auc(auc, group), group)
 
 
+@dataclass(frozen=True)
+class Evaluator:
+    """A metric in three steps, so that no task ever needs a whole group: ``partial`` aggregates rows, ``merge`` aggregates partial
+    results (default: their sums), ``finish`` turns merged ones into metrics. Each is name -> Column."""
+
+    partial: Mapping[str, Column]
+    finish: Mapping[str, Column]
+    merge: Mapping[str, Column] | None = None
+
+    def merged(self) -> list[Column]:
+        merge = self.merge or {c: F.sum(c) for c in self.partial}
+        return [e.alias(c) for c, e in merge.items()]
+
+
+def evaluate_groups(df: DataFrame, spec: CohortSpec, evaluator: Evaluator, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3),
+                    before: Callable[[DataFrame], DataFrame] | None = None, after: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Any evaluator for the whole table and all category groups, per split. ``before`` changes the rows, ``after`` the report."""
+    df = before(df) if before else df
+    members = memberships(df, spec, sizes, levels)
+    cats = [spec.category(n) for n in members]
+    parts = df.groupBy(spec.split_col, *cats).agg(*[e.alias(c) for c, e in evaluator.partial.items()])
+    group = [spec.split_col, *GROUP]
+    out = in_groups(parts, spec, members).groupBy(*group).agg(*evaluator.merged()).select(*group, *[e.alias(c) for c, e in evaluator.finish.items()])
+    return after(out) if after else out
+
+
+def regression_evaluator(target: str, out: str) -> Evaluator:
+    """n, mse, rmse and r2 (1 - SSE / SST; for a constant target 1 if exact, else 0)."""
+    y = F.col(target).cast("double")
+    e = y - F.col(out).cast("double")
+    n, mse = F.col("n"), F.col("__ee") / F.col("n")
+    spread = F.col("__yy") - F.col("__y") * F.col("__y") / n
+    r2 = F.when(spread > 1e-12 * F.col("__yy"), 1 - F.try_divide(F.col("__ee"), spread)).otherwise(F.when(F.col("__ee") == 0, 1.0).otherwise(0.0))
+    return Evaluator({"n": F.count(F.lit(1)), "__ee": F.sum(e * e), "__y": F.sum(y), "__yy": F.sum(y * y)},
+                     {"n": n, "mse": mse, "rmse": F.sqrt(mse), "r2": r2})
+
+
+def evaluate_multilabel(df: DataFrame, spec: CohortSpec, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3)) -> DataFrame:
+    """Subset accuracy and F1 scores per split and category group, from targets and pred columns: rows are reduced to distinct
+    (target, prediction) patterns before they are multiplied."""
+    members = memberships(df, spec, sizes, levels)
+    cats = [spec.category(n) for n in members]
+    preds = [f"{spec.pred_prefix}{i}" for i in range(spec.n_classes)]
+    patterns = df.groupBy(spec.split_col, *cats, *spec.target_cols, *preds).agg(F.count(F.lit(1)).alias("__w"))
+    counts = _member_counts(patterns, spec, members, [*spec.target_cols, *preds], ["__w"])
+    return multilabel_metrics(counts, spec, [spec.split_col, *GROUP], weight="__w")
+
+
+def evaluate_survival(df: DataFrame, spec: CohortSpec, score: str, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3)) -> DataFrame:
+    """Concordance of a score per split and category group."""
+    from bagframe.operators.survival import concordance
+
+    members = memberships(df, spec, sizes, levels)
+    rows = df.select(spec.split_col, *[spec.category(n) for n in members], spec.duration_col, spec.event_col, score)
+    return concordance(in_groups(rows, spec, members), spec.duration_col, spec.event_col, score, [spec.split_col, *GROUP])
+
+
 def to_long_metrics(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., metric, value): numeric columns of a report as rows."""
     numeric = [f.name for f in report.schema.fields if f.name not in keys and
@@ -291,14 +355,16 @@ def to_long_metrics(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     return report.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.metric", "p.value")
 
 
-def user_evaluation(df: DataFrame, group: Sequence[str], function, schema: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Run a user's pandas function on every group (``applyInPandas``).
+def user_evaluation(df: DataFrame, group: Sequence[str], partial, schema: str, merge: Mapping[str, Column], finish: Mapping[str, Column]) -> DataFrame:
+    """A user's pandas evaluator without a limit on the size of a group.
 
-    User code sees a whole group, so a group with more than ``max_rows`` rows is an error rather than an
-    out-of-memory task; built-in metrics have no such limit.
+    ``partial`` turns a pandas frame with any rows of any groups into rows of (group..., partial results) with the given schema; it sees one
+    Arrow batch at a time. Spark merges them with the aggregates of ``merge``, and ``finish`` gives the metrics.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    guard = F.when(F.col("__n") > max_rows, F.raise_error(F.lit(f"a group has more than {max_rows} rows"))
-                   .cast("long")).otherwise(F.col("__n"))
-    checked = df.join(sizes.withColumn("__n", guard), list(group)).where(F.col("__n") > 0).drop("__n")
-    return checked.groupBy(*group).applyInPandas(function, schema)
+    def batches(frames: Iterator) -> Iterator:
+        for pdf in frames:
+            if len(pdf):
+                yield partial(pdf)
+
+    merged = df.mapInPandas(batches, schema).groupBy(*group).agg(*[e.alias(c) for c, e in merge.items()])
+    return merged.select(*group, *[e.alias(c) for c, e in finish.items()])

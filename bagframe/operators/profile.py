@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
 from bagframe.operators.cohort import select_split
-from bagframe.operators.groups import MAX_CATEGORIES
+from bagframe.operators.hot import keep_keys
 from bagframe.operators.spec import CohortSpec, TrainType
 
 
@@ -71,17 +71,17 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct().orderBy(col)
 
 
-def categories(df: DataFrame, spec: CohortSpec, level: str | int = "") -> list[str]:
-    """Sorted categories of a level; a given order must be the same set. Categories name result groups, so the list
-    comes to the driver."""
-    found = [r[0] for r in distinct_values(df, spec.category(level)).limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{spec.category(level)} has more than {MAX_CATEGORIES} categories")
-    if spec.categories_order and str(level) == "":
-        if set(found) != set(spec.categories_order):
-            raise ValueError(f"categories {found} differ from the given order {list(spec.categories_order)}")
-        return list(spec.categories_order)
-    return found
+def categories(df: DataFrame, spec: CohortSpec, level: str | int = "") -> DataFrame:
+    """(category, rank): sorted categories of a level, or the given order of the first level, which must be the same set."""
+    found = df.select(F.col(spec.category(level)).alias("category")).distinct()
+    if not (spec.categories_order and str(level) == ""):
+        return found.withColumn("rank", (F.row_number().over(Window.orderBy("category")) - 1).cast("long"))   # one row per category
+    order = list(spec.categories_order)
+    given = df.sparkSession.createDataFrame(list(zip(order, range(len(order)))), "category string, rank long")
+    both = found.withColumn("__found", F.lit(True)).join(given, found["category"].eqNullSafe(given["category"]), "full_outer")
+    bad = F.raise_error(F.concat(F.lit("a category that is not in both the table and the given order: "),
+                                 F.coalesce(found["category"], given["category"], F.lit("null")))).cast("long")
+    return both.select(given["category"], F.when(F.col("__found") & F.col("rank").isNotNull(), F.col("rank")).otherwise(bad).alias("rank"))
 
 
 def target_values(df: DataFrame, spec: CohortSpec) -> DataFrame:
@@ -141,7 +141,7 @@ def duplicates(df: DataFrame, key: str, error: bool = False) -> DataFrame:
         bad = twice.limit(1).collect()
         if bad:
             raise ValueError(f"duplicates of {key}: {bad[0][0]}")
-    return df.join(twice.select(key), key, "left_semi")
+    return keep_keys(df, twice, [key])
 
 
 def unique_one(col: str | Column, allow_null: bool = True, name: str | None = None) -> Column:
@@ -171,7 +171,7 @@ def inconsistent_groups(df: DataFrame, ids: Sequence[str]) -> DataFrame:
             if g1 == g2:
                 continue
             bad = df.groupBy(g1).agg(F.min(g2).alias("__a"), F.max(g2).alias("__b")).where("__a <> __b").select(g1)
-            out.append(df.join(bad, g1, "left_semi").select(F.lit(g1).alias("group_col"), F.lit(g2).alias("other_col"),
+            out.append(keep_keys(df, bad, [g1]).select(F.lit(g1).alias("group_col"), F.lit(g2).alias("other_col"),
                                                             *df.columns))
     return reduce(lambda a, b: a.unionByName(b), out)
 

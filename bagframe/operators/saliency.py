@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bagframe.functions import labels as L
 from bagframe.functions.stats import ratio
 from bagframe.operators.bags import top_k
+from bagframe.operators.hot import attach_table, with_stats
 from bagframe.operators.spec import CohortSpec
 
 MAP = ("name", "cls")
@@ -29,16 +30,14 @@ def attention_map(att: DataFrame, operation: str | None = "scale", value: str =
     v, group = F.col(value), list(group)
     finite = F.abs(v) < float("inf")
     if operation == "scale":
-        ends = att.groupBy(*group).agg(F.min(F.when(finite, v)).alias("__lo"), F.max(v).alias("__hi"))
-        x = att.join(ends, group)
+        x = with_stats(att, group, __lo=F.min(F.when(finite, v)), __hi=F.max(v))
         span = F.col("__hi") - F.col("__lo")
         scaled = F.when(finite, F.when(span != 0, (v - F.col("__lo")) / span).otherwise(v - F.col("__lo"))).otherwise(0.0)
         return x.withColumn("level", _uint8(scaled * 255)).drop("__lo", "__hi")
     if operation in ("softmax", "tiles"):
         keys = [c for c in (*group, "i", "j") if c != "cls"] if operation == "softmax" else group
-        top = att.groupBy(*keys).agg(F.max(v).alias("__hi"))
-        x = att.join(top, keys).withColumn("__e", F.when(finite, F.exp(v - F.col("__hi"))).otherwise(0.0))
-        x = x.join(x.groupBy(*keys).agg(F.sum("__e").alias("__t")), keys)
+        x = with_stats(att, keys, __hi=F.max(v)).withColumn("__e", F.when(finite, F.exp(v - F.col("__hi"))).otherwise(0.0))
+        x = with_stats(x, keys, __t=F.sum("__e"))
         return x.withColumn("level", _uint8(ratio(F.col("__e"), F.col("__t")) * 255)).drop("__hi", "__e", "__t")
     if operation == "sigm":
         return att.withColumn("level", _uint8(L.sigmoid(v) * 255))
@@ -60,7 +59,7 @@ def upscale(att: DataFrame, factor: int, shapes: DataFrame | None = None, value:
     x = x.select(*keys, (F.col("i") * factor + F.col("__r")).alias("i"), (F.col("j") * factor + F.col("__c")).alias("j"), value)
     if shapes is not None:
         s = shapes.select("name", F.col("h").alias("__h"), F.col("w").alias("__w"))
-        x = x.join(s, "name").where((F.col("i") < F.col("__h")) & (F.col("j") < F.col("__w"))).drop("__h", "__w")
+        x = attach_table(x, s, ["name"]).where((F.col("i") < F.col("__h")) & (F.col("j") < F.col("__w"))).drop("__h", "__w")
     return x
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bagframe.functions import labels as L
 from bagframe.functions.stats import hoyer
+from bagframe.operators.hot import COUNT, attach, attach_table
 from bagframe.operators.scan import hash_position
 from bagframe.operators.spec import CohortSpec, TrainType
 
@@ -44,8 +45,8 @@ def assign_folds(ids: DataFrame, id_col: str, k: int, strata: Sequence[str] = ("
     if strata:
         sizes = ids.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
         before = Window.partitionBy(*within).orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-        placed = placed.join(offsets, group)
+        offsets = sizes.select(*group, F.col("__n").alias(COUNT), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        placed = attach(placed, offsets, group)
     else:
         placed = placed.withColumn("__off", F.lit(0))
     return placed.select(*ids.columns, ((F.col("pos") + F.col("__off")) % k).cast("int").alias("fold"))
@@ -57,7 +58,7 @@ def cv_folds(df: DataFrame, spec: CohortSpec, k: int = 5, id_col: str | None = N
     id_col = id_col or spec.name_col
     ids = id_labels(df, spec, id_col, within)
     folds = assign_folds(ids, id_col, k, ["label"] if stratified else [], within, seed)
-    return df.join(folds.select(*within, id_col, "fold"), [*within, id_col])
+    return attach_table(df, folds.select(*within, id_col, "fold"), [*within, id_col])
 
 
 def fold_tables(folds: DataFrame, k: int, spec: CohortSpec, train: str = "training", val: str = "validation",
@@ -117,7 +118,7 @@ def balanced_folds(df: DataFrame, spec: CohortSpec, balance_cols: Sequence[str],
         F.when(F.count(total) == F.count(F.lit(1)), F.round(F.avg(total), 12)).alias("balance"))
     best = score.agg(F.max(F.when(F.col("balance").isNotNull(), F.struct(-F.col("balance"), F.col("__seed"))))["__seed"])
     chosen = tried.where(F.col("__seed") == best.scalar())
-    return df.join(chosen.select(id_col, "fold"), id_col)
+    return attach_table(df, chosen.select(id_col, "fold"), [id_col])
 
 
 def fold_violations(tables: DataFrame, spec: CohortSpec, k: int, id_col: str | None = None, val: str = "validation",

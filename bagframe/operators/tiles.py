@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from bagframe.functions import scalars as S
 from bagframe.functions.stats import ratio
+from bagframe.operators.hot import attach_table, with_stats
 from bagframe.operators.scan import exact_quantiles, hash60
 from bagframe.session import cut_lineage
 
@@ -162,12 +163,10 @@ def distance_map(grid: DataFrame, tissue: str = "tissue", percentile: float = 98
     instead of being computed for each.
     """
     d = cut_lineage(background_distance(grid, tissue))
-    top = d.groupBy("name").agg(F.max("distance").alias("__top"))
-    d = d.join(top, "name").withColumn("__s", F.pow(ratio(F.col("distance"), F.col("__top")), F.lit(2.0)))
+    d = with_stats(d, ["name"], __top=F.max("distance")).withColumn("__s", F.pow(ratio(F.col("distance"), F.col("__top")), F.lit(2.0)))
     cut = exact_quantiles(d, "__s", [percentile / 100.0], ["name"]).select("name", F.col("quantiles")[0].alias("__cut"))
-    d = d.join(cut, "name").withColumn("__k", F.when(F.col("__s") < F.col("__cut"), 0.0).otherwise(F.col("__s")))
-    total = d.groupBy("name").agg(F.sum("__k").alias("__sum"))
-    return d.join(total, "name").select("name", "i", "j", tissue, "distance", ratio(F.col("__k"), F.col("__sum")).alias("weight"))
+    d = attach_table(d, cut, ["name"], "left").withColumn("__k", F.when(F.col("__s") < F.col("__cut"), 0.0).otherwise(F.col("__s")))
+    return with_stats(d, ["name"], __sum=F.sum("__k")).select("name", "i", "j", tissue, "distance", ratio(F.col("__k"), F.col("__sum")).alias("weight"))
 
 
 def normalise_feature_map(tiles: DataFrame, feat: str = "feat", low: float = 3.0, high: float = 97.0) -> DataFrame:
@@ -178,7 +177,7 @@ def normalise_feature_map(tiles: DataFrame, feat: str = "feat", low: float = 3.0
     lo, span = F.col("quantiles")[0], F.col("quantiles")[1] - F.col("quantiles")[0] + 1e-6
     scaled = F.transform(feat, lambda v: F.when(v != 0, F.least(F.lit(1.0), F.greatest(
         F.lit(0.0), (v.cast("double") - lo) / span))))
-    return tiles.join(q, "name").withColumn("scaled", scaled).drop("quantiles")
+    return attach_table(tiles, q, ["name"]).withColumn("scaled", scaled).drop("quantiles")
 
 
 def bag_info(tiles: DataFrame, stride: int, feat: str = "feat") -> DataFrame:
@@ -196,7 +195,7 @@ def flip(tiles: DataFrame, shapes: DataFrame, horizontal: Column | bool = False,
     instance a hash of the name."""
     h = horizontal if isinstance(horizontal, Column) else F.lit(horizontal)
     v = vertical if isinstance(vertical, Column) else F.lit(vertical)
-    t = tiles.join(shapes.select("name", "h", "w"), "name")
+    t = attach_table(tiles, shapes.select("name", "h", "w"), ["name"])
     return t.withColumns({"j": F.when(h, F.col("w") - 1 - F.col("j")).otherwise(F.col("j")),
                           "i": F.when(v, F.col("h") - 1 - F.col("i")).otherwise(F.col("i"))}).select(*tiles.columns)
 
@@ -204,7 +203,7 @@ def flip(tiles: DataFrame, shapes: DataFrame, horizontal: Column | bool = False,
 def rotate(tiles: DataFrame, shapes: DataFrame, quarters: Column | int = 1) -> DataFrame:
     """Rotate the grid counter-clockwise by ``quarters`` x 90 degrees (number or column)."""
     k = (quarters if isinstance(quarters, Column) else F.lit(quarters)) % 4
-    t = tiles.join(shapes.select("name", "h", "w"), "name")
+    t = attach_table(tiles, shapes.select("name", "h", "w"), ["name"])
     i, j, h, w = (F.col(c) for c in ("i", "j", "h", "w"))
     ni = F.when(k == 1, w - 1 - j).when(k == 2, h - 1 - i).when(k == 3, j).otherwise(i)
     nj = F.when(k == 1, i).when(k == 2, w - 1 - j).when(k == 3, h - 1 - i).otherwise(j)
@@ -223,7 +222,7 @@ def crop_pad(tiles: DataFrame, shapes: DataFrame, size: tuple[int, int], wiggle:
     ``wiggle`` shifts the centre by up to wiggle * surplus / 2 cells, chosen by a hash of the name (1 is a random
     crop). Padding is implicit: cells without a tile are zero.
     """
-    t = tiles.join(shapes.select("name", "h", "w"), "name")
+    t = attach_table(tiles, shapes.select("name", "h", "w"), ["name"])
 
     def moved(cell: str, dim: str, target: int) -> Column:
         centre = F.floor(F.col(dim) / 2)

@@ -364,10 +364,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Distinct categories in a given order, which must be the same set."""
     df = fx.cohort(spark, sf)
-    found = PR.categories(df, BINARY)
-    spec = CohortSpec(TrainType.CLF, ("Neg", "Pos"), categories_order=tuple(reversed(found)))
-    rank = F.array(*[F.lit(c) for c in PR.categories(df, spec)])
-    return PR.distinct_values(df, "category").withColumn("rank", F.array_position(rank, F.col("category")) - 1)
+    return PR.categories(df, CohortSpec(TrainType.CLF, ("Neg", "Pos"), categories_order=("fr", "es", "en", "de")))
 
 
 @query("value_counts", "col:s val:s count:l",

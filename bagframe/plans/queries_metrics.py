@@ -445,19 +445,29 @@ def _(spark, sf):
 # ---------------------------------------------------------------- category groups
 
 
-@query("category_groups", "category_group:s",
-       """select string_agg(c, '_' order by c) as category_group from (
+@query("category_groups", "category_group:s size:l category:s",
+       """select string_agg(c, '_' order by c) as category_group, count(*) as size, unnest(list(c)) as category from (
             select k, category as c, seen from (select category, bit_or(case when Pos = 1 then 2 else 1 end) as seen,
                 row_number() over (order by category) - 1 as i, count(*) over () as n from preds group by category),
               range(1, 2048) t(k) where k < (1 << n) - 1 and (k >> i) & 1 = 1)
           group by k having bit_or(seen) = 3""", "preds")
 def _(spark, sf):
-    """Evaluable combinations of categories, named."""
-    groups = G.category_groups(fx.preds(spark, sf), BINARY)
-    rows = fx.preds(spark, sf).groupBy("category").count()
-    names = F.array(*[F.lit(G.group_name(g)) for g in groups])
-    first = rows.agg(F.min("category").alias("c"))
-    return first.select(F.explode(names).alias("category_group"))
+    """Evaluable combinations of categories of every size."""
+    return G.category_groups(fx.preds(spark, sf), BINARY)
+
+
+@query("category_pairs_of_many", "category_group:s size:l category:s",
+       """with c as (select n_name as category, list(distinct c_mktsegment) as seen from customer join nation on c_nationkey = n_nationkey
+                      group by n_name),
+            p as (select a.category || '_' || b.category as g, [a.category, b.category] as m from c a join c b on a.category < b.category
+                  where len(list_distinct(list_concat(a.seen, b.seen))) = 5)
+          select g as category_group, 2 as size, unnest(m) as category from p""")
+def _(spark, sf):
+    """Pairs out of 25 categories in which all five classes occur."""
+    rows = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    classes = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    rows = rows.select(F.col("n_name").alias("category"), *[(F.col("c_mktsegment") == c).cast("int").alias(c) for c in classes])
+    return G.category_groups(rows, CohortSpec(TrainType.CLF, classes), sizes=(2,))
 
 
 @query("binary_report_category_groups", "split:s level:s category_group:s n:l n_pos:l auc:d",
@@ -473,14 +483,14 @@ def _(spark, sf):
               count(*) over () as c from preds group by category""",
        combos="""select k, string_agg(category, '_' order by category) as category_group, count(*) as size from present, range(1, 2048) t(k)
               where k < (1 << c) - 1 and (k >> i) & 1 = 1 group by k having bit_or(seen) = 3""",
-       kept="select * from combos where size = 1 or (select count(*) from combos) <= 16",
+       kept="select * from combos",
        members="""select split, 'all' as level, 'all' as category_group, out1 as s, Pos as y from preds
           union all select split, 'category', category_group, out1, Pos from preds join present using (category) join kept on (k >> i) & 1 = 1
           union all select split, 'category2', category2, out1, Pos from preds
             join (select category2 from preds group by category2 having max(Pos) = 1 and min(Pos) = 0) using (category2)""")
 def _(spark, sf):
     """Whole table and all category groups of two levels, per split, in one plan."""
-    return M.evaluate_binary(fx.preds(spark, sf), BINARY)
+    return M.evaluate_binary(fx.preds(spark, sf), BINARY, {"": None, "2": (1,)})
 
 
 @query("multiclass_category_groups", "split:s level:s category_group:s n:l acc:d kappa:d auc:d",
@@ -500,13 +510,13 @@ def _(spark, sf):
        present="""select category, bit_or(1 << y) as seen, row_number() over (order by category) - 1 as i, count(*) over () as c from cat group by category""",
        combos="""select k, string_agg(category, '_' order by category) as category_group, count(*) as size from present, range(1, 2048) t(k)
               where k < (1 << c) - 1 and (k >> i) & 1 = 1 group by k having bit_or(seen) = 7""",
-       kept="select * from combos where size = 1 or (select count(*) from combos) <= 16",
+       kept="select * from combos",
        mem="""select 'all' as level, 'all' as category_group, cat.* from cat union all
               select 'category', category_group, cat.* from cat join present using (category) join kept on (k >> i) & 1 = 1""")
 def _(spark, sf):
     """Matrix metrics and macro AUC for all category groups."""
     df = fx.preds3(spark, sf).withColumn("category", F.concat(F.lit("k"), (F.length("name") % 3).cast("string")))
-    return M.evaluate_multiclass(df, THREE)
+    return M.evaluate_multiclass(df, THREE, {"": None})
 
 
 @query("metrics_long_form", "split:s metric:s value:d",
@@ -521,98 +531,44 @@ def _(spark, sf):
 @query("user_evaluator_per_split", "split:s n:l spread:d",
        "select split, count(*) as n, max(out1) - min(out1) as spread from preds group by split", "preds")
 def _(spark, sf):
-    """A user's pandas evaluator on every split."""
+    """A user's pandas evaluator on every split, from mergeable parts."""
     def spread(pdf):
-        return pdf.groupby("split", as_index=False).agg(n=("out1", "size"), hi=("out1", "max"), lo=("out1", "min")).assign(
-            spread=lambda d: d["hi"] - d["lo"])[["split", "n", "spread"]]
-
-    return M.user_evaluation(fx.preds(spark, sf).select("split", "out1"), ["split"], spread, "split string, n long, spread double")
-
-
-# ---------------------------------------------------------------- predictions and ensembles
-
-@query("predictions_added", "name:s pred0:l pred1:l pred_wrong:l pred_diff:d",
-       """select name, cast(out0 >= out1 as integer) as pred0, cast(out1 > out0 as integer) as pred1,
-            cast((out1 > out0) <> (Pos = 1) as integer) as pred_wrong, (abs(Neg - out0) + abs(Pos - out1)) / 2 as pred_diff from preds""", "preds")
-def _(spark, sf):
-    """One-hot predictions, wrong flag and mean absolute difference."""
-    return P.add_predictions(fx.preds(spark, sf), BINARY)
-
-
-@query("predictions_added_multilabel", "name:s pred0:l pred1:l pred2:l pred_wrong:l",
-       """select name, cast(out0 >= 0.5 as integer) as pred0, cast(out1 >= 0.5 as integer) as pred1, cast(out2 >= 0.5 as integer) as pred2,
-            cast((out0 >= 0.5) <> (other = 1) or (out1 >= 0.5) <> (quality = 1) or (out2 >= 0.5) <> (toxic = 1) as integer) as pred_wrong
-          from preds_ml""", "preds_ml")
-def _(spark, sf):
-    return P.add_predictions(fx.preds_ml(spark, sf), MULTI)
-
-
-@query("scores_from_logits", "name:s out0:d out1:d out2:d", "select name, out0, out1, out2 from preds3", "preds3")
-def _(spark, sf):
-    """Softmax scores from logits."""
-    df = fx.preds3(spark, sf).drop("out0", "out1", "out2")
-    return P.add_scores(df, THREE, ["logit0", "logit1", "logit2"])
-
+        return pdf.groupby("split", as_index=False).agg(n=("out1", "size"), hi=("out1", "max"), lo=("out1", "min"))
 
-@query("ensemble_of_predictions", "name:s split:s Pos:l out0:d out0_std:d out1:d out1_std:d",
-       """select name, max(split) as split, max(Pos) as Pos, avg(out0) as out0, stddev_samp(out0) as out0_std,
-            avg(out1) as out1, stddev_samp(out1) as out1_std from ensemble group by name""", "ensemble")
-def _(spark, sf):
-    """Five prediction tables to one: mean and sample deviation of scores, other columns unique."""
-    return P.ensemble_predictions(fx.ensemble(spark, sf), n_members=5)
-
-
-@query("records_aggregated", "category:s out1:d out1_std:d split:s",
-       """select category, avg(out1) as out1, stddev_pop(out1) as out1_std, string_agg(split, ';' order by split) as split
-          from preds group by category""", "preds")
-def _(spark, sf):
-    """Records of a group merged by column type."""
-    return P.aggregate_records(fx.preds(spark, sf).select("category", "split", "out1"), ["category"])
+    return M.user_evaluation(fx.preds(spark, sf).select("split", "out1"), ["split"], spread, "split string, n long, hi double, lo double",
+                             {"n": F.sum("n"), "hi": F.max("hi"), "lo": F.min("lo")}, {"n": F.col("n"), "spread": F.col("hi") - F.col("lo")})
 
 
-@query("array_records_aggregated", "cls:l pos:l mean:d std:d",
-       """select cls, pos - 1 as pos, avg(v) as mean, stddev_pop(v) as std from (
-            select label % 3 as cls, unnest(range(1, 65)) as pos, cast(unnest(embedding) as double) as v from embeddings) group by cls, pos""")
-def _(spark, sf):
-    """Elementwise mean and population deviation of arrays per class."""
-    e = fx.table(spark, sf, "embeddings").select((F.col("label") % 3).alias("cls"),
-                                                 F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    out = P.aggregate_records(e, ["cls"])
-    return out.select("cls", F.posexplode(F.arrays_zip("v", "v_std")).alias("pos", "z")).select(
-        "cls", "pos", F.col("z.v").alias("mean"), F.col("z.v_std").alias("std"))
-
-
-@query("key_wise_sums", "split:s key:s value:d",
-       """select split, 'n' as key, count(*) as value from preds group by split union all
-          select split, 'score', sum(out1) from preds group by split""", "preds")
-def _(spark, sf):
-    """Key-wise sums of map columns."""
-    df = fx.preds(spark, sf).withColumn("m", F.create_map(F.lit("n"), F.lit(1.0), F.lit("score"), F.col("out1")))
-    return P.sum_maps(df, "m", ["split"])
+GROUPED = """select split, 'all' as level, 'all' as category_group, {cols} from {table}
+          union all select split, 'category', category, {cols} from {table}
+          union all select split, 'category2', category2, {cols} from {table}"""
 
 
-@query("targets_from_text", "name:s target0:l target1:l target2:l single:l",
-       """select name, other as target0, quality as target1, toxic as target2,
-            case when other + quality + toxic = 1 then case when toxic = 1 then 2 when quality = 1 then 1 else 0 end end as single
-          from cohort_ml""", "cohort_ml")
+@query("regression_category_groups", "split:s level:s category_group:s n:l mse:d rmse:d r2:d",
+       """select split, level, category_group, count(*) as n, avg(power(y - out1, 2)) as mse, sqrt(avg(power(y - out1, 2))) as rmse,
+            case when var_pop(y) > 0 then 1 - avg(power(y - out1, 2)) / var_pop(y) else 0 end as r2
+          from rows group by split, level, category_group""", "preds", digits=5,
+       base="select preds.*, n_chars / 1000.0e0 as y from preds join (select name, n_chars from cohort) using (name)",
+       rows=GROUPED.format(cols="y, out1", table="base"))
 def _(spark, sf):
-    """Older prediction tables: list text to one-hot targets, single targets to a number."""
-    df = fx.cohort_ml(spark, sf)
-    text = F.concat(F.lit("["), F.array_join(L.label_indices(MULTI.target_cols), ", "), F.lit("]"))
-    df = df.select("name", text.alias("target"))
-    return P.targets_from_text(df, "target", 3).withColumn("single", P.single_target("target"))
-
-
-@query("mean_risk", "name:s risk:d", "select name, (out0 + out1 + out2) / 3 as risk from preds3", "preds3")
-def _(spark, sf):
-    return fx.preds3(spark, sf).withColumn("risk", L.row_mean(THREE.out_cols))
-
-
-@query("score_column_means", "var:s mean:d",
-       """select 'out0' as var, avg(out0) as mean from preds union all select 'out1', avg(out1) from preds
-          union all select 'pred0', avg(cast(out0 >= out1 as integer)) from preds
-          union all select 'pred1', avg(cast(out1 > out0 as integer)) from preds""", "preds")
-def _(spark, sf):
-    """Means of the score and prediction columns found by prefix (pred_ columns are not predictions)."""
-    df = P.add_predictions(fx.preds(spark, sf), BINARY)
-    return PR.column_stats(df, C.out_columns(df, BINARY) + C.pred_columns(df, BINARY))
+    """Regression metrics of the whole table and of every category of two levels."""
+    c = fx.cohort(spark, sf).select("name", (F.col("n_chars") / 1000.0).alias("y"))
+    spec = CohortSpec(TrainType.REGR, ("y",))
+    return M.evaluate_groups(fx.preds(spark, sf).join(c, "name"), spec, M.regression_evaluator("y", "out1"))
+
+
+@query("multilabel_category_groups", "split:s level:s category_group:s n:l acc:d f1_micro:d f1_macro:d",
+       """select split, level, category_group, count(*) as n, avg(cast(p0 = Neg and p1 = Pos as integer)) as acc,
+            coalesce(2.0e0 * sum(p0 * Neg + p1 * Pos) / nullif(sum(p0 + Neg + p1 + Pos), 0), 0) as f1_micro,
+            (coalesce(2.0e0 * sum(p0 * Neg) / nullif(sum(p0 + Neg), 0), 0) + coalesce(2.0e0 * sum(p1 * Pos) / nullif(sum(p1 + Pos), 0), 0)) / 2 as f1_macro
+          from rows group by split, level, category_group""", "preds",
+       base="select *, cast(out0 >= 0.5 as integer) as p0, cast(out1 >= 0.4 as integer) as p1 from preds",
+       complete="select category from base group by category having max(Neg) = 1 and max(Pos) = 1",
+       complete2="select category2 from base group by category2 having max(Neg) = 1 and max(Pos) = 1",
+       rows="""select split, 'all' as level, 'all' as category_group, Neg, Pos, p0, p1 from base
+          union all select split, 'category', category, Neg, Pos, p0, p1 from base join complete using (category)
+          union all select split, 'category2', category2, Neg, Pos, p0, p1 from base join complete2 using (category2)""")
+def _(spark, sf):
+    """Multilabel metrics of the whole table and of every category in which both labels occur."""
+    df = fx.preds(spark, sf).withColumns({"pred0": (F.col("out0") >= 0.5).cast("int"), "pred1": (F.col("out1") >= 0.4).cast("int")})
+    return M.evaluate_multilabel(df, CohortSpec(TrainType.MULTILABEL, ("Neg", "Pos")))

@@ -103,8 +103,28 @@ def test_ensemble_size_is_checked(spark):
 def test_category_groups_need_every_class(spark):
     rows = [("n1", "a", 1, 0), ("n2", "b", 0, 1), ("n3", "c", 1, 0), ("n4", "c", 0, 1), ("n5", None, 0, 1)]
     df = spark.createDataFrame(rows, "name string, category string, Neg int, Pos int")
-    assert category_groups(df, BINARY) == [("c",), ("a", "b"), ("a", "c"), ("b", "c")]
-    assert category_groups(df, BINARY, max_groups=3) == [("c",)]
+    def groups(df, spec, **options):
+        found = {}
+        for r in category_groups(df, spec, **options).collect():
+            found.setdefault(r.category_group, set()).add(r.category)
+        return {(k, tuple(sorted(v))) for k, v in found.items()}
+
+    assert groups(df, BINARY) == {("c", ("c",)), ("a_b", ("a", "b")), ("a_c", ("a", "c")), ("b_c", ("b", "c"))}
+    assert groups(df, BINARY, sizes=(1,)) == {("c", ("c",))}
+    assert groups(df, BINARY, sizes=(2,)) == {("a_b", ("a", "b")), ("a_c", ("a", "c")), ("b_c", ("b", "c"))}
+    one = df.where("category = 'c'")
+    assert groups(one, BINARY) == groups(one, BINARY, sizes=(1,)) == {("c", ("c",))}
+
+
+def test_category_groups_with_many_classes_and_categories(spark):
+    """64 classes in 21 categories; two categories share a class, each pair with the rest makes a group."""
+    classes = tuple(f"c{k}" for k in range(64))
+    rows = [(f"k{k % 21:02d}", *[int(j == k) for j in range(64)]) for k in range(64)]
+    rows.append(("k00", *[1] * 64))
+    df = spark.createDataFrame(rows, "category string, " + ", ".join(f"{c} int" for c in classes))
+    spec = CohortSpec(TrainType.CLF, classes)
+    assert category_groups(df, spec, sizes=(1,)).count() == 1
+    assert category_groups(df, spec, sizes=(2,)).select("category_group").distinct().count() == 20
 
 
 def test_targets_are_inferred(spark):
