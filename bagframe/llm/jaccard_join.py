@@ -183,15 +183,16 @@ def shared_tokens(docs: DataFrame, classes: Classes, buckets: int, size: int = 4
 def groups(shared: DataFrame, sizes: DataFrame, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sid, key, part): a node's group is its most common token, in parts of about group_shingles; and the pairs of parts
     (key_a, part_a, key_b, part_b) whose groups share a token, each once."""
+    n = shared.count()
     common = shared.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
-    common = store.written(common, "token-sets")
+    common = store.written(common, "token-sets", n)
     best = shared.join(common, "token").groupBy("sid").agg(F.max_by("token", F.struct("sets", "token")).alias("key"))
-    best = store.written(best.join(sizes, "sid"), "node-keys")
+    best = store.written(best.join(sizes, "sid"), "node-keys", n)
     parts = best.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / group_shingles)).alias("parts"))
-    parts = store.written(parts, "group-parts")
+    parts = store.written(parts, "group-parts", n)
     nodes = best.join(parts, "key").select("sid", "n_shingles", "key", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"))
-    nodes = store.written(nodes, "groups")
-    rows = store.written(shared.join(nodes.select("sid", "key"), "sid").select("token", "key").distinct(), "matrix")
+    nodes = store.written(nodes, "groups", n)
+    rows = store.written(shared.join(nodes.select("sid", "key"), "sid").select("token", "key").distinct(), "matrix", n)
     a, b = rows.alias("a"), rows.alias("b")
     across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key"))).select(
         F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
@@ -204,10 +205,11 @@ def groups(shared: DataFrame, sizes: DataFrame, group_shingles: int = GROUP_SHIN
 
 
 def node_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, size: int = 4) -> DataFrame:
-    """(sid, shingles) of the nodes, each read from one of the documents that have the set."""
-    one = table.join(nodes.select("sid"), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    one = store.written(one, "node-documents")
-    texts = _texts(docs).alias("d").join(small(one).alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("sid", "text")
+    """(key, part, members) of every group: members are its sets as (sid, shingles), each read from one of the documents that have it.
+    A set comes more than once if rows repeat that document's id and text."""
+    one = table.join(nodes, "sid").groupBy("sid", "key", "part").agg(F.min("doc_id").alias("doc_id"))
+    one = store.written(one, "node-documents", nodes.count())
+    texts = _texts(docs).alias("d").join(small(one).alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("sid", "key", "part", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in store.pieces(batches):
@@ -216,10 +218,11 @@ def node_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, size: int = 4
             right = np.flatnonzero(sid == piece.column("sid").to_numpy())       # an id may be repeated with another text
             bounds = np.searchsorted(text, np.arange(piece.num_rows + 1))
             if len(right):
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(sid[right]),
-                                                  "shingles": pa.array([h[bounds[i]: bounds[i + 1]].tobytes() for i in right], pa.binary())})
+                yield pa.RecordBatch.from_pydict({c: piece.column(c).take(pa.array(right)) for c in ("sid", "key", "part")}
+                                                 | {"shingles": pa.array([h[bounds[i]: bounds[i + 1]].tobytes() for i in right], pa.binary())})
 
-    return texts.mapInArrow(scan, "sid long, shingles binary").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(scan, "sid long, key long, part long, shingles binary")
+    return sets.groupBy("key", "part").agg(F.collect_list(F.struct("sid", "shingles")).alias("members"))
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: Fraction, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -271,9 +274,8 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+def links(members: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b, n): b null: set a has n links inside this pair of groups; else a link, enough of them to connect what is linked."""
-    members = sets.join(nodes, "sid").groupBy("key", "part").agg(F.collect_list(F.struct("sid", "shingles")).alias("members"))
     members = store.written(members, "group-sets")
     a = members.select(F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("members").alias("of_a"))
     b = members.select(F.col("key").alias("key_b"), F.col("part").alias("part_b"), F.col("members").alias("of_b"))
@@ -283,7 +285,9 @@ def links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: Fracti
 
     def unpack(members) -> tuple[np.ndarray, list[np.ndarray]]:
         entries = members.values
-        return entries.field("sid").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in entries.field("shingles")]
+        ids, first = np.unique(entries.field("sid").to_numpy(), return_index=True)
+        shingles = entries.field("shingles")
+        return ids, [np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in first]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,12 +315,12 @@ def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 4_000_000)), size)
     nodes, pairs = groups(shared, sizes, group_shingles)
-    found = links(node_sets(docs, table, nodes, size), nodes, pairs, threshold)
+    found = links(node_sets(docs, table, nodes, size), pairs, threshold)
     roots = components(found.where("b is not null"))
     degree = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
-    degree = store.written(degree.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left"), "near-roots")
+    degree = store.written(degree.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left"), "near-roots", nodes.count())
     n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
-    return store.written(table.join(degree, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("root", "sid").alias("root"), n_links), "rooted")
+    return store.written(table.join(degree, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("root", "sid").alias("root"), n_links), "rooted", table.count())
 
 
 def near_classes(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size: int = 4, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -328,7 +332,7 @@ def near_classes(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size:
     """
     rooted = _rooted(docs, threshold, size, group_shingles)
     some = rooted.where("n_shingles > 0")
-    smallest = store.written(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    smallest = store.written(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest", some.count())
     some = some.join(smallest, "root").select("doc_id", "n_shingles", "component_id", "n_links")
     none = rooted.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links")
     return some.unionByName(none)
@@ -341,7 +345,7 @@ def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), size:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sid"))
     chosen = rooted.where("n_shingles > 0").groupBy("root").agg(first.alias("c")).select("c.doc_id", "c.sid")
     rows = rooted.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("rows"))
-    chosen = store.written(chosen.join(rows, chosen.doc_id.eqNullSafe(rows.doc_id) & (chosen.sid == rows.sid)).select(chosen.doc_id, chosen.sid, "rows"), "chosen")
+    chosen = store.written(chosen.join(rows, chosen.doc_id.eqNullSafe(rows.doc_id) & (chosen.sid == rows.sid)).select(chosen.doc_id, chosen.sid, "rows"), "chosen", rooted.count())
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text = names.index("text")

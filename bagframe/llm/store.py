@@ -17,10 +17,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a table of short rows that go into one file.
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: lineage ends, and no lost executor
-    takes them along."""
+    takes them along. `rows`, if the caller knows a bound, keeps a small table from becoming many tiny files."""
     path = folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
