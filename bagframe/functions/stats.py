@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 
 def ratio(a: Column | int | float, b: Column) -> Column:
@@ -73,8 +70,17 @@ def chi2_sf(stat: float, dof: int) -> float:
     return math.erfc(math.sqrt(stat / 2)) if dof == 1 else _upper_gamma(dof / 2, stat / 2)
 
 
-@pandas_udf(DoubleType())
-def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """p-value per row of a small statistics table. NULL statistic gives NULL."""
-    return pd.Series([None if pd.isna(s) or pd.isna(k) else chi2_sf(float(s), int(k)) for s, k in zip(stat, dof)],
-                     dtype="float64")
+_SERIES = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(45)]
+
+
+def erfc(z: Column) -> Column:
+    """Complementary error function for z >= 0: the power series below 2, the continued fraction from 2 on."""
+    near = F.aggregate(F.array(*[F.lit(c) for c in reversed(_SERIES)]), F.lit(0.0), lambda s, c: s * z * z + c) * z * (2 / math.sqrt(math.pi))
+    far = F.aggregate(F.array(*[F.lit(k / 2) for k in range(80, 0, -1)]), z, lambda s, k: z + k / s)
+    return F.when(z < 2, 1 - near).otherwise(F.exp(-z * z) / (far * math.sqrt(math.pi)))
+
+
+def chi2_pvalue(stat: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution with no or one degree of freedom. NULL statistic gives NULL."""
+    many = F.raise_error(F.lit("only 0 or 1 degrees of freedom")).cast("double")
+    return F.when(stat.isNull() | dof.isNull(), F.lit(None).cast("double")).when(dof <= 0, 1.0).when(dof == 1, erfc(F.sqrt(stat.cast("double") / 2))).otherwise(many)

@@ -21,7 +21,6 @@ from bagframe.operators.hot import with_stats
 from bagframe.operators.tiles import is_background
 from bagframe.session import cut_lineage
 
-WIDE = 256
 MAX_MODEL_BYTES = 256 << 20
 
 
@@ -94,14 +93,10 @@ def pool_with_attention(tiles: DataFrame, weights: dict[str, np.ndarray], dim: i
             yield pd.DataFrame(rows, columns=schema.names)
 
     parts = tiles.select("name", F.col(feat).alias("__f")).mapInPandas(partial, schema)
-    if dim <= WIDE:
-        sums = parts.groupBy("name", "cls", "top").agg(F.sum("s").alias("s"), *[F.sum(F.col("v")[k]).alias(f"__d{k}") for k in range(dim)])
-        sums = sums.select("name", "cls", "top", "s", F.array(*[F.col(f"__d{k}") for k in range(dim)]).alias("v"))
-    else:
-        cells = parts.select("name", "cls", "top", F.posexplode(F.concat(F.array("s"), "v")).alias("pos", "x")).groupBy(
-            "name", "cls", "top", "pos").agg(F.sum("x").alias("x"))
-        sums = cells.groupBy("name", "cls", "top").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__c")).select(
-            "name", "cls", "top", F.col("__c")[0]["x"].alias("s"), F.transform(F.slice("__c", 2, dim), lambda c: c["x"]).alias("v"))
+    cells = parts.select("name", "cls", "top", F.posexplode(F.concat(F.array("s"), "v")).alias("pos", "x")).groupBy(
+        "name", "cls", "top", "pos").agg(F.sum("x").alias("x"))
+    sums = cells.groupBy("name", "cls", "top").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__c")).select(
+        "name", "cls", "top", F.col("__c")[0]["x"].alias("s"), F.transform(F.slice("__c", 2, dim), lambda c: c["x"]).alias("v"))
     # the tops of a bag differ by multiples of 50: a handful of rows
     bag = sums.groupBy("name", "cls").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "s", "v")).alias("__p"))
     scaled = F.transform("__p", lambda p: F.struct((p["s"] * F.exp(p["top"] - F.col("top"))).alias("s"),
@@ -176,56 +171,45 @@ def sum_heads(att: DataFrame, value: str = "a_soft") -> DataFrame:
                                              ).withColumn("cls", F.lit(0))
 
 
-def _wide_sums(df: DataFrame, group: Sequence[str], terms: list[Column], out: str, finish=lambda c: c) -> DataFrame:
-    """Array of per-dimension sums. Each map task sends one row per group."""
-    agg = df.groupBy(*group).agg(*[F.sum(t).alias(f"__d{k}") for k, t in enumerate(terms)])
-    return agg.select(*group, F.array(*[finish(F.col(f"__d{k}")) for k in range(len(terms))]).alias(out))
-
-
-def _batch_sums(df: DataFrame, group: list[str], feat: str, weight: str, out: str) -> DataFrame:
-    """The same for wide vectors: NumPy partial sums per Arrow batch, then sums per position."""
-    fields = [df.schema[c] for c in group]
-    schema = T.StructType([*fields, T.StructField("part", T.ArrayType(T.DoubleType()))])
+def _batch_vectors(df: DataFrame, group: list[str], feat: str, out: str, reduce, merge, weight: str | None = None) -> DataFrame:
+    """(group..., out, n) for vectors of any width: NumPy reduces each group of an Arrow batch to one vector, and Spark merges those by
+    position. A task sends one vector per group and batch."""
+    schema = T.StructType([*[df.schema[c] for c in group], T.StructField("part", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, g in pdf.groupby(group, sort=False, dropna=False):
-                x = np.stack(g["__f"].to_numpy()).astype(np.float64)
-                rows.append((*key, g["__w"].to_numpy(dtype=np.float64) @ x))
+                rows.append((*key, reduce(np.stack(g["__f"].to_numpy()).astype(np.float64), g["__w"].to_numpy(dtype=np.float64)), len(g)))
             if rows:
-                yield pd.DataFrame(rows, columns=[*group, "part"])
+                yield pd.DataFrame(rows, columns=schema.names)
 
-    parts = df.select(*group, F.col(feat).alias("__f"), F.col(weight).cast("double").alias("__w")).mapInPandas(partial, schema)
-    cells = parts.select(*group, F.posexplode("part").alias("pos", "v")).groupBy(*group, "pos").agg(F.sum("v").alias("v"))
-    return cells.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(out))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    parts = df.select(*group, F.col(feat).alias("__f"), w.alias("__w")).mapInPandas(partial, schema)
+    cells = parts.select(*group, "n", F.posexplode("part").alias("pos", "v")).groupBy(*group, "pos").agg(merge("v").alias("v"), F.sum("n").alias("n"))
+    return cells.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(out), F.max("n").alias("n"))
 
 
-def bag_vectors(att: DataFrame, dim: int, weight: str = "a_soft", feat: str = "feat", group: Sequence[str] = ("name", "cls"),
-                method: str | None = None) -> DataFrame:
+def bag_vectors(att: DataFrame, dim: int, weight: str = "a_soft", feat: str = "feat", group: Sequence[str] = ("name", "cls")) -> DataFrame:
     """(group..., m): the weighted sum of a bag's vectors."""
-    group = list(group)
-    method = method or ("columns" if dim <= WIDE else "batches")
     rows = att.where(F.col(weight).isNotNull())
-    if method == "batches":
-        return _batch_sums(rows, group, feat, weight, "m")
-    return _wide_sums(rows, group, [F.col(feat)[k].cast("double") * F.col(weight) for k in range(dim)], "m")
+    return _batch_vectors(rows, list(group), feat, "m", lambda x, w: w @ x, F.sum, weight).drop("n")
 
 
 def pool_bags(tiles: DataFrame, dim: int, how: str = "avg", feat: str = "feat", group: Sequence[str] = ("name",),
               p: float = 3.0, eps: float = 1e-6) -> DataFrame:
     """Unweighted pooling per dimension: avg, max, or gem (power mean of values clamped at ``eps``)."""
-    v = [F.col(feat)[k].cast("double") for k in range(dim)]
+    group = list(group)
     if how == "max":
-        agg = [F.max(x) for x in v]
-    elif how == "avg":
-        agg = [F.avg(x) for x in v]
+        return _batch_vectors(tiles, group, feat, "m", lambda x, w: x.max(0), F.max).drop("n")
+    if how == "avg":
+        sums, finish = _batch_vectors(tiles, group, feat, "m", lambda x, w: x.sum(0), F.sum), lambda v: v / F.col("n")
     elif how == "gem":
-        agg = [F.pow(F.avg(F.pow(F.greatest(x, F.lit(eps)), F.lit(p))), F.lit(1.0 / p)) for x in v]
+        sums = _batch_vectors(tiles, group, feat, "m", lambda x, w: (np.maximum(x, eps) ** p).sum(0), F.sum)
+        finish = lambda v: F.pow(v / F.col("n"), F.lit(1.0 / p))
     else:
         raise ValueError(f"unknown pooling {how}")
-    a = tiles.groupBy(*group).agg(*[e.alias(f"__d{k}") for k, e in enumerate(agg)])
-    return a.select(*group, F.array(*[F.col(f"__d{k}") for k in range(dim)]).alias("m"))
+    return sums.select(*group, F.transform("m", finish).alias("m"))
 
 
 def linear_head(bags: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float], vector: str = "m") -> DataFrame:
@@ -263,7 +247,7 @@ def extreme_instances(att: DataFrame, n: int = 8, value: str = "a_raw", group: S
 
 
 def suppress_non_peaks(att: DataFrame, kernel: int = 3, value: str = "a_raw", low: float | Column | None = None,
-                       max_rounds: int = 10, keys: Sequence[str] = ("name", "cls")) -> DataFrame:
+                       keys: Sequence[str] = ("name", "cls")) -> DataFrame:
     """Peak suppression on the attention grid: a cell that is not the maximum of its kernel window but lies in the
     window of a peak gets the value ``low`` (default: the smallest of its map); repeated until the peaks are stable.
 
@@ -280,7 +264,7 @@ def suppress_non_peaks(att: DataFrame, kernel: int = 3, value: str = "a_raw", lo
         x = x.withColumn("low", low if isinstance(low, Column) else F.lit(float(low)))
     x = cut_lineage(x.withColumn("peak", F.lit(False)))
     reach = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-    for _ in range(max_rounds):
+    while True:
         sent = x.withColumn("di", reach).withColumn("dj", reach)
         best = sent.groupBy(*keys, (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j")).agg(
             F.max(F.struct(F.col("v"), (-F.col("i")).alias("bi"), (-F.col("j")).alias("bj"))).alias("b"))
@@ -295,8 +279,7 @@ def suppress_non_peaks(att: DataFrame, kernel: int = 3, value: str = "a_raw", lo
         changed = nxt.where("changed").limit(1).count()
         x = nxt.drop("changed")
         if not changed:
-            break
-    return x.select(*keys, "i", "j", F.col("v").alias(value), "peak")
+            return x.select(*keys, "i", "j", F.col("v").alias(value), "peak")
 
 
 def score_bags(tiles: DataFrame, attention: dict[str, np.ndarray], head: tuple, dim: int, topk: int | None = None,

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagframe.functions.stats import chi2_pvalue, ratio
-from bagframe.operators.scan import hash_position, ordered_scan
+from bagframe.operators.hot import COUNT, attach
+from bagframe.operators.scan import hash60, hash_position, ordered_scan
 
 TINY = 1e-12
 
@@ -259,20 +260,22 @@ def report_from_counts(counts: DataFrame, group: Sequence[str] = (), threshold:
     in every group.
     """
     group = list(group)
-    scan = scan_scores(counts, group, blocks)
+    # one scan gives the AUC and the best point; the counts at a threshold need no order, so they come from the score counts
+    stats = group_statistics(scan_scores(counts, group, blocks), group, criterion, weight)
     if threshold is not None:
-        x = scan.withColumn("threshold", F.lit(float(threshold)))
+        x = counts.withColumn("threshold", F.lit(float(threshold)))
     else:
-        best = group_statistics(scan, group, criterion, weight).select(*group, "best")
         if threshold_from is not None:
             # a condition inside the aggregate, not a filter: a filter would be pushed below the scan and make Spark
             # compute the scan a second time for the chosen groups
             on = list(threshold_on)
-            found = best.groupBy(*on).agg(F.max(F.when(threshold_from, F.col("best")))["threshold"].alias("threshold"))
+            found = stats.groupBy(*on).agg(F.max(F.when(threshold_from, F.col("best")))["threshold"].alias("threshold"))
         else:
-            on, found = group, best.select(*group, F.col("best.threshold").alias("threshold"))
-        x = scan.join(found, on, "left") if on else scan.withColumn("threshold", found.scalar())
-    rep = x.groupBy(*group).agg(_auc().alias("auc"), F.max("threshold").alias("threshold"), *_threshold_counts())
+            on, found = group, stats.select(*group, F.col("best.threshold").alias("threshold"))
+        x = counts.join(found, on, "left") if on else counts.withColumn("threshold", found.scalar())
+    rep = x.groupBy(*group).agg(F.max("threshold").alias("threshold"), *_threshold_counts())
+    auc = stats.select(*group, "auc")
+    rep = rep.join(auc, group) if group else rep.withColumn("auc", auc.scalar())
     cells = [F.col(c) for c in ("low_neg", "high_neg", "low_pos", "high_pos")]
     rep = _with_chi2(rep, cells, "chi2", "chi2_dof", "p_thresh")
     return rep.select(*group, "threshold", "tn", "fp", "fn", "tp", "chi2", "p_thresh", *binary_scores(), "auc")
@@ -295,21 +298,31 @@ def brier_score(target: str, score: str) -> Column:
 
 
 def auc_permutation_test(df: DataFrame, target: str, score: str, id_col: str, permutations: int = 2000, seed: int = 1,
-                         blocks: int | None = None) -> DataFrame:
+                         blocks: int | None = None, ranges: int = 256) -> DataFrame:
     """p = (#{permuted AUC >= AUC} + 1) / (permutations + 1).
 
-    Permuting labels means choosing which rows are positive: for each permutation the rows are put in md5 order of
-    (seed, permutation, id) and the first n_pos become positive. Only the sum of their midranks matters.
+    Permuting labels means choosing which rows are positive: for each permutation the n_pos rows with the smallest md5 number of (seed,
+    permutation, id) become positive, and only the sum of their midranks matters. Numbers are counted by range, which the map side
+    combines: the ranges below the one in which the n_pos-th row lies add their sums, and only the rows of that range are ordered.
+    What is shuffled is permutations x ranges and rows x permutations / ranges.
     """
     ranks = midranks(df.withColumn("__s", F.col(score).cast("double")), "__s", blocks=blocks)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"),
-                     F.col(target).cast("long").alias("__y")).join(ranks.select("__s", "midrank"), "__s")
+    ranks = ranks.select("__s", F.col("n").alias(COUNT), "midrank")
+    rows = attach(df.select(F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"), F.col(target).cast("long").alias("__y")), ranks, ["__s"])
     base = rows.agg(F.sum("__y").alias("p"), F.count(F.lit(1)).alias("n"),
                     F.sum(F.when(F.col("__y") == 1, F.col("midrank"))).alias("r"))
-    drawn = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = hash_position(drawn, ["perm"], ["__id"], [F.lit(str(seed)), F.col("perm").cast("string")], blocks=blocks)
-    drawn = drawn.withColumn("p", base.select("p").scalar())
-    sums = drawn.where(F.col("pos") < F.col("p")).groupBy("perm").agg(F.sum("midrank").alias("rank_sum"))
+    drawn = rows.select("__id", "midrank", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    drawn = drawn.withColumn("__h", hash60(F.lit(str(seed)), F.col("perm").cast("string"), F.col("__id").cast("string")))
+    drawn = drawn.withColumn("range", F.floor(F.col("__h") / float((1 << 60) // ranges)))
+    per = drawn.groupBy("perm", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("midrank").alias("sum")).withColumn("p", base.select("p").scalar())
+    upto = Window.partitionBy("perm").orderBy("range")                                    # `ranges` rows
+    per = per.withColumn("upto", F.sum("n").over(upto)).withColumn("below", F.col("upto") - F.col("n"))
+    whole = per.where(F.col("upto") <= F.col("p")).groupBy("perm").agg(F.sum("sum").alias("whole"))
+    cut = per.where((F.col("below") < F.col("p")) & (F.col("p") < F.col("upto"))).select("perm", "range", (F.col("p") - F.col("below")).alias("take"))
+    # one row per permutation, a number the caller gives
+    part = drawn.join(F.broadcast(cut), ["perm", "range"])
+    part = part.withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy("__h", "__id"))).where(F.col("place") <= F.col("take"))
+    sums = whole.unionByName(part.groupBy("perm").agg(F.sum("midrank").alias("whole"))).groupBy("perm").agg(F.sum("whole").alias("rank_sum"))
     sums = sums.withColumn("r", base.select("r").scalar())
     hits = sums.agg(F.count_if(F.col("rank_sum") >= F.col("r")).alias("hits"))
     pn = F.col("p") * (F.col("n") - F.col("p"))
@@ -335,7 +348,7 @@ def permutation_test(df: DataFrame, v1: str, v2: str, id_col: str, statistic, pe
         score.alias("s"))
     base = rows.agg(score.alias("score"), F.count(F.lit(1)).alias("n"))
     scores = scores.withColumn("score", base.select("score").scalar())
-    hits = scores.agg(F.count_if(F.col("s") >= F.col("score")).alias("hits"))
+    hits = scores.agg(F.count_if(F.round("s", 12) >= F.round("score", 12)).alias("hits"))          # equal up to the order of summing
     return base.withColumn("hits", hits.scalar()).select(
         "score", "n", F.lit(permutations).alias("permutations"),
         ((F.col("hits") + 1.0) / (permutations + 1.0)).alias("p"))

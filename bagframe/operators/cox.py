@@ -5,10 +5,11 @@ Only p + p(p+1)/2 + 1 numbers per step come to the driver (p covariates).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from bagframe.operators.scan import BLOCK, ordered_scan
 from bagframe.operators.survival import concordance
 
 TIE_CHUNK = 4096
+DIVERGING = 15.0
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class CoxModel:
     n: int
     n_events: int
     iterations: int
+    converged: bool
+    """False if the step limit was reached, or a coefficient runs away because the likelihood has no finite maximum."""
 
     @property
     def lr_statistic(self) -> float:
@@ -92,7 +96,11 @@ def _newton_terms(rows: DataFrame, beta: np.ndarray, p: int) -> tuple[float, np.
 
 def fit_cox(df: DataFrame, duration: str, event: str, covariates: Sequence[str], max_steps: int = 30,
             tolerance: float = 1e-9) -> CoxModel:
-    """Fit by Newton-Raphson with step halving. Rows with a missing value are dropped."""
+    """Fit by Newton-Raphson with step halving. Rows with a missing value are dropped.
+
+    A step that cannot be halved into an improvement is an error. ``converged`` tells whether the gradient vanished at finite
+    coefficients: one standard deviation of a covariate that multiplies the hazard by more than exp(DIVERGING) counts as infinite.
+    """
     p = len(covariates)
     x = df.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
                   *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(covariates)])
@@ -109,28 +117,32 @@ def fit_cox(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     try:
         beta = np.zeros(p)
         ll, grad, hess = _newton_terms(rows, beta, p)
-        ll0, step_no = ll, 0
+        ll0, step_no, settled = ll, 0, False
         for step_no in range(1, max_steps + 1):
             step = np.linalg.solve(hess, grad)
             if float(grad @ step) < tolerance:
+                settled = True
                 break
             factor = 1.0
             while True:
                 new = _newton_terms(rows, beta + factor * step, p)
-                if new[0] >= ll - 1e-12 or factor < 1e-6:
+                if new[0] >= ll - 1e-9 * max(1.0, abs(ll)):
                     break
                 factor /= 2
+                if factor < 1e-6:
+                    raise ArithmeticError("no step in the Newton direction improves the likelihood")
             beta = beta + factor * step
             ll, grad, hess = new
         cov = np.linalg.inv(hess)
     finally:
         rows.unpersist()
     return CoxModel(tuple(covariates), tuple(map(float, beta / scale)), tuple(map(float, np.sqrt(np.diag(cov)) / scale)),
-                    tuple(map(float, means)), float(ll), float(ll0), int(st["n"]), int(st["e"]), step_no)
+                    tuple(map(float, means)), float(ll), float(ll0), int(st["n"]), int(st["e"]), step_no,
+                    settled and bool(np.abs(beta).max() < DIVERGING))
 
 
 def cox_summary(df: DataFrame, duration: str, event: str, covariates: Sequence[str]) -> DataFrame:
-    """(covariate, coef, exp_coef, std_err, lr_statistic, p, cind, cind_direct, n, n_events).
+    """(covariate, coef, exp_coef, std_err, lr_statistic, p, cind, cind_direct, n, n_events, converged).
 
     ``cind`` is the concordance of the fitted hazard (negated), ``cind_direct`` that of a single covariate itself.
     """
@@ -139,10 +151,10 @@ def cox_summary(df: DataFrame, duration: str, event: str, covariates: Sequence[s
     scored = complete.withColumn("__risk", -model.log_hazard())
     cind = concordance(scored, duration, event, "__risk").select("cind").scalar()
     spark = df.sparkSession
-    rows = [(c, b, float(np.exp(b)), e, model.lr_statistic, model.p_value, model.n, model.n_events)
+    rows = [(c, b, float(np.exp(b)), e, model.lr_statistic, model.p_value, model.n, model.n_events, model.converged)
             for c, b, e in zip(model.covariates, model.coef, model.std_err)]
     out = spark.createDataFrame(rows, "covariate string, coef double, exp_coef double, std_err double, "
-                                      "lr_statistic double, p double, n long, n_events long").withColumn("cind", cind)
+                                      "lr_statistic double, p double, n long, n_events long, converged boolean").withColumn("cind", cind)
     if len(covariates) == 1:
         direct = concordance(complete, duration, event, covariates[0]).select("cind").scalar()
         return out.withColumn("cind_direct", direct)
@@ -159,24 +171,56 @@ def baseline_hazard(df: DataFrame, model: CoxModel, duration: str, event: str) -
     return t.select("time", BLOCK, "hazard", F.col("cum_hazard").alias("cumulative"), F.col("cum_one").alias("place"))
 
 
-def expected_lifetime(df: DataFrame, model: CoxModel, duration: str, event: str, id_col: str, chunk: int = 1024) -> DataFrame:
+#: Segments of the logarithm of the hazard, and Chebyshev nodes in each: far more than double precision needs.
+WIDTH = 0.5
+NODES = 20
+
+
+def _chebyshev(values: np.ndarray) -> np.ndarray:
+    """Coefficients from the values at the Chebyshev nodes."""
+    n = values.shape[-1]
+    angle = np.pi * (np.arange(n) + 0.5) / n
+    c = values @ np.cos(np.outer(angle, np.arange(n))) * 2 / n
+    c[..., 0] /= 2
+    return c
+
+
+def expected_lifetime(df: DataFrame, model: CoxModel, duration: str, event: str, id_col: str) -> DataFrame:
     """(id, expected): area under each row's survival curve over the distinct times, by the trapezoid rule.
 
-    The baseline is cut into chunks of ``chunk`` times; rows meet chunks by an equi-join on the chunk number and
-    the partial areas are added up, so no task needs the whole baseline.
+    A row's curve depends on its hazard alone, smoothly, so no row meets the times. The logarithm of the hazard is cut into segments;
+    the area is worked out over all times at a few Chebyshev nodes of those segments that rows lie in, as sums that Spark adds up over
+    batches of times, and rows evaluate their segment's polynomial. Work is times x nodes + rows.
     """
     complete = df.dropna(subset=[duration, event, *model.covariates])
-    base = baseline_hazard(complete, model, duration, event)
-    base = base.withColumn("point", F.struct("place", "time", "cumulative"))
-    # a chunk also holds the first point of the next one, so every interval lies in exactly one chunk
-    home, last = F.floor((F.col("place") - 1) / chunk), (F.col("place") - 1) % chunk == 0
-    both = F.when(last & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    pieces = base.select(F.explode(both).alias("chunk"), "point").groupBy("chunk").agg(
-        F.array_sort(F.collect_list("point")).alias("p"))
-    n_chunks = base.agg(F.max(home)).scalar()
-    rows = complete.select(F.col(id_col), F.exp(model.log_hazard()).alias("__h"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
-    steps = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: (
-        b["time"] - a["time"]) * (F.exp(-a["cumulative"] * F.col("__h")) + F.exp(-b["cumulative"] * F.col("__h"))) / 2)
-    area = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
-    return rows.join(pieces, "chunk").groupBy(id_col).agg(F.sum(area).alias("expected"))
+    rows = complete.select(F.col(id_col), model.log_hazard().alias("__eta"))
+    rows = rows.withColumn("__seg", F.floor(F.col("__eta") / WIDTH))
+    # exp(eta) is a double, so eta spans less than 1500 and there are fewer than 3000 segments
+    segments = np.array(sorted(r[0] for r in rows.select("__seg").distinct().collect()), dtype=np.float64)
+    point = np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
+    hazards = np.exp((segments[:, None] + 0.5 + point[None] / 2) * WIDTH).ravel()
+
+    t = baseline_hazard(complete, model, duration, event).select("time", BLOCK, "hazard", F.lit(0).cast("long").alias("one"))
+    steps = ordered_scan(t, "time", [], ["hazard"], next_cols=["time", "hazard"], block_expr=F.col(BLOCK)).where("next_time is not null")
+    steps = steps.select((F.col("next_time") - F.col("time")).alias("width"), "cum_hazard", (F.col("cum_hazard") + F.col("next_hazard")).alias("next"))
+
+    def areas(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(hazards))
+        for pdf in frames:
+            for a in range(0, len(pdf), 512):
+                part = pdf.iloc[a:a + 512]
+                width, low, high = (part[c].to_numpy(np.float64) for c in ("width", "cum_hazard", "next"))
+                total += width @ (np.exp(-np.outer(low, hazards)) + np.exp(-np.outer(high, hazards))) / 2
+        yield pd.DataFrame({"k": np.arange(len(hazards)), "area": total})
+
+    sums = steps.mapInPandas(areas, "k int, area double").groupBy("k").agg(F.sum("area").alias("area")).collect()
+    value = np.zeros(len(hazards))
+    for r in sums:
+        value[r["k"]] = r["area"]
+    table = [(int(s), [float(v) for v in c]) for s, c in zip(segments, _chebyshev(value.reshape(-1, NODES)))]
+    known = df.sparkSession.createDataFrame(table, "__seg long, __c array<double>")
+    x = (F.col("__eta") / WIDTH - F.col("__seg")) * 2 - 1
+    zero = F.struct(F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+    clenshaw = F.aggregate(F.reverse(F.slice("__c", 2, NODES)), zero, lambda s, c: F.struct((c + 2 * x * s["b1"] - s["b2"]).alias("b1"), s["b1"].alias("b2")))
+    out = rows.join(F.broadcast(known), "__seg").withColumn("__b", clenshaw)
+    return out.select(id_col, (F.col("__c")[0] + x * F.col("__b.b1") - F.col("__b.b2")).alias("expected"))

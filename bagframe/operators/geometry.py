@@ -166,9 +166,6 @@ def contour_distances(contours: DataFrame, within: float, file: str = "file", na
     return j.groupBy(F.col("file").alias(file), "a", "b").agg(F.min("distance").alias("distance"))
 
 
-CROWDED = 256
-
-
 def _overlap_links(boxes: DataFrame, group: str) -> DataFrame:
     """(group, id, other): for every box at most a few boxes it strictly overlaps; none only if no two overlap.
 
@@ -204,15 +201,9 @@ def _probes(boxes: DataFrame, group: str) -> DataFrame:
     return b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
 
 
-def _thin(boxes: DataFrame, group: str) -> bool:
-    """Whether no grid cell holds so many boxes that listing its overlapping pairs would be expensive."""
-    top = _probes(boxes, group).groupBy(group, "level", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return top is None or top <= CROWDED
-
-
 def _exact_links(boxes: DataFrame, group: str) -> DataFrame:
-    """All strictly overlapping pairs. Used when cells are thinly populated, or when the linear links are exhausted:
-    what is left then are nearly disjoint boxes, of which only few can share a cell of their own size."""
+    """All strictly overlapping pairs. Used when the linear links are exhausted: what is left then are nearly disjoint boxes, of which
+    only few can share a cell of their own size."""
     x = _probes(boxes, group)
     cellkey = [group, "level", "cx", "cy"]
     big = x.where(F.col("own") == F.col("level")).select(*cellkey, F.struct("id", "x0", "y0", "x1", "y1").alias("o"))
@@ -252,7 +243,7 @@ def merge_boxes(boxes: DataFrame, group: str = "file", id_col: str = "id", max_r
         F.col(group), F.col(id_col).alias("id"), F.col("col").cast("double").alias("x0"), F.col("row").cast("double").alias("y0"),
         (F.col("col") + F.col("w")).cast("double").alias("x1"), (F.col("row") + F.col("h")).cast("double").alias("y1")))
     for _ in range(max_rounds):
-        links = cut_lineage(_exact_links(x, group) if _thin(x, group) else _overlap_links(x, group))
+        links = cut_lineage(_overlap_links(x, group))
         if links.isEmpty():
             links = cut_lineage(_exact_links(x, group))
             if links.isEmpty():

@@ -237,4 +237,4 @@ def with_views(sql: str, *views: str, **more: str) -> str:
     for v in views:
         add(v)
     parts = [f"{v} as ({SQL[v]})" for v in order] + [f"{k} as ({v})" for k, v in more.items()]
-    return f"with {', '.join(parts)}\n{sql}" if parts else sql
+    return f"with recursive {', '.join(parts)}\n{sql}" if parts else sql

@@ -12,6 +12,7 @@ from bagframe.operators import predict as P
 from bagframe.operators import profile as PR
 from bagframe.operators import saliency as SA
 from bagframe.operators import tiles as TI
+from bagframe.operators.scan import ordered_scan
 from bagframe.operators.spec import CohortSpec, TrainType
 from bagframe.plans import fixtures as fx
 from bagframe.plans.registry import query
@@ -89,10 +90,9 @@ def _(spark, sf):
             range(0, 5) a(r), range(0, 6) b(c) left join masks m on m.name = q.name and m.mi = r - 2 and m.mj = c + 16""", ("tiles", "masks"))
 def _(spark, sf):
     """Regions across the border read as zero."""
-    names = fx.tiles(spark, sf).select("name").distinct()
-    rank = F.array_sort(F.collect_list("name"))
-    regions = names.agg(rank.alias("n")).select(F.posexplode("n").alias("p", "name")).select(
-        (F.col("p") + 1).alias("region"), "name", F.lit(-2).alias("y"), F.lit(16).alias("x"), F.lit(5).alias("h"), F.lit(6).alias("w"))
+    names = fx.tiles(spark, sf).select("name").distinct().withColumn("one", F.lit(1).cast("long"))
+    numbered = ordered_scan(names, "name", [], ["one"], blocks=1)          # one row per bag
+    regions = numbered.select(F.col("cum_one").alias("region"), "name", F.lit(-2).alias("y"), F.lit(16).alias("x"), F.lit(5).alias("h"), F.lit(6).alias("w"))
     return TI.padded_region(fx.masks(spark, sf), regions)
 
 
@@ -119,23 +119,23 @@ def _(spark, sf):
 
 
 @query("background_distances", "name:s i:l j:l distance:d",
-       """select a.name, a.i, a.j, sqrt(min(power(a.i - b.i, 2) + power(a.j - b.j, 2))) as distance from g a join g b on a.name = b.name and b.t = 0 group by all""",
+       """select a.name, a.i, a.j, sqrt(min(power(a.i - b.i, 2) + power(a.j - b.j, 2))) as distance from g a left join g b on a.name = b.name and b.t = 0 group by all""",
        "tiles", g="select name, i, j, case when (vec_id * 7) % 10 < 2 then 0 else 1 end as t from tiles")
 def _(spark, sf):
     """Euclidean distance of every cell to the nearest background cell of its bag."""
     g = fx.tiles(spark, sf).withColumn("tissue", F.when((F.col("vec_id") * 7) % 10 < 2, 0).otherwise(1))
-    return TI.background_distance(g).where(F.col("distance").isNotNull())
+    return TI.background_distance(g)
 
 
 @query("distance_map", "name:s i:l j:l weight:d",
        """select name, i, j, k / sum(k) over (partition by name) as weight from (select *, case when s < quantile_cont(s, 0.98) over (partition by name) then 0 else s end as k from (
             select *, power(d / max(d) over (partition by name), 2) as s from (
-              select a.name, a.i, a.j, sqrt(min(power(a.i - b.i, 2) + power(a.j - b.j, 2))) as d from g a join g b on a.name = b.name and b.t = 0 group by all)))""",
+              select a.name, a.i, a.j, sqrt(min(power(a.i - b.i, 2) + power(a.j - b.j, 2))) as d from g a left join g b on a.name = b.name and b.t = 0 group by all)))""",
        "tiles", g="select name, i, j, case when (vec_id * 7) % 10 < 2 then 0 else 1 end as t from tiles")
 def _(spark, sf):
     """Squared, cut at the 98th percentile, and normalised distances."""
     g = fx.tiles(spark, sf).withColumn("tissue", F.when((F.col("vec_id") * 7) % 10 < 2, 0).otherwise(1))
-    return TI.distance_map(g).where(F.col("weight").isNotNull())
+    return TI.distance_map(g)
 
 
 @query("feature_map_normalised", "vec_id:l first:d total:d",
@@ -295,7 +295,7 @@ def _(spark, sf):
 @query("bag_vectors_wide", "name:s cls:l p:l m:d", "select name, cls, p, m from bags", "tiles", **BAG_STEPS)
 def _(spark, sf):
     """The same through Arrow batches, the way for wide vectors."""
-    return BG.bag_vectors(_soft(spark, sf), DIM, method="batches").select("name", "cls", F.posexplode("m").alias("p", "m"))
+    return BG.bag_vectors(_soft(spark, sf), DIM).select("name", "cls", F.posexplode("m").alias("p", "m"))
 
 
 W2 = [[((c * 7 + d * 3) % 5 - 2) / 4.0 for d in range(DIM)] for c in range(2)]
@@ -408,22 +408,42 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- encoders
 
-@query("tiles_encoded_bands", "vec_id:l mean:d std:d min:d max:d h0:d",
-       """select vec_id, avg(x) as mean, stddev_pop(x) as std, min(x) as min, max(x) as max, avg(cast(x < -0.875 as integer)) as h0 from (
-            select vec_id, cast(unnest(embedding) as double) as x from embeddings) group by vec_id""", digits=5)
+_BINS = [f"h{k}" for k in range(16)]
+
+
+@query("tiles_encoded_bands", "vec_id:l mean:d std:d min:d max:d " + " ".join(f"{b}:d" for b in _BINS),
+       """select vec_id, avg(x) as mean, stddev_pop(x) as std, min(x) as min, max(x) as max, """
+       + ", ".join(f"avg(cast({'x >= ' + str(-1 + k / 8) if k else 'true'} and {'x < ' + str(-0.875 + k / 8) if k < 15 else 'true'} as integer)) as h{k}" for k in range(16))
+       + " from (select vec_id, cast(unnest(embedding) as double) as x from embeddings) group by vec_id", digits=5)
 def _(spark, sf):
     """Band statistics of 8 x 8 tiles in Arrow batches."""
     t = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("pixels"))
     e = E.encode_tiles(t, "bands", (8, 8, 1), batch_size=64, bins=16, low=-1.0, high=1.0)
-    return e.select("vec_id", *[F.col("feat")[k].alias(n) for k, n in enumerate(("mean", "std", "min", "max", "h0"))])
+    return e.select("vec_id", *[F.col("feat")[k].alias(n) for k, n in enumerate(("mean", "std", "min", "max", *_BINS))])
+
+
+def _orbit_weights() -> str:
+    """Values (pixel, feature, weight): the projection's weights averaged over the eight places a pixel takes."""
+    m = np.random.default_rng(1).standard_normal((64, 4)) / 8.0
+    rows = []
+    for i in range(8):
+        for j in range(8):
+            places = [(i, j), (7 - j, i), (7 - i, 7 - j), (j, 7 - i)]
+            places += [(7 - a, b) for a, b in places]
+            w = sum(m[8 * a + b] for a, b in places) / 8
+            rows += [f"({8 * i + j + 1}, {k}, {w[k]!r}::double)".replace("np.float64(", "").replace(")::", "::") for k in range(4)]
+    return "select * from (values " + ", ".join(rows) + ") t(p, k, w)"
 
 
-@query("tiles_encoded_eight_views", "vec_id:l f0:d f1:d")
+@query("tiles_encoded_eight_views", "vec_id:l f0:d f1:d f2:d f3:d",
+       "select vec_id, " + ", ".join(f"sum(case when k = {k} then x * w end) as f{k}" for k in range(4)) + """ from (
+            select vec_id, unnest(range(1, 65)) as p, (unnest(embedding) * 100.0e0 + 128) / 255.0e0 * 2 - 1 as x from embeddings) join orbit using (p) group by vec_id""",
+       digits=4, orbit=_orbit_weights())
 def _(spark, sf):
     """A fixed random projection averaged over the eight flips and turns."""
     t = fx.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v * 100 + 128).alias("pixels"))
     e = E.encode_tiles(t, "projection", (8, 8, 1), normalise="-11", augment="rot8m", size=4)
-    return e.select("vec_id", F.col("feat")[0].alias("f0"), F.col("feat")[1].alias("f1"))
+    return e.select("vec_id", *[F.col("feat")[k].alias(f"f{k}") for k in range(4)])
 
 
 # ---------------------------------------------------------------- saliency

@@ -30,10 +30,10 @@ def _(spark, sf):
 
 
 @query("rows_selected_by_level_and_names", "name:s",
-       "select name from cohort where category2 = 'src1' and name in (select cast(doc_id as varchar) from documents where n_chars > 200)", "cohort")
+       "select name from cohort where category2 = 'src1' and name in (select cast(vec_id as varchar) from embeddings)", "cohort")
 def _(spark, sf):
     """Second category level, and names from a table."""
-    names = fx.table(spark, sf, "documents").where("n_chars > 200").select(F.col("doc_id").cast("string").alias("n"))
+    names = fx.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("n"))
     return C.select_rows(fx.cohort(spark, sf), BINARY, category="src1", names=names, level=2)
 
 
@@ -192,14 +192,19 @@ def _(spark, sf):
 
 
 @query("merge_left_and_right_only", "side:s key:s",
-       """select 'left' as side, cast(doc_id as varchar) as key from documents where doc_id not in (select doc_id from labels where quality = 1)
-          union all select 'right', cast(doc_id as varchar) from labels where quality = 1 and doc_id not in (select doc_id from documents)""")
+       """select 'left' as side, cast(doc_id as varchar) as key from documents where doc_id not in (select doc_id from labels)
+          union all select 'right', cast(doc_id as varchar) from labels where doc_id not in (select doc_id from documents)
+          union all select 'left events', cast(user_id as varchar) from events where user_id not in (select c_custkey from customer)
+          union all select 'right events', cast(c_custkey as varchar) from customer where c_custkey not in (select user_id from events)""")
 def _(spark, sf):
     """Rows only on one side of a join."""
-    lab = fx.table(spark, sf, "labels").where("quality = 1")
-    _, lo, ro = J.merge_check(fx.table(spark, sf, "documents"), lab, "doc_id")
-    return lo.select(F.lit("left").alias("side"), F.col("doc_id").cast("string").alias("key")).unionByName(
-        ro.select(F.lit("right").alias("side"), F.col("doc_id").cast("string").alias("key")))
+    def sides(left, right, lkey, rkey, tag):
+        _, lo, ro = J.merge_check(left, right, lkey, rkey)
+        return lo.select(F.lit("left" + tag).alias("side"), F.col(lkey).cast("string").alias("key")).unionByName(
+            ro.select(F.lit("right" + tag).alias("side"), F.col(rkey).cast("string").alias("key")))
+
+    labels = sides(fx.table(spark, sf, "documents"), fx.table(spark, sf, "labels"), "doc_id", "doc_id", "")
+    return labels.unionByName(sides(fx.table(spark, sf, "events"), fx.table(spark, sf, "customer"), "user_id", "c_custkey", " events"))
 
 
 @query("cohort_strict_merge", "name:s split:s chars:l",
@@ -503,23 +508,22 @@ def _(spark, sf):
 
 
 @query("list_surpluses", "part:s key:l",
-       """select 'both' as part, o_custkey as key from orders where o_custkey in (select c_custkey from customer where c_nationkey < 12)
-          union all select 'left', o_custkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 12)
-          union all select 'right', c_custkey from customer where c_nationkey < 12 and c_custkey not in (select o_custkey from orders)""")
+       """select 'both' as part, user_id as key from events where user_id in (select o_custkey from orders)
+          union all select 'left', user_id from events where user_id not in (select o_custkey from orders)
+          union all select 'right', o_custkey from orders where o_custkey not in (select user_id from events)""")
 def _(spark, sf):
     """Intersection and both surpluses; duplicates of the left list are kept."""
-    o = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
-    c = fx.table(spark, sf, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("key"))
-    parts = zip(("both", "left", "right"), C.surpluses(o, c, "key"))
+    users = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"))
+    orders = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    parts = zip(("both", "left", "right"), C.surpluses(users, orders, "key"))
     return C.concat(*[d.withColumn("part", F.lit(p)) for p, d in parts])
 
 
 @query("distinct_difference", "key:l",
-       "select c_custkey as key from customer except select o_custkey from orders where o_totalprice > 450000")
+       "select vec_id as key from embeddings except select doc_id from labels")
 def _(spark, sf):
-    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return C.distinct_difference(c, fx.table(spark, sf, "orders").where("o_totalprice > 450000").select(
-        F.col("o_custkey").alias("key")), "key")
+    vectors = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"))
+    return C.distinct_difference(vectors, fx.table(spark, sf, "labels").select(F.col("doc_id").alias("key")), "key")
 
 
 @query("distinct_in_order", "user_id:l event_type:s event_id:l",
@@ -583,10 +587,10 @@ def _(spark, sf):
         F.array_join(L.predicted_labels(sig, "multilabel", strict=True).cast("array<string>"), "").alias("strict"))
 
 
-@query("array_unrolled", "vec_id:l v0:d v1:d v2:d",
-       "select vec_id, embedding[1] as v0, embedding[2] as v1, embedding[3] as v2 from embeddings")
+@query("array_unrolled", "vec_id:l " + " ".join(f"v{k}:d" for k in range(64)),
+       "select vec_id, " + ", ".join(f"embedding[{k + 1}] as v{k}" for k in range(64)) + " from embeddings")
 def _(spark, sf):
-    return fx.table(spark, sf, "embeddings").select("vec_id", *L.unroll("embedding", 3, "v"))
+    return fx.table(spark, sf, "embeddings").select("vec_id", *L.unroll("embedding", 64, "v"))
 
 
 @query("hazards_to_survival", "name:s s0:d s1:d s2:d risk:d",
@@ -715,11 +719,14 @@ def _(spark, sf):
                                               S.first_not_smaller(n, x).alias("larger"), S.largest_not_greater(n, x).alias("smaller"))
 
 
-@query("grey_values", "vec_id:l grey:d",
-       "select vec_id, cast(embedding[1] as double) * 0.299e0 + cast(embedding[2] as double) * 0.587e0 + cast(embedding[3] as double) * 0.114e0 as grey from embeddings")
+@query("grey_values", "vec_id:l k:l grey:d",
+       """select vec_id, k, cast(embedding[3 * k + 1] as double) * 0.299e0 + cast(embedding[3 * k + 2] as double) * 0.587e0
+            + cast(embedding[3 * k + 3] as double) * 0.114e0 as grey from embeddings, range(0, 21) t(k)""")
 def _(spark, sf):
+    """Grey values of all 21 triples of every vector."""
     e = F.transform("embedding", lambda v: v.cast("double"))
-    return fx.table(spark, sf, "embeddings").select("vec_id", S.grey_value(e[0], e[1], e[2]).alias("grey"))
+    triples = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: S.grey_value(F.get(e, 3 * k), F.get(e, 3 * k + 1), F.get(e, 3 * k + 2)))
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.posexplode(triples).alias("k", "grey"))
 
 
 # ---------------------------------------------------------------- sort and telemetry

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bagframe.operators import annotations as AN
 from bagframe.operators import geometry as GE
 from bagframe.plans import fixtures as fx
+from bagframe.plans.oracle_parts import merged_boxes
 from bagframe.plans.registry import query
 from bagframe.sources import annotations_xml as X
 
@@ -208,7 +209,12 @@ def _(spark, sf):
     return GE.overlapping(a.where("type = 'Polygon'"), regions, cell=64.0)
 
 
-@query("boxes_merged", "file:s id:l row:d col:d h:d w:d")
+_LAST, _MERGE = merged_boxes("boxes")
+
+
+@query("boxes_merged", "file:s id:l row:d col:d h:d w:d", f"select file, id, y0 as row, x0 as col, y1 - y0 as h, x1 - x0 as w from {_LAST}", "tiles",
+       boxes="""select name as file, vec_id as id, cast(j * 20 + vec_id % 17 as double) as x0, cast(i * 20 + vec_id % 13 as double) as y0,
+              cast(j * 20 + vec_id % 17 + 8 + vec_id % 5 as double) as x1, cast(i * 20 + vec_id % 13 + 8 + vec_id % 9 as double) as y1 from tiles""", **_MERGE)
 def _(spark, sf):
     """Overlapping boxes replaced by their hull until none overlap."""
     t = fx.tiles(spark, sf)

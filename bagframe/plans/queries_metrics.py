@@ -13,6 +13,7 @@ from bagframe.operators import predict as P
 from bagframe.operators import profile as PR
 from bagframe.operators.spec import CohortSpec, TrainType
 from bagframe.plans import fixtures as fx
+from bagframe.plans.oracle_parts import chi2_tail
 from bagframe.plans.registry import query
 
 BINARY = CohortSpec(TrainType.CLF, ("Neg", "Pos"))
@@ -78,15 +79,18 @@ REPORT_SQL = """
 
 
 @query("binary_report_by_split",
-       "split:s threshold:d auc:d tn:l fp:l fn:l tp:l n:l n_pos:l f1:d acc:d bacc:d tpr:d fpr:d tnr:d fnr:d kappa:d chi2:d",
-       REPORT_SQL.format(metrics=BINARY_METRICS, chi2=CHI2), "preds",
+       "split:s threshold:d auc:d tn:l fp:l fn:l tp:l n:l n_pos:l f1:d acc:d bacc:d tpr:d fpr:d tnr:d fnr:d kappa:d chi2:d p_thresh:d",
+       f"select *, {chi2_tail('chi2')} as p_thresh from (" + REPORT_SQL.format(metrics=BINARY_METRICS, chi2=CHI2) + ")", "preds",
        **binary_steps("split", COUNTS.format(g="split")), best=BEST.format(g="split", roc="roc"))
 def _(spark, sf):
     """AUC, validation threshold reused on all splits, confusion metrics, chi-square."""
     return B.binary_report(fx.preds(spark, sf), "Pos", "out1", ["split"], threshold_from=F.col("split") == "validation")
 
 
-@query("chi_square_p_value", "split:s statistic:d p:d")
+@query("chi_square_p_value", "split:s statistic:d p:d",
+       f"""select *, {chi2_tail('statistic')} as p from (select split, {CHI2} as statistic from (
+         select split, count(*) filter (Pos = 0 and out1 <= 0.5) as a, count(*) filter (Pos = 0 and out1 > 0.5) as b,
+           count(*) filter (Pos = 1 and out1 <= 0.5) as c, count(*) filter (Pos = 1 and out1 > 0.5) as d from preds group by split))""", "preds")
 def _(spark, sf):
     """p-values of target against (score > 0.5)."""
     return B.chi_square_test(fx.preds(spark, sf), "Pos", "out1", 0.5, ["split"])
@@ -224,24 +228,33 @@ def _(spark, sf):
 @query("auc_permutation_test", "auc:d n:l permutations:l p:d",
        """select (select sum(case when Pos = 1 then r end) - max(p) * (max(p) + 1) / 2.0e0 from ranked)
               / (select max(p) * cast(count(*) - max(p) as double) from ranked) as auc,
-            (select count(*) from ranked) as n, 200 as permutations,
+            (select count(*) from ranked) as n, 2000 as permutations,
             ((select count(*) from (select k, sum(r) as s from (
                 select k, r, p, row_number() over (partition by k order by
                     cast('0x' || substr(md5('1:' || cast(k as varchar) || ':' || name), 1, 15) as bigint), name) as rn
-                from ranked, range(1, 201) t(k)) where rn <= p group by k)
-              where s >= (select sum(case when Pos = 1 then r end) from ranked)) + 1) / 201.0e0 as p""", "preds",
+                from ranked, range(1, 2001) t(k)) where rn <= p group by k)
+              where s >= (select sum(case when Pos = 1 then r end) from ranked)) + 1) / 2001.0e0 as p""", "preds",
        ranked="""select name, Pos, rank() over (order by out1) + (count(*) over (partition by out1) - 1) / 2.0e0 as r,
               sum(Pos) over () as p from preds""")
 def _(spark, sf):
-    """Permutation p-value of the AUC with 200 permutations; the hash decides the permutations on both sides."""
-    return B.auc_permutation_test(fx.preds(spark, sf), "Pos", "out1", "name", 200)
+    """Permutation p-value of the AUC with 2000 permutations; the hash decides the permutations on both sides."""
+    return B.auc_permutation_test(fx.preds(spark, sf), "Pos", "out1", "name")
+
+
+HASH15 = "cast('0x' || substr(md5({text}), 1, 15) as bigint)"
 
 
-@query("correlation_permutation_test", "score:d n:l permutations:l p:d")
+@query("correlation_permutation_test", "score:d n:l permutations:l p:d",
+       """select score, n, 2000 as permutations, ((select count(*) from (select k, corr(d.y, b.out1) as s from drawn d join base b using (slot) group by k)
+              where round(s, 12) >= round(score, 12)) + 1) / 2001.0e0 as p
+          from (select corr(y, out1) as score, count(*) as n from base)""", "preds",
+       base=f"""select name, cast(Pos as double) as y, out1, row_number() over (order by {HASH15.format(text="'order:' || name")}, name) as slot from preds""",
+       drawn=f"""select k, y, row_number() over (partition by k order by {HASH15.format(text="'1:' || cast(k as varchar) || ':' || name")}, name) as slot
+              from base, range(1, 2001) t(k)""")
 def _(spark, sf):
     """Permutation test of a user statistic given as an aggregate expression."""
     df = fx.preds(spark, sf).withColumn("y", F.col("Pos").cast("double"))
-    return B.permutation_test(df, "y", "out1", "name", F.corr, 50)
+    return B.permutation_test(df, "y", "out1", "name", F.corr)
 
 
 # ---------------------------------------------------------------- multiclass

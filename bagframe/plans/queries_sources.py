@@ -126,14 +126,17 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- inventories
 
-@query("file_inventory", "name:s suffix:s n:l",
-       """select name, '.parquet' as suffix, (select count(*) from region) + (select count(*) from nation) as n from (
-            select unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) as name)""")
+@query("file_inventory", "folder:s suffix:s n:l", "select lower(replace(r_name, ' ', '_')) as folder, '.csv' as suffix, 1 as n from region")
 def _(spark, sf):
-    """The given tables' folder as an inventory: names must be unique, contents are not read."""
-    inv = IN.unique_names(IN.list_files(spark, sf, "*.parquet"))
-    n = fx.table(spark, sf, "region").unionByName(fx.table(spark, sf, "nation"), allowMissingColumns=True).agg(F.count(F.lit(1))).scalar()
-    return inv.withColumn("n", n)
+    """Several folders, one per region, as one inventory: names must be unique, contents are not read."""
+    path = scratch_path(spark, "inventory")
+    nations = fx.table(spark, sf, "nation").join(fx.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    folders = [f"{path}/{r.lower().replace(' ', '_')}" for (r,) in nations.select("r_name").distinct().collect()]      # a folder each
+    for folder in folders:
+        own = F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))) == folder.rsplit("/", 1)[1]
+        IN.write_infos(nations.where(own).select("n_name").coalesce(1), folder)
+    inv = IN.unique_names(IN.list_files(spark, ",".join(folders), "*.csv"))
+    return inv.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder"), "suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("file_inventory_from_cache", "name:s suffix:s path:s", "select name, '.tif' as suffix, '{}/' || name || '.tif' as path from cohort".replace("{}", "/store"), "cohort")
@@ -185,15 +188,16 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- bags and attention
 
-@query("bag_store_round_trip", "name:s n:l code_size:l stride:l tiles:l sum_first:d",
-       "select name, count(*) as n, 64 as code_size, 256 as stride, count(*) as tiles, sum(cast(feat[1] as double)) as sum_first from bg where feat is not null group by name",
+@query("bag_store_round_trip", "name:s n:l code_size:l stride:l tiles:l sum_all:d",
+       "select name, count(*) as n, 64 as code_size, 256 as stride, count(*) as tiles, sum(list_sum(list_transform(feat, lambda v: cast(v as double)))) as sum_all from bg where feat is not null group by name",
        "tiles", bg=BG_TILES)
 def _(spark, sf):
     """Bags written without background, read back with their infos."""
     path = scratch_path(spark, "bags")
     SB.write_bags(bg_tiles(spark, sf), path, 256, 0.5, 256)
     t = SB.tiles_with_info(spark, path)
-    return t.groupBy("name", "n", "code_size", "stride").agg(F.count(F.lit(1)).alias("tiles"), F.sum(F.col("feat")[0].cast("double")).alias("sum_first"))
+    whole = F.aggregate("feat", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return t.groupBy("name", "n", "code_size", "stride").agg(F.count(F.lit(1)).alias("tiles"), F.sum(whole).alias("sum_all"))
 
 
 @query("bags_verified", "name:s side:s", "select distinct name, 'store' as side from tiles where name in ('b3', 'b7')", "tiles")
@@ -209,7 +213,8 @@ def _(spark, sf):
     from bagframe.operators.tiles import bag_info
 
     info = bag_info(fx.tiles(spark, sf), 256)
-    return info.agg(F.count(F.lit(1)).alias("n"), F.lit(SB.common_code_size(info)).alias("code_size"))
+    SB.common_code_size(info)                                  # an error if there are two
+    return info.agg(F.count(F.lit(1)).alias("n"), F.max("code_size").alias("code_size"))
 
 
 @query("attention_stored", "name:s cls:l total:d", "select name, cls, sum(a_raw) as total from att group by all", "tiles", att=ATT)

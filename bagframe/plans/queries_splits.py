@@ -95,10 +95,10 @@ def _(spark, sf):
        """select name, fold from tried where seed = (select max_by(seed, {'b': -balance, 's': seed}) from (
             select seed, round(avg(h), 12) as balance from (select seed, fold, (sqrt(count(*)) - sum(n_chars) / sqrt(sum(cast(n_chars as double) * n_chars))) / (sqrt(count(*)) - 1) as h
               from tried group by seed, fold) group by seed))""", "cohort",
-       tried=folds_sql("(select name, Pos, n_chars, s.k as seed from cohort, range(1, 21) s(k))", "name", "'1:' || cast(seed as varchar)", 4, "Pos", "seed"))
+       tried=folds_sql("(select name, Pos, n_chars, s.k as seed from cohort, range(1, 101) s(k))", "name", "'1:' || cast(seed as varchar)", 4, "Pos", "seed"))
 def _(spark, sf):
-    """Of 20 splittings the one whose test folds spread text length most evenly."""
-    return SP.balanced_folds(fx.cohort(spark, sf), BINARY, ["n_chars"], 4, iterations=20)
+    """Of 100 splittings the one whose test folds spread text length most evenly."""
+    return SP.balanced_folds(fx.cohort(spark, sf), BINARY, ["n_chars"], 4)
 
 
 @query("fold_rule_check", "n:l n_bad:l", "select count(*) as n, 0 as n_bad from cohort", "cohort")

@@ -8,6 +8,7 @@ from bagframe.operators import cox as CX
 from bagframe.operators import scan as SC
 from bagframe.operators import survival as SV
 from bagframe.plans import fixtures as fx
+from bagframe.plans.oracle_parts import chi2_tail, cox_steps
 from bagframe.plans.registry import query
 
 KM = """select {g}, time, events, censored, sum(events + censored) over (partition by {g} order by time desc) as at_risk,
@@ -54,7 +55,10 @@ def _(spark, sf):
     return SV.logrank(fx.surv(spark, sf), "duration", "event", "grp")
 
 
-@query("logrank_p_values", "a:s b:s p:d")
+@query("logrank_p_values", "a:s b:s p:d", f"select a, b, {chi2_tail('x')} as p from (select a, b, u * u / v as x from lr)", "surv",
+       arms="select grp as arm, duration, event from surv",
+       pairs="select x.arm as a, y.arm as b from (select distinct arm from arms) x join (select distinct arm from arms) y on x.arm < y.arm",
+       lr=LOGRANK.format(g="a, b"))
 def _(spark, sf):
     return SV.logrank(fx.surv(spark, sf), "duration", "event", "grp")
 
@@ -109,7 +113,20 @@ def _(spark, sf):
     return SC.ordered_scan(c, "day", [], ["n"]).select("l_shipdate", F.col("cum_n").alias("cum"), F.col("total_n").alias("total"))
 
 
-@query("survival_report_by_group", "grp:s n:l n_events:l cind:d p:d")
+@query("survival_report_by_group", "grp:s n:l n_events:l cind:d p:d",
+       f"""select grp, n, n_events, cind, case when n_events > 0 and n_events < n then {chi2_tail('x')} else -1 end as p
+          from (select grp, count(*) as n, sum(event) as n_events from surv group by grp)
+          left join (select g as grp, (concordant + tied / 2.0e0) / comparable as cind from pairs) using (grp)
+          left join (select grp, case when v > 0 then u * u / v end as x from lr) using (grp)""", "surv",
+       rows_="select grp as g, duration, event, marker as s, count(*) as n from surv group by all", pairs=PAIRS.format(g="i.g"),
+       cut="select grp, min(marker) as lo, quantile_cont(marker, 0.5) as mid from surv group by grp",
+       arms="select grp, duration, event, cast(case when lo < mid then marker >= mid else marker > mid end as integer) as arm from surv join cut using (grp)",
+       times="select distinct grp, duration as time from surv where event = 1",
+       lr="""select grp, sum(d1 - d * r1 / r) as u, sum(case when r > 1 then d * (r1 / r) * (r2 / r) * (r - d) / (r - 1) else 0 end) as v from (
+              select s.grp, t.time, sum(case when arm = 0 and event = 1 and duration = time then 1 else 0 end) as d1,
+                cast(sum(case when event = 1 and duration = time then 1 else 0 end) as double) as d, cast(count(*) filter (arm = 0) as double) as r1,
+                cast(count(*) filter (arm = 1) as double) as r2, cast(count(*) as double) as r
+              from arms s join times t on s.grp = t.grp and s.duration >= t.time group by s.grp, t.time) group by grp""")
 def _(spark, sf):
     """Concordance and median-split log-rank p per group."""
     return SV.survival_report(fx.surv(spark, sf), "duration", "event", "marker", ["grp"])
@@ -134,14 +151,26 @@ def _(spark, sf):
     return SV.cox_loss(df, "duration", "event", "s", ["grp"])
 
 
-@query("cox_fit", "covariate:s coef:d exp_coef:d lr_statistic:d p:d n:l n_events:l cind:d", digits=5)
+@query("cox_fit", "covariate:s coef:d exp_coef:d lr_statistic:d p:d n:l n_events:l converged:b cind:d",
+       """select unnest(['balance', 'nation']) as covariate, unnest([b1, b2]) as coef, exp(unnest([b1, b2])) as exp_coef, lr as lr_statistic, exp(-lr / 2) as p,
+            n, n_events, true as converged, cind from b9, (select 2 * (s8.ll - s0.ll) as lr from s8, s0), (select count(*) as n, sum(ev) as n_events from cox),
+            (select (concordant + tied / 2.0e0) / comparable as cind from pairs)""", "surv", digits=5,
+       cox="select duration as t, event as ev, marker / 1000 as x1, nation as x2 from surv where duration is not null and marker is not null and nation is not null",
+       **cox_steps("cox", 2),
+       rows_="select 1 as g, t as duration, ev as event, -(b1 * x1 + b2 * x2) as s, count(*) as n from cox, b9 group by all", pairs=PAIRS.format(g="i.g"))
 def _(spark, sf):
     """Proportional hazards fit with two covariates."""
     df = fx.surv(spark, sf).withColumn("balance", F.col("marker") / 1000)
     return CX.cox_summary(df, "duration", "event", ["balance", "nation"])
 
 
-@query("cox_expected_lifetime", "id:l expected:d", digits=5)
+@query("cox_expected_lifetime", "id:l expected:d",
+       """select id, sum((t1 - t) * (exp(-cumulative * h) + exp(-cumulative1 * h)) / 2) as expected from hazard, steps group by id""", "surv", digits=4,
+       cox="select id, duration as t, event as ev, marker / 1000 as x1 from surv where duration is not null and marker is not null",
+       **cox_steps("cox", 1),
+       hazard="select id, t as own, ev, exp(b1 * (x1 - (select avg(x1) from cox))) as h from cox, b9",
+       base="select t, sum(d / r) over (order by t) as cumulative from (select t, d, sum(r) over (order by t desc) as r from (select own as t, sum(h) as r, count(*) filter (ev = 1) as d from hazard group by own))",
+       steps="select * from (select t, cumulative, lead(t) over (order by t) as t1, lead(cumulative) over (order by t) as cumulative1 from base) where t1 is not null")
 def _(spark, sf):
     """Area under each row's predicted survival curve."""
     df = fx.surv(spark, sf).withColumn("balance", F.col("marker") / 1000)

@@ -63,5 +63,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def default_blocks(spark: SparkSession) -> int:
-    """How many key ranges an ordered scan uses: as many as shuffle partitions, within limits."""
-    return max(8, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """How many key ranges an ordered scan uses: as many as shuffle partitions, which the job sets by the size of its data."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
