@@ -270,18 +270,24 @@ def _(spark, sf):
     return ST.latest(spark.read.parquet(out), ["model", "start"]).withColumn("start", F.col("start").cast("date"))
 
 
-@query("stream_histogram_auc", "model:s auc:d",
-       """select model, sum(neg * (above + pos / 2.0e0)) / (max(p) * cast(max(n) as double)) as auc from (select *, coalesce(sum(pos) over (partition by model order by bin desc rows between unbounded preceding and 1 preceding), 0) as above,
+@query("stream_histogram_auc", "model:s auc:d error:d exact:d within:b",
+       """select model, auc, error, exact, abs(auc - exact) <= error + 1e-12 as within from (select model, sum(neg * (above + pos / 2.0e0)) / (max(p) * cast(max(n) as double)) as auc,
+              sum(pos * neg / 2.0e0) / (max(p) * cast(max(n) as double)) as error from (select *, coalesce(sum(pos) over (partition by model order by bin desc rows between unbounded preceding and 1 preceding), 0) as above,
               sum(pos) over (partition by model) as p, sum(neg) over (partition by model) as n
-            from (select model, least(floor(score * 50), 49) as bin, count(*) filter (target = 1) as pos, count(*) filter (target = 0) as neg from ev group by all)) group by model""", ev=EV)
+            from (select model, least(floor(score * 50), 49) as bin, count(*) filter (target = 1) as pos, count(*) filter (target = 0) as neg from ev group by all)) group by model)
+          join (select model, (sum(case when target = 1 then r end) - max(p) * (max(p) + 1) / 2.0e0) / (max(p) * cast(count(*) - max(p) as double)) as exact from (
+              select model, target, rank() over (partition by model order by score) + (count(*) over (partition by model, score) - 1) / 2.0e0 as r,
+                sum(target) over (partition by model) as p from ev) group by model) using (model)""", ev=EV)
 def _(spark, sf):
-    """AUC from streamed score histograms."""
+    """AUC from streamed score histograms, its error bound, and the exact AUC of the same events."""
     path, schema = _event_files(spark, sf, False)
     out, ck = scratch_path(spark, "hist"), scratch_path(spark, "ck")
     s = _predicted(ST.file_stream(spark, path, schema, 4))
     ST.run_batches(ST.windowed_score_histogram(s, "target", "score", ["model"], bins=50, delay="60 days"), ck, out)
     h = ST.latest(spark.read.parquet(out), ["model", "start", "bin"])
-    return ST.histogram_auc(h.groupBy("model", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["model"])
+    binned = ST.histogram_auc(h.groupBy("model", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["model"])
+    exact = B.roc_auc(_predicted(spark.read.schema(schema).parquet(path)), "target", "score", ["model"]).select("model", F.col("auc").alias("exact"))
+    return binned.join(exact, "model").withColumn("within", F.abs(F.col("auc") - F.col("exact")) <= F.col("error") + 1e-12)
 
 
 @query("stream_last_per_epoch", "run:s epoch:l metric:s value:d",
@@ -292,9 +298,11 @@ def _(spark, sf):
     out, ck = scratch_path(spark, "last"), scratch_path(spark, "ck")
     s = ST.file_stream(spark, path, schema, 4).select(
         F.concat(F.lit("run"), (F.col("user_id") % 5).cast("string")).alias("run"), F.dayofmonth("ts").alias("epoch"),
-        F.col("event_id").alias("seq"), F.col("event_type").alias("metric"), "value")
-    ST.run_batches(ST.last_per_epoch(s), ck, out)
-    return ST.latest(spark.read.parquet(out), ["run", "epoch", "metric"])
+        F.col("event_id").alias("seq"), F.col("event_type").alias("metric"), "value", "ts")
+    ST.run_batches(ST.last_per_epoch(s, delay="60 days"), ck, out)
+    compacted = scratch_path(spark, "last")
+    ST.compact(spark, out, compacted, ["run", "epoch", "metric", "start"])
+    return ST.last_values(spark.read.parquet(compacted))
 
 
 @query("stream_ingest_once", "part:s event_id:l",
@@ -308,7 +316,7 @@ def _(spark, sf):
         bad = F.col("event_id") % 13 == 0
         return batch.withColumns({"ok": ~bad, "error": F.when(bad, "unreadable")})
 
-    ST.ingest_new(ST.file_stream(spark, path, schema, 4), work, "event_id", base + "/out", base + "/report", base + "/ck")
+    ST.ingest_new(ST.file_stream(spark, path, schema, 4), work, "event_id", base + "/out", base + "/report", base + "/ck", delay="60 days")
     out, rep = spark.read.parquet(base + "/out"), spark.read.parquet(base + "/report")
     failed = J.not_done(rep.where("not ok").select("event_id").distinct(), out, "event_id")
     return out.select(F.lit("done").alias("part"), "event_id").unionByName(failed.select(F.lit("failed").alias("part"), "event_id"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +25,15 @@ def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def once_per_key(df: DataFrame, keys: Sequence[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """One row per key among re-deliveries that arrive within the watermark."""
+def once_per_key(df: DataFrame, keys: Sequence[str], *, delay: str, ts: str = "ts") -> DataFrame:
+    """One row per key among re-deliveries that arrive within ``delay``. It has no default: later re-deliveries come through and
+    rows that are later than that are dropped, so it has to follow from the source."""
     return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def windowed_confusion(df: DataFrame, target: str, pred: str, keys: Sequence[str], ts: str = "ts", window: str = "1 day",
-                       delay: str | None = "1 day") -> DataFrame:
-    """tp, fp, fn, tn per (keys, window). ``delay=None`` when the input already has a watermark."""
+def windowed_confusion(df: DataFrame, target: str, pred: str, keys: Sequence[str], *, delay: str | None, ts: str = "ts",
+                       window: str = "1 day") -> DataFrame:
+    """tp, fp, fn, tn per (keys, window); every window starts from zero. ``delay=None`` when the input already has a watermark."""
     x = df if delay is None else with_event_time(df, ts, delay)
     t, p = F.col(target) == 1, F.col(pred) == 1
     return x.groupBy(*keys, F.window(ts, window)).agg(
@@ -41,8 +41,8 @@ def windowed_confusion(df: DataFrame, target: str, pred: str, keys: Sequence[str
         F.count_if(~t & ~p).alias("tn")).select(*keys, F.col("window.start").alias("start"), "tp", "fp", "fn", "tn")
 
 
-def windowed_score_histogram(df: DataFrame, target: str, score: str, keys: Sequence[str], bins: int = 100,
-                             ts: str = "ts", window: str = "1 day", delay: str | None = "1 day") -> DataFrame:
+def windowed_score_histogram(df: DataFrame, target: str, score: str, keys: Sequence[str], *, delay: str | None, bins: int = 100,
+                             ts: str = "ts", window: str = "1 day") -> DataFrame:
     """Positives and negatives per (keys, window, score bin over [0, 1]): the bounded state behind a streaming AUC."""
     x = df if delay is None else with_event_time(df, ts, delay)
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
@@ -52,19 +52,27 @@ def windowed_score_histogram(df: DataFrame, target: str, score: str, keys: Seque
 
 
 def histogram_auc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AUC from score histograms: scores inside a bin count as ties, so the error is at most half the share of
-    positive-negative pairs that share a bin."""
+    """(keys..., auc, error): AUC from score histograms. Scores inside a bin count as ties, so the AUC is off by at most ``error``, half
+    the share of positive-negative pairs that share a bin."""
     from bagframe.operators.scan import ordered_scan
 
     s = ordered_scan(hist, "bin", list(keys), ["pos", "neg"], descending=True, block_expr=F.lit(0))
     wins = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
-    return s.groupBy(*keys).agg(ratio(F.sum(wins), F.max(F.col("total_pos").cast("double") * F.col("total_neg"))).alias("auc"))
+    pairs = F.max(F.col("total_pos").cast("double") * F.col("total_neg"))
+    return s.groupBy(*keys).agg(ratio(F.sum(wins), pairs).alias("auc"), ratio(F.sum(F.col("pos") * F.col("neg") / 2.0), pairs).alias("error"))
 
 
-def last_per_epoch(df: DataFrame, keys: Sequence[str] = ("run", "epoch", "metric")) -> DataFrame:
-    """Last metric value per key, kept up to date (update mode)."""
-    return df.groupBy(*keys).agg(F.max(F.struct("seq", "value")).alias("b")).select(
-        *keys, F.col("b.seq").alias("seq"), F.col("b.value").alias("value"))
+def last_per_epoch(df: DataFrame, keys: Sequence[str] = ("run", "epoch", "metric"), *, delay: str | None, ts: str = "ts", window: str = "1 day") -> DataFrame:
+    """Last metric value per key and window of event time, kept up to date (update mode). The state of a window goes with the watermark;
+    :func:`last_values` picks the last of a key's windows."""
+    x = df if delay is None else with_event_time(df, ts, delay)
+    return x.groupBy(*keys, F.window(ts, window)).agg(F.max(F.struct("seq", "value")).alias("b")).select(
+        *keys, F.col("window.start").alias("start"), F.col("b.seq").alias("seq"), F.col("b.value").alias("value"))
+
+
+def last_values(sink: DataFrame, keys: Sequence[str] = ("run", "epoch", "metric")) -> DataFrame:
+    """(keys..., seq, value) from the sink of :func:`last_per_epoch`."""
+    return latest(sink, list(keys), "seq").select(*keys, "value")
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink: str, mode: str = "append") -> None:
@@ -93,36 +101,29 @@ def _finish(q: StreamingQuery) -> None:
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: str = "batch") -> DataFrame:
-    """The newest row per key of an update-mode sink."""
+    """The newest row per key of an update-mode sink. The map side keeps one row per key; :func:`compact` keeps the sink itself short."""
     rest = [c for c in df.columns if c not in keys and c != version]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(*keys, "r.*")
 
 
+def compact(spark: SparkSession, sink: str, target: str, keys: Sequence[str]) -> None:
+    """Write the newest row per key of an update-mode sink as batch 0 of a new sink, which further runs continue."""
+    newest = latest(spark.read.option("basePath", sink).parquet(sink), keys)
+    newest.write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def ingest_new(stream: DataFrame, process: Callable[[DataFrame], DataFrame], key: str, out: str, report: str,
-               checkpoint: str) -> None:
-    """Process each arriving item once: items already in the report as ok are skipped, ``process`` returns rows with
-    ``ok`` and ``error``; successes go to ``out``, every attempt to ``report``, so failures can be retried.
+               checkpoint: str, *, delay: str, ts: str = "ts") -> None:
+    """Process each arriving item once: re-deliveries within ``delay`` are dropped by state, so a batch costs what the batch holds.
+    ``process`` returns rows with ``ok`` and ``error``; successes go to ``out``, every attempt to ``report``, so failures can be retried.
 
     Both tables are written per batch number with overwrite, which makes a repeated batch idempotent.
     """
-    spark = stream.sparkSession
-
-    def done(number: int) -> DataFrame | None:
-        try:
-            r = spark.read.option("basePath", report).parquet(report)
-        except AnalysisException:
-            return None
-        return r.where(F.col("ok") & (F.col("batch") < number)).select(key)
-
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        before = done(number)
-        if before is not None:
-            fresh = fresh.join(before, key, "left_anti")
-        result = process(fresh)
-        log = f"{report}/batch={number}"
-        result.select(key, "ok", "error").write.mode("overwrite").parquet(log)
+        result = process(batch)
+        result.select(key, "ok", "error").write.mode("overwrite").parquet(f"{report}/batch={number}")
         result.where("ok").drop("ok", "error").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    fresh = once_per_key(stream, [key], delay=delay, ts=ts)
+    q = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     _finish(q)
