@@ -26,7 +26,9 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "i
     is_hot = F.col(COUNT) * SHARE > stats.agg(F.sum(COUNT)).scalar()
     packed = F.struct(*[F.col(c) for c in values], F.lit(True).alias("__there"))
     hot = stats.where(is_hot).select(*keys, packed.alias("__hot"))
-    cold = stats.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("__deal"), packed.alias("__cold"))
+    # 0, but no literal: a literal key would be folded into a condition, and the join would deal by the other keys alone
+    zero = F.pmod(F.col(COUNT), F.lit(1)).cast("long")
+    cold = stats.where(~is_hot).select(*keys, zero.alias("__deal"), packed.alias("__cold"))
     spread = [F.col(c) for c, t in rows.dtypes if c not in keys and not t.startswith(_DEEP)]
     x = rows.join(F.broadcast(hot), keys, "left")
     # rows of hot keys are done; they travel on to any task, the same one again if the task is repeated

@@ -96,9 +96,8 @@ def test_expected_lifetime(spark):
     times = np.unique(t)
     h = np.cumsum([((t == u) & (e == 1)).sum() / risk[t >= u].sum() for u in times])
     want = [np.trapezoid(np.exp(-h * r), times) for r in risk]
-    for chunk in (4, 1024):
-        got = {r.id: r.expected for r in CX.expected_lifetime(df, m, "t", "e", "id", chunk).collect()}
-        assert np.allclose([got[i] for i in range(60)], want)
+    got = {r.id: r.expected for r in CX.expected_lifetime(df, m, "t", "e", "id").collect()}
+    assert np.allclose([got[i] for i in range(60)], want)
 
 
 def test_cox_loss(spark):
@@ -118,3 +117,40 @@ def test_hazards_of_the_toy_array(spark):
 def test_dichotomise_when_the_median_is_the_minimum(spark):
     rows = SV.dichotomise(table(spark, [1] * 5, [1] * 5, [2, 2, 2, 3, 4]), "s").orderBy("id").collect()
     assert [r.arm for r in rows] == [0, 0, 0, 1, 1]
+
+
+def test_cox_says_when_it_does_not_converge(spark):
+    """Durations ordered by the covariate: the likelihood grows without end."""
+    df = spark.createDataFrame([(float(i), 1, float(-i)) for i in range(1, 30)], "t double, e int, x double")
+    assert not CX.fit_cox(df, "t", "e", ["x"]).converged
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    t = rng.exponential(np.exp(-0.7 * x))
+    df = spark.createDataFrame([(float(a), 1, float(b)) for a, b in zip(t, x)], "t double, e int, x double")
+    model = CX.fit_cox(df, "t", "e", ["x"])
+    assert model.converged and abs(model.coef[0] - 0.7) < 0.3
+
+
+def test_expected_lifetime_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x = rng.normal(size=n) * 3
+    t, e = rng.exponential(np.exp(-0.5 * x)) + 0.01, rng.integers(0, 2, n)
+    df = spark.createDataFrame([(i, float(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(t, e, x))], "id long, t double, e int, x double")
+    model = CX.fit_cox(df, "t", "e", ["x"])
+    got = {r["id"]: r["expected"] for r in CX.expected_lifetime(df, model, "t", "e", "id").collect()}
+    h = np.exp((x - model.means[0]) * model.coef[0])
+    times = np.unique(t)
+    hazard = np.array([((t == u) & (e == 1)).sum() / h[t >= u].sum() for u in times])
+    curve = np.exp(-np.outer(h, np.cumsum(hazard)))
+    want = ((times[1:] - times[:-1]) * (curve[:, 1:] + curve[:, :-1]) / 2).sum(1)
+    assert len(got) == n and np.allclose([got[i] for i in range(n)], want, rtol=1e-9)
+
+
+def test_p_values_as_columns(spark):
+    from bagframe.functions.stats import chi2_pvalue, chi2_sf
+
+    stats = [0.0, 1e-6, 0.3, 1.0, 3.84, 7.9, 8.1, 20.0, 55.0, 300.0]
+    df = spark.createDataFrame([(s, 1) for s in stats] + [(2.0, 0), (None, 1)], "s double, d int")
+    got = [r["p"] for r in df.select(chi2_pvalue(F.col("s"), F.col("d")).alias("p")).collect()]
+    assert np.allclose(got[:len(stats)], [chi2_sf(s, 1) for s in stats], rtol=1e-9, atol=1e-300) and got[-2:] == [1.0, None]
