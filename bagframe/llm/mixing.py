@@ -75,7 +75,7 @@ def schedule(plan: DataFrame, n_slots: int) -> DataFrame:
     # spans meet points through cells of equal width; points fill the cells evenly
     cut = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") * cells), F.least(F.floor(F.col("b") * cells), F.lit(cells - 1)))))
     hits = points.join(cut, "cell").where("u >= a and u < b").select("t", "source_no", "slots")
-    hits = store.written(hits.withColumn("chunk", F.floor(F.col("t") / _CHUNK)), "mix-hits")
+    hits = store.written(hits.withColumn("chunk", F.floor(F.col("t") / _CHUNK)), "mix-hits", n_slots)
     per_chunk = hits.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("hits"))
     earlier = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = per_chunk.withColumn("offset", F.coalesce(F.sum("hits").over(earlier), F.lit(0)))
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
     targets = store.written(source_targets(sized, weights, most), "mix-targets")
     n_rows = sized.count()
     numbered = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(sized.source)
-    rows = store.written(_streams(numbered, n_rows), "mix-rows")
+    rows = store.written(_streams(numbered, n_rows), "mix-rows", n_rows)
 
     take = F.round(F.col("target")).cast("long")
     plan = targets.where("source_size > 0").withColumn("take", take).withColumn("blocks", F.ceil(F.col("source_size") / block))
@@ -139,14 +139,17 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     copies = middle.groupBy("source_no", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     equal = rows.where("size > 0").groupBy("source_no", "source", "doc_id", "size").agg(F.count(F.lit(1)).alias("equals"))
     copies = store.written(equal.join(copies, (equal.source_no == copies.source_no) & equal.doc_id.eqNullSafe(copies.doc_id) & (equal.size == copies.size))
-                           .select(equal.source, equal.doc_id, equal.size, "equals", "copies"), "mix-copies")
+                           .select(equal.source, equal.doc_id, equal.size, "equals", "copies"), "mix-copies", rows.count())
     columns = [F.col(c) for c in docs.columns]
     sized = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         n_words(F.col("text").cast("string")).alias("size"))
     found = sized.join(copies, sized.doc_id.eqNullSafe(copies.doc_id) & sized.source.eqNullSafe(copies.source) & (sized["size"] == copies["size"]))
     found = found.select("row", "copies", "equals", sized.doc_id.alias("doc_id"), sized.source.alias("source"), sized["size"].alias("size"))
-    # rows that share id, source and size are numbered; in a table with distinct ids every window holds one row
-    number = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("row")["text"])) - 1
-    times = F.floor(F.col("copies") / F.col("equals")) + (F.col("number") < F.pmod("copies", F.col("equals"))).cast("int")
-    found = found.withColumn("number", F.when(F.col("equals") == 1, F.lit(0)).otherwise(number))
-    return found.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    single = found.where("equals = 1").withColumn("times", F.col("copies"))
+    if not copies.where("equals > 1").isEmpty():
+        # rows that share id, source and size are numbered
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("row")["text"])) - 1
+        several = found.where("equals > 1").withColumn("number", number)
+        times = F.floor(F.col("copies") / F.col("equals")) + (F.col("number") < F.pmod("copies", F.col("equals"))).cast("int")
+        single = single.unionByName(several.withColumn("times", times).drop("number"))
+    return single.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
