@@ -274,9 +274,10 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def links(members: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b, n): b null: set a has n links inside this pair of groups; else a link, enough of them to connect what is linked."""
-    members = store.written(members, "group-sets")
+def links(members: DataFrame, pairs: DataFrame, threshold: Fraction, shingles: int) -> DataFrame:
+    """(a, b, n): b null: set a has n links inside this pair of groups; else a link, enough of them to connect what is linked.
+    `shingles` is the size of all members together."""
+    members = store.written(members, "group-sets", files=1 + shingles // 500_000)
     a = members.select(F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("members").alias("of_a"))
     b = members.select(F.col("key").alias("key_b"), F.col("part").alias("part_b"), F.col("members").alias("of_b"))
     own = (F.col("key_a") == F.col("key_b")) & (F.col("part_a") == F.col("part_b"))
@@ -305,7 +306,7 @@ def links(members: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFram
                     "b": pa.array(np.concatenate([ids_b[j[tree]], np.zeros(len(who), np.int64)]), mask=np.concatenate([np.zeros(int(tree.sum()), bool), np.ones(len(who), bool)])),
                     "n": pa.array(np.concatenate([np.ones(int(tree.sum()), np.int64), times]))})
 
-    return store.written(inner.unionByName(outer).repartition(F.rand(7)).mapInArrow(verify, "a long, b long, n long"), "links")
+    return store.written(inner.unionByName(outer).repartition(F.rand(7)).mapInArrow(verify, "a long, b long, n long"), "links", files=16 + shingles // 500_000)
 
 
 def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int) -> DataFrame:
@@ -315,7 +316,8 @@ def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 4_000_000)), size)
     nodes, pairs = groups(shared, sizes, group_shingles)
-    found = links(node_sets(docs, table, nodes, size), pairs, threshold)
+    weight = int(nodes.agg(F.sum("n_shingles")).first()[0] or 0)
+    found = links(node_sets(docs, table, nodes, size), pairs, threshold, weight)
     roots = components(found.where("b is not null"))
     degree = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
     degree = store.written(degree.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left"), "near-roots", nodes.count())

@@ -21,12 +21,15 @@ def folder(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 200_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, files: int | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: lineage ends, and no lost executor
-    takes them along. `rows`, if the caller knows a bound, keeps a small table from becoming many tiny files."""
+    takes them along. `rows` (of a table of short rows, if the caller knows a bound) or `files` keep a small table from becoming
+    many tiny files; both grow with the data."""
     path = folder(df.sparkSession, name)
     if rows is not None:
-        df = df.coalesce(1 + rows // FILE_ROWS)
+        files = 1 + rows // FILE_ROWS
+    if files is not None:
+        df = df.coalesce(files)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
