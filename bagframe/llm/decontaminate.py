@@ -54,9 +54,10 @@ class PhraseIndex:
         or not; null texts have no words; extra columns are not read."""
         items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
         items = store.written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+        n = int(items.agg(F.sum(F.size("words"))).first()[0] or 0)
         places = items.select("item", "item_id", F.size("words").alias("item_words"), F.posexplode("words").alias("ipos", "term"))
-        terms = store.written(places.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms")
-        places = store.written(places.join(terms, "term").drop("term"), "item-places")
+        terms = store.written(places.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms", n)
+        places = store.written(places.join(terms, "term").drop("term"), "item-places", n)
         found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"),
                             words_of(F.col("text")).alias("words"))
         # a null word in front stands for the text itself, so one pass writes texts and postings
@@ -86,7 +87,7 @@ class PhraseIndex:
 
     def candidates(self, rarest: int = 2) -> DataFrame:
         """(row, item, diagonal) where the shifted lists of `need` anchors meet."""
-        anchors = store.written(self.anchors(rarest), "anchors")
+        anchors = store.written(self.anchors(rarest), "anchors", self.items.count())
         hits = self.postings.join(small(anchors), "term_id").withColumn("diagonal", F.col("pos") - F.col("ipos"))
         return hits.groupBy("row", "item", "diagonal").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").drop("hits", "need")
 
@@ -136,5 +137,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10
     are told by 128 bits of their text."""
     index = PhraseIndex.build(docs, benchmark, window)
     hit = index.exact(store.written(index.candidates(), "candidates")).select("row").distinct()
-    keys = store.written(index.texts.join(hit, "row").select("text_key").distinct(), "contaminated")
+    keys = store.written(index.texts.join(hit, "row").select("text_key").distinct(), "contaminated", index.texts.count())
     return docs.join(small(keys), text_key() == keys.text_key, "left_anti")
