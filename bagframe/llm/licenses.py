@@ -94,7 +94,7 @@ def _scanned(docs: DataFrame, grams: list[tuple[int, int, int]]) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "row": pa.array(np.arange(row, row + piece.num_rows)), "doc_id": piece.column("doc_id"), "n_words": pa.array(counts_per_text(w)),
                 "grams": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), entries),
-                "text": pa.compute.if_else(pa.array(has), piece.column("text"), pa.scalar(None, piece.column("text").type))})
+                "text": piece.column("text").take(pa.array(np.arange(piece.num_rows), mask=~has))})
             row += piece.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -215,6 +215,16 @@ def test_licenses(messy, rows):
     assert all(0 <= s.first < s.last <= r.n_words for r in got for s in r.spans)
 
 
+def test_licenses_in_many_pieces(spark):
+    """A batch that is cut into pieces: more text than one piece holds, in one partition."""
+    from bagframe.llm.licenses import scan_licenses
+
+    rows = [(i, ("word " * 20_000) + ("under the MIT license" if i % 3 == 0 else "nothing here")) for i in range(100)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: "mit" if i % 3 == 0 else "" for i, _ in rows}
+    assert all(r.first_word == 20_000 for r in got if r.labels)
+
+
 def test_licenses_empty(empty):
     from bagframe.llm.licenses import scan_licenses
 
