@@ -280,9 +280,10 @@ def links(members: DataFrame, pairs: DataFrame, threshold: Fraction, shingles: i
     members = store.written(members, "group-sets", files=1 + shingles // 500_000)
     a = members.select(F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("members").alias("of_a"))
     b = members.select(F.col("key").alias("key_b"), F.col("part").alias("part_b"), F.col("members").alias("of_b"))
-    own = (F.col("key_a") == F.col("key_b")) & (F.col("part_a") == F.col("part_b"))
-    inner = pairs.where(own).join(a, ["key_a", "part_a"]).select("of_a", F.lit(None).cast(a.schema["of_a"].dataType).alias("of_b")).where(F.size("of_a") > 1)
-    outer = pairs.where(~own).join(a, ["key_a", "part_a"]).join(b, ["key_b", "part_b"]).select("of_a", "of_b")
+    # every part is compared with itself, which needs no join
+    inner = members.where(F.size("members") > 1).select(F.col("members").alias("of_a"), F.lit(None).cast(members.schema["members"].dataType).alias("of_b"))
+    others = pairs.where(~((F.col("key_a") == F.col("key_b")) & (F.col("part_a") == F.col("part_b"))))
+    outer = others.join(a, ["key_a", "part_a"]).join(b, ["key_b", "part_b"]).select("of_a", "of_b")
 
     def unpack(members) -> tuple[np.ndarray, list[np.ndarray]]:
         entries = members.values
@@ -306,7 +307,7 @@ def links(members: DataFrame, pairs: DataFrame, threshold: Fraction, shingles: i
                     "b": pa.array(np.concatenate([ids_b[j[tree]], np.zeros(len(who), np.int64)]), mask=np.concatenate([np.zeros(int(tree.sum()), bool), np.ones(len(who), bool)])),
                     "n": pa.array(np.concatenate([np.ones(int(tree.sum()), np.int64), times]))})
 
-    return store.written(inner.unionByName(outer).repartition(F.rand(7)).mapInArrow(verify, "a long, b long, n long"), "links", files=16 + shingles // 500_000)
+    return store.written(inner.unionByName(outer).mapInArrow(verify, "a long, b long, n long"), "links", files=16 + shingles // 500_000)
 
 
 def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int) -> DataFrame:
