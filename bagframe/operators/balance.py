@@ -90,7 +90,8 @@ def weighted_sample(df: DataFrame, weight: str, id_col: str, n: int, seed: int =
                                                          F.floor(F.col("hi") / width))))
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
     u = hash60(F.lit(str(seed)), F.lit("draw"), F.col("draw").cast("string")) / float(1 << 60)
-    total_weight = per_hash.agg(F.sum("__s")).scalar()
+    # the scan's own total, so that the last interval ends exactly where the draws do
+    total_weight = s.agg(F.max("total___s")).scalar()
     draws = draws.withColumn("__u", u * total_weight).withColumn("bucket", F.floor(F.col("__u") / (total_weight / buckets)))
     hit = draws.join(rows, "bucket").where((F.col("lo") <= F.col("__u")) & (F.col("__u") < F.col("hi")))
     return df.join(hit.select("draw", F.col("id").alias(id_col)), id_col)
