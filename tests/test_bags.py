@@ -145,15 +145,13 @@ def merge_all(boxes):
             return sorted(map(tuple, boxes))
 
 
-def test_merged_boxes(spark, monkeypatch):
+def test_merged_boxes(spark):
     rng = np.random.default_rng(1)
     raw = [(int(r), int(c), int(h), int(w)) for r, c, h, w in zip(*rng.integers(0, 120, (2, 40)), *rng.integers(2, 22, (2, 40)))]
     want = merge_all([(r, c, r + h, c + w) for r, c, h, w in raw])
     df = spark.createDataFrame([("f", i, *b) for i, b in enumerate(raw)], "file string, id long, row int, col int, h int, w int")
-    for crowded in (256, 0):  # 0: the linear links alone, then the exact check
-        monkeypatch.setattr(GE, "CROWDED", crowded)
-        got = sorted((r.row, r.col, r.row + r.h, r.col + r.w) for r in GE.merge_boxes(df).collect())
-        assert got == want
+    got = sorted((r.row, r.col, r.row + r.h, r.col + r.w) for r in GE.merge_boxes(df).collect())
+    assert got == want
 
 
 def test_shape_intersection():
