@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+from fractions import Fraction
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -29,9 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id."""
+    """One document of each class of near copies, five-word shingles, Jaccard 0.8 or more: the one with the smallest id."""
     importable(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, Fraction(8, 10), 5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
