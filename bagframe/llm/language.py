@@ -171,14 +171,16 @@ def train(texts: list[str], labels: list[str], spans: int = 12, span_words: tupl
 
 def labelled_sample(docs: DataFrame, per_label: int = 300) -> list[tuple[str, str]]:
     """(text, lang) of about `per_label` documents of every label, fewer if a label has fewer: at most `per_label` times the number of
-    labels, which is the bound of what the driver holds. Chosen by a hash of the id, so a rerun takes the same ones."""
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    place = docs.select("doc_id", "lang").join(counts, "lang").withColumn("place", unit * F.col("n"))
-    total = per_label * counts.count()
-    picked = place.orderBy("place", "doc_id").limit(total).select("doc_id", "lang")
-    rows = docs.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("text", "lang", "doc_id").orderBy("doc_id", "lang", "text").limit(2 * total)
-    return [(r["text"], r["lang"]) for r in rows.collect()]
+    labels, which is the bound of what the driver holds. Chosen by a hash of id and text, so a rerun takes the same ones and a null id
+    is an id; rows equal in id, text and label are one example."""
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"), "lang", "text")
+    place = store.written(keyed.select("key", "lang").distinct(), "labelled")
+    counts = place.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.pmod(F.xxhash64("key"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    picked = place.join(counts, "lang").withColumn("place", unit * F.col("n"))
+    picked = picked.orderBy("place", "key", "lang").limit(per_label * counts.count()).select("key", "lang")
+    rows = keyed.join(F.broadcast(picked), ["key", "lang"], "left_semi").groupBy("key", "lang").agg(F.min("text").alias("text"))
+    return [(r["text"], r["lang"]) for r in rows.orderBy("key", "lang").collect()]
 
 
 def fit(docs: DataFrame, per_label: int = 300, **settings) -> Crf:

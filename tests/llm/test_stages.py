@@ -47,3 +47,15 @@ def test_near_copy_stage_takes_five_words_and_four_fifths(spark):
     want = near_firsts(docs)
     assert sorted(r.doc_id for r in got.collect()) == want
     assert {2, 4}.isdisjoint(want) and {2, 4} <= set(near_firsts(docs, 4, 85))
+
+
+def test_labelled_sample_with_more_null_ids_than_its_size(spark):
+    from bagframe.llm.language import labelled_sample
+
+    rows = [(i if i % 3 else None, f"text {i}", "en" if i % 2 else "de") for i in range(120)]
+    rows += [(None, "a copy", "en")] * 60
+    got = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_label=10)
+    assert len(got) == len(set(got)) == 20 and set(got) <= {(t, y) for _, t, y in rows}
+    assert all(5 <= sum(y == label for _, y in got) <= 15 for label in ("en", "de"))
+    null = {t for i, t, _ in rows if i is None}
+    assert any(t in null for t, _ in got) and any(t not in null for t, _ in got)
