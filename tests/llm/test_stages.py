@@ -59,3 +59,19 @@ def test_labelled_sample_with_more_null_ids_than_its_size(spark):
     assert all(5 <= sum(y == label for _, y in got) <= 15 for label in ("en", "de"))
     null = {t for i, t, _ in rows if i is None}
     assert any(t in null for t, _ in got) and any(t not in null for t, _ in got)
+
+
+def test_recognised_keeps_even_mixes(spark, sf):
+    from bagframe.llm.language import fit, predict, recognised
+    from bagframe.llm.queries import importable
+
+    importable(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    crf = fit(docs, per_label=60)
+    long = {r.lang: r.text.split() for r in docs.where("n_chars > 900").orderBy("doc_id").collect()}
+    odd = "qzx xqv 1a"                                        # a few words of no language between the parts
+    mixes = [(1, ("en", "fr"), ""), (2, ("de", "es"), odd), (3, ("en", "de", "fr"), ""), (4, ("es", "fr", "de"), odd), (5, ("en", "de", "es", "fr"), "")]
+    rows = [(i, f" {between} ".join(" ".join(long[y][:40]) for y in langs)) for i, langs, between in mixes]
+    mixed = spark.createDataFrame([*rows, (6, "12 34"), (7, None)], "doc_id long, text string")
+    assert min(r.score for r in predict(mixed, crf).collect() if r.doc_id in (3, 4, 5)) < 0.5
+    assert sorted(r.doc_id for r in recognised(mixed, crf).collect()) == [1, 2, 3, 4, 5]
