@@ -74,26 +74,40 @@ class PhraseIndex:
     def _span(self) -> Column:
         return F.least(F.lit(self.window), F.col("item_words"))
 
-    def anchors(self, rarest: int = 2) -> DataFrame:
-        """(item, ipos, term_id, need): the rarest places of every window; windows with a term that no text has are out."""
+    def anchors(self, rarest: int = 2, slop: int = 0) -> DataFrame:
+        """(item, ipos, term_id, need, whole): the `rarest` + `slop` rarest places of every window, of the terms that some text has. `whole`
+        places are among the `rarest` of a window of which every term occurs; only such a window can be found exactly."""
         frequency = self.postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
         places = self.items.join(frequency, "term_id")
         first = F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - self._span() + 1), F.least(F.col("ipos"), F.col("item_words") - self._span())))
         windows = places.withColumn("start", first)
         by = Window.partitionBy("item", "start").orderBy("df", "ipos")
         full = F.count(F.lit(1)).over(Window.partitionBy("item", "start"))
-        chosen = windows.withColumn("turn", F.row_number().over(by)).withColumn("known", full).where((F.col("known") == self._span()) & (F.col("turn") <= rarest))
-        return chosen.select("item", "ipos", "term_id", F.least(F.lit(rarest), self._span()).alias("need")).distinct()
+        chosen = windows.withColumn("turn", F.row_number().over(by)).withColumn("known", full).where(F.col("turn") <= rarest + slop)
+        whole = F.max((F.col("known") == self._span()) & (F.col("turn") <= rarest))
+        chosen = chosen.groupBy("item", "ipos", "term_id").agg(F.min(F.least(F.lit(rarest), self._span())).alias("need"), whole.alias("whole"))
+        return store.written(chosen, "anchors", self.items.count())
 
-    def candidates(self, rarest: int = 2) -> DataFrame:
+    def hits(self, anchors: DataFrame) -> DataFrame:
+        """(row, item, diagonal, ipos, need) of every place where a text has an anchor."""
+        return self.postings.join(small(anchors), "term_id").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+
+    def candidates(self, anchors: DataFrame) -> DataFrame:
         """(row, item, diagonal) where the shifted lists of `need` anchors meet."""
-        anchors = store.written(self.anchors(rarest), "anchors", self.items.count())
-        hits = self.postings.join(small(anchors), "term_id").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+        hits = self.hits(anchors.where("whole"))
         return hits.groupBy("row", "item", "diagonal").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").drop("hits", "need")
 
-    def matches(self, candidates: DataFrame) -> DataFrame:
-        """(row, item, item_id, item_words, diagonal, ipos, pos): places where text and item agree on the candidates' diagonals."""
-        rows = small(candidates.select("row").distinct())
+    def near_candidates(self, anchors: DataFrame, slop: int) -> DataFrame:
+        """(row, item, diagonal) of anchor hits that, with those of other anchors on diagonals within `slop`, make `need`. So words may be
+        put in between two anchors, and `slop` of a window's rarest words be put out or occur in no text."""
+        near = self.hits(anchors).withColumn("centre", F.explode(F.sequence(F.col("diagonal") - slop, F.col("diagonal") + slop)))
+        near = near.groupBy("row", "item", "centre").agg(F.count_distinct("ipos").alias("hits"), F.max("need").alias("need"),
+                                                         F.max(F.col("diagonal") == F.col("centre")).alias("own"))
+        return near.where("own and hits >= need").select("row", "item", F.col("centre").alias("diagonal"))
+
+    def matches(self, candidates: DataFrame, rows: DataFrame) -> DataFrame:
+        """(row, item, item_id, item_words, diagonal, ipos, pos): places where text and item agree on the candidates' diagonals; `rows`
+        are the candidates' rows."""
         near = self.postings.join(rows, "row", "left_semi")
         wanted = candidates.join(self.items, "item").withColumn("pos", F.col("diagonal") + F.col("ipos"))
         return wanted.join(near, ["row", "pos", "term_id"])
@@ -101,15 +115,15 @@ class PhraseIndex:
     def exact(self, candidates: DataFrame) -> DataFrame:
         """(row, item, item_id, pos): text places inside an occurrence of a window of the item."""
         line = Window.partitionBy("row", "item", "diagonal")
-        runs = self.matches(candidates).withColumn("run", F.col("ipos") - F.row_number().over(line.orderBy("ipos")))
+        runs = self.matches(candidates, small(candidates.select("row").distinct())).withColumn("run", F.col("ipos") - F.row_number().over(line.orderBy("ipos")))
         length = F.count(F.lit(1)).over(Window.partitionBy("row", "item", "diagonal", "run"))
         return runs.withColumn("length", length).where(F.col("length") >= self._span()).select("row", "item", "item_id", "pos")
 
     def proximity(self, candidates: DataFrame, slop: int = 2) -> DataFrame:
         """(row, item, item_id, share): the largest share of an item's places that agree within `slop` of one candidate diagonal,
-        that is with at most so many words put in or left out."""
+        that is with at most so many words put in or left out. Nothing runs before the result is read."""
         shifted = candidates.withColumn("centre", F.col("diagonal")).withColumn("diagonal", F.explode(F.sequence(F.col("centre") - slop, F.col("centre") + slop)))
-        agree = self.matches(shifted).groupBy("row", "item", "item_id", "item_words", "centre").agg(F.count_distinct("ipos").alias("agree"))
+        agree = self.matches(shifted, candidates.select("row").distinct()).groupBy("row", "item", "item_id", "item_words", "centre").agg(F.count_distinct("ipos").alias("agree"))
         return agree.groupBy("row", "item", "item_id").agg(F.max(F.col("agree") / F.col("item_words")).alias("share"))
 
 
@@ -120,11 +134,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     item ids; a null item id counts as the empty string. near_share is the best proximity match, null without a candidate.
     """
     index = PhraseIndex.build(docs, benchmark, window)
-    candidates = store.written(index.candidates(), "candidates")
-    exact = index.exact(candidates)
+    anchors = index.anchors(slop=slop)
+    exact = index.exact(store.written(index.candidates(anchors), "candidates"))
     ids = F.array_sort(F.collect_set(F.coalesce("item_id", F.lit(""))))
     hit = exact.groupBy("row").agg(F.count_distinct("pos").alias("n_hit"), ids.alias("ids"))
-    near = index.proximity(candidates, slop).groupBy("row").agg(F.max("share").alias("near_share"))
+    near = index.proximity(index.near_candidates(anchors, slop), slop).groupBy("row").agg(F.max("share").alias("near_share"))
     found = index.texts.join(hit, "row", "left").join(near, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return found.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
@@ -136,6 +150,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """The rows of docs, with all their columns, whose text holds no window of the benchmark. That depends on the text alone, so rows
     are told by 128 bits of their text."""
     index = PhraseIndex.build(docs, benchmark, window)
-    hit = index.exact(store.written(index.candidates(), "candidates")).select("row").distinct()
+    hit = index.exact(store.written(index.candidates(index.anchors()), "candidates")).select("row").distinct()
     keys = store.written(index.texts.join(hit, "row").select("text_key").distinct(), "contaminated", index.texts.count())
     return docs.join(small(keys), text_key() == keys.text_key, "left_anti")

@@ -75,3 +75,17 @@ def test_recognised_keeps_even_mixes(spark, sf):
     mixed = spark.createDataFrame([*rows, (6, "12 34"), (7, None)], "doc_id long, text string")
     assert min(r.score for r in predict(mixed, crf).collect() if r.doc_id in (3, 4, 5)) < 0.5
     assert sorted(r.doc_id for r in recognised(mixed, crf).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_proximity_over_inserted_and_unknown_words(spark):
+    from bagframe.llm.decontaminate import contamination
+
+    item = "aa bb cc dd ee ff gg hh ii jj"
+    fill = " ".join(w for w in item.split() if w not in ("cc", "gg"))              # the anchors are the rarest: cc and gg
+    docs = [(1, item.replace("ee", "ee new")), (2, item.replace("ii", "other")), *[(k, fill) for k in range(10, 14)]]
+    known = {r.doc_id: r for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert known[1].near_share == 1.0 and known[2].near_share == 0.9 and not known[1].contaminated and not known[2].contaminated
+    alone = contamination(spark.createDataFrame([docs[1], (3, "nothing of it")], "doc_id long, text string"),
+                          spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: r.near_share for r in alone.collect()} == {2: 0.9, 3: None}      # no text has the tenth word
