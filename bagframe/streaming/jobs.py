@@ -112,18 +112,74 @@ def compact(spark: SparkSession, sink: str, target: str, keys: Sequence[str]) ->
     newest.write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
-def ingest_new(stream: DataFrame, process: Callable[[DataFrame], DataFrame], key: str, out: str, report: str,
-               checkpoint: str, *, delay: str, ts: str = "ts") -> None:
-    """Process each arriving item once: re-deliveries within ``delay`` are dropped by state, so a batch costs what the batch holds.
-    ``process`` returns rows with ``ok`` and ``error``; successes go to ``out``, every attempt to ``report``, so failures can be retried.
-
-    Both tables are written per batch number with overwrite, which makes a repeated batch idempotent.
+#: Batches whose keys are put together into one table, and so on with the tables; parts of such a table by the hash of the key.
+MERGED = 8
+PARTS = 256
+
+
+def _segments(n: int) -> list[tuple[int, int]]:
+    """(first batch, batches) of the tables that cover the batches before n: sizes are powers of MERGED, the largest first."""
+    out, first, size = [], 0, 1
+    while size * MERGED <= n:
+        size *= MERGED
+    while first < n:
+        while first + size > n:
+            size //= MERGED
+        out.append((first, size))
+        first += size
+    return out
+
+
+def _part(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def _succeeded(spark: SparkSession, out: str, key: str, segments: Sequence[tuple[int, int]], parts: Sequence[int] | None = None) -> DataFrame | None:
+    """(key, part) of the successes of these batches; with `parts` only of these."""
+    found = None
+    for first, size in segments:
+        if size == 1:
+            keys = spark.read.parquet(f"{out}/batch={first}").select(key).withColumn("part", _part(key))
+        else:
+            keys = spark.read.parquet(f"{out}-keys/{first}-{size}").select(key, "part")
+        if parts is not None:
+            keys = keys.where(F.col("part").isin(list(parts)))
+        found = keys if found is None else found.unionByName(keys)
+    return found
+
+
+def _merge_successes(spark: SparkSession, out: str, key: str, n: int) -> None:
+    """Tables that end at batch n, each from MERGED of the next smaller ones. A repeated call writes the same again."""
+    size = MERGED
+    while n and n % size == 0:
+        small = size // MERGED
+        keys = _succeeded(spark, out, key, [(n - size + i * small, small) for i in range(MERGED)])
+        keys.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}-keys/{n - size}-{size}")
+        size *= MERGED
+
+
+def ingest_new(stream: DataFrame, process: Callable[[DataFrame], DataFrame], key: str, out: str, report: str, checkpoint: str) -> None:
+    """Process each arriving item until it succeeds, and then no more: a batch leaves out the keys that earlier batches had success with,
+    however late a delivery is, so a failure that is delivered again is tried again. Of several deliveries in one batch one is taken.
+    ``process`` returns rows with ``ok`` and ``error``; successes go to ``out``, every attempt to ``report``.
+
+    Keys of successes are kept below ``{out}-keys``, in tables that grow with the powers of MERGED and are partitioned by the key's hash: a batch
+    reads a few tables, and of the merged ones only the parts that its own keys fall into. A null key is a key. All tables are written per
+    batch number with overwrite, which makes a repeated batch idempotent.
     """
+    spark = stream.sparkSession
+    out = out.rstrip("/")
+
     def write(batch: DataFrame, number: int) -> None:
-        result = process(batch)
+        fresh = batch.dropDuplicates([key])
+        _merge_successes(spark, out, key, number)
+        if number:
+            parts = [r["part"] for r in fresh.select(_part(key).alias("part")).distinct().collect()]       # PARTS numbers at most
+            done = _succeeded(spark, out, key, _segments(number), parts).select(F.col(key).alias("done_key"), F.col("part").alias("done_part"))
+            fresh = fresh.join(done, (_part(key) == F.col("done_part")) & F.col(key).eqNullSafe(F.col("done_key")), "left_anti")
+        result = process(fresh)
         result.select(key, "ok", "error").write.mode("overwrite").parquet(f"{report}/batch={number}")
         result.where("ok").drop("ok", "error").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    fresh = once_per_key(stream, [key], delay=delay, ts=ts)
-    q = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     _finish(q)
