@@ -131,3 +131,11 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.context_mixing import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), _remainder(10) != 0)
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on their 32 leading components, to variance one."""
+    from bagframe.llm.whitening import whitened_components
+
+    return whitened_components(table(spark, sf_dir, "embeddings"))
