@@ -139,3 +139,13 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagframe.llm.whitening import whitened_components
 
     return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by their sentences, learned from four fifths of the labels."""
+    from bagframe.llm.toxicity import toxic_scores
+
+    held = _remainder(5) == 0
+    found = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", "n_offending", "worst")
