@@ -87,6 +87,27 @@ select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, case when s.sid
 from d left join s using (r) left join m using (sid) left join k using (sid)"""
 
 
+COLLOCATIONS = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_low('text')}, '[.,;:!?\\x0A-\\x0D]')) as t from documents),
+w as (select lang, regexp_extract_all(t, '[^\\x20\\x09]+') as w from p),
+f as (select lang, m, phrase, count(*) as a from (
+        select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (
+            select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest([1, 2, 3, 4]) as m) where len(w) >= m))
+      group by lang, m, phrase),
+c as (select *, string_split(phrase, ' ') as ws from f where m >= 2 and a >= 30),
+k as (select *, unnest(range(1, m)) as k from c),
+x as (select k.lang, k.phrase, k.m, k.a, k.ws, k.k, l.a as l, r.a as r, (cast(2000000 as hugeint) * k.a) // (l.a + r.a) as score
+      from k join f as l on l.lang = k.lang and l.phrase = array_to_string(k.ws[1:k.k], ' ') join f as r on r.lang = k.lang and r.phrase = array_to_string(k.ws[k.k + 1:k.m], ' ')),
+b as (select *, row_number() over (partition by lang, phrase order by score, k) as cut from x),
+h as (select lang, sub, max(a) as longer from (
+        select lang, a, array_to_string(ws[i:i + n - 1], ' ') as sub from (
+            select *, unnest(range(1, m - n + 2)) as i from c, (select unnest([2, 3]) as n) where m > n)) group by lang, sub),
+s as (select b.* from b left join h on h.lang = b.lang and h.sub = b.phrase where cut = 1 and (longer is null or 100 * longer < 80 * a)),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from s),
+n as (select lang, cast(sum(a) as bigint) as n from f where m = 1 group by lang)
+select t.lang, rank, phrase, a, l, r, n.n, cast(score as bigint) as score from t join n using (lang) where rank <= 2000"""
+
+
 def _base_spans(kind: str, pattern: str, group: int, least: int) -> str:
     return f"""select r, '{kind}' as kind, e - n as s, e from (
         select r, n, k, sum(gap + n) over (partition by r order by i) as e from (
@@ -119,6 +140,7 @@ select doc_id, cast(coalesce(n1, 0) as bigint) as n_assign, cast(coalesce(n2, 0)
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (r)"""
 
 SQL = {
+    "op11_collocations": COLLOCATIONS,
     "op2_contamination": CONTAMINATION, "op5_line_dedup": LINE_DEDUP, "op6_secret_spans": SECRETS, "op7_source_mix": MIX,
     "op8_quality_cascade": QUALITY, "op10_jaccard_classes": JACCARD,
 }

@@ -149,3 +149,11 @@ def op12_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _remainder(5) == 0
     found = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
     return found.select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", "n_offending", "worst")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language, over all documents."""
+    from bagframe.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
