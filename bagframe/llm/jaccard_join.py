@@ -5,9 +5,10 @@ shingles, so with more than D classes some class is equal as a whole. The shingl
 a passage that many texts share makes no common token, only sets that agree on a whole class have one. Nodes without a token
 in common with another node are done.
 
-The others are partitioned into groups by their most common token; a group holds a bounded number of shingles. The matrix says
-which groups share a token. For such a pair of groups the union of one group's shingles bounds the overlap of every set of the
-other; a group is opened only for the sets that the bound lets through, and its members are counted exactly.
+The others are partitioned into groups by their most common token; a group holds a bounded number of shingles. The matrix is the
+union of the tokens of each group. For a set and another group the tokens that it shares with the group's union bound from above what it
+shares with a member; a group is opened only for the sets that the bound lets through, and its members are counted exactly. Only
+these sets travel to the group, each once, and groups that are asked by many are opened in several tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from bagframe.llm.components import components
 from bagframe.llm.decontaminate import small
 from bagframe.llm.words import SPACE, counts_per_text, mix, repeats, windows, words
 
-#: Shingles in a group of the matrix, about; what one task holds of a group.
-GROUP_SHINGLES = 100_000
+#: Shingles in a group of the matrix, about.
+GROUP_SHINGLES = 400_000
+#: Shingles of the sets that ask a group in one task, as a multiple of those of a group.
+_ASKING = 4
 #: Classes beyond D + 1, so that a few empty classes do not matter.
 _SLACK = 2
 
@@ -90,7 +93,12 @@ class Classes:
         return most, most + 1 + _SLACK + most // 16
 
     def tokens(self, text: np.ndarray, h: np.ndarray, size: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, set id) for all classes of all sets, in the role of the smaller and of the larger set.
+        """(token, set id) of :meth:`bounded_tokens`."""
+        return self.bounded_tokens(text, h, size, sid)[:2]
+
+    def bounded_tokens(self, text: np.ndarray, h: np.ndarray, size: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, set id, least) for all classes of all sets, in the role of the smaller and of the larger set; `least` is how many
+        tokens of this role a partner shares at least.
 
         Matching classes number K - D or more. A set with fewer empty classes than that cannot match in empty ones only; a set
         with as many, as all its partners then are, also has tokens for its empty classes.
@@ -116,56 +124,59 @@ class Classes:
             owner = np.repeat(np.arange(len(size)), k)
             empty = k - np.bincount(owner[filled], minlength=len(size))
             sparse = empty >= k - d
+            least = np.maximum(1, k - d - empty)
             keep = filled | sparse[owner]
             number = np.arange(len(owner)) - at[owner]
             salt = mix((own[owner].astype(np.uint64) << np.uint64(32)) ^ number.astype(np.uint64))
-            out.append((mix(total[keep] ^ salt[keep]), sid[owner[keep]]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            out.append((mix(total[keep] ^ salt[keep]), sid[owner[keep]], least[owner[keep]]))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, row): row is a hash of both, which tells rows of one id, or of none, apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def set_table(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, sid) of every row."""
+    """(doc_id, n_shingles, sid, row) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in store.pieces(batches):
             text, h = shingle_sets(piece.column("text"), size)
             n, sid = set_ids(text, h, piece.num_rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_shingles": pa.array(n), "sid": pa.array(sid)})
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_shingles": pa.array(n), "sid": pa.array(sid), "row": piece.column("row")})
 
-    return _texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, sid long")
+    return _texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, sid long, row long")
 
 
 def shared_tokens(docs: DataFrame, classes: Classes, buckets: int, size: int = 4) -> DataFrame:
-    """(token, sid): tokens that two or more different sets have. Tokens travel in arrays by bucket, and a bucket is one
+    """(token, sid, least): tokens that two or more different sets have. Tokens travel in arrays by bucket, and a bucket is one
     range of token hashes; `buckets` keeps it to a few million tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in store.pieces(batches):
             text, h = shingle_sets(piece.column("text"), size)
             n, sid = set_ids(text, h, piece.num_rows)
-            token, owner = classes.tokens(text, h, n, sid)
+            token, owner, least = classes.bounded_tokens(text, h, n, sid)
             if not len(token):
                 continue
             order = np.lexsort((owner, token)) if len(token) < 1000 else np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
+            token, owner, least = token[order], owner[order], least[order]
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])       # most repeats; the rest goes below
-            token, owner = token[fresh], owner[fresh]
+            token, owner, least = token[fresh], owner[fresh], least[fresh]
             bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             bounds = pa.array(np.append(cut, len(token)).astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cut]), "tokens": pa.ListArray.from_arrays(bounds, pa.array(token.view(np.int64))),
-                                              "sids": pa.ListArray.from_arrays(bounds, pa.array(owner))})
+            listed = lambda x: pa.ListArray.from_arrays(bounds, pa.array(x))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cut]), "tokens": listed(token.view(np.int64)), "sids": listed(owner),
+                                              "leasts": listed(least.astype(np.int32))})
 
     def reduce(found: pa.Table) -> pa.Table:
-        token = found.column("tokens").combine_chunks().flatten().to_numpy()
-        owner = found.column("sids").combine_chunks().flatten().to_numpy()
+        token, owner, least = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("tokens", "sids", "leasts"))
         order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        token, owner, least = token[order], owner[order], least[order]
         again = np.zeros(len(token), bool)
         again[1:] = token[1:] == token[:-1]
         run = np.cumsum(~again) - 1
@@ -173,56 +184,91 @@ def shared_tokens(docs: DataFrame, classes: Classes, buckets: int, size: int = 4
         differs = np.zeros(len(start), bool)
         np.logical_or.at(differs, run, owner != owner[start[run]])
         keep = differs[run]
-        pairs = np.unique(np.stack([token[keep], owner[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
-        return pa.table({"token": pa.array(pairs[0]), "sid": pa.array(pairs[1])})
+        token, owner, least = token[keep], owner[keep], least[keep]
+        order = np.lexsort((owner, token))
+        token, owner, least = token[order], owner[order], least[order]
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        return pa.table({"token": pa.array(token[first]), "sid": pa.array(owner[first]), "least": pa.array(least[first])})
 
-    arrays = _texts(docs).mapInArrow(scan, "bucket int, tokens array<long>, sids array<long>")
-    return store.written(arrays.groupBy("bucket").applyInArrow(reduce, "token long, sid long"), "shared-tokens")
+    arrays = _texts(docs).mapInArrow(scan, "bucket int, tokens array<long>, sids array<long>, leasts array<int>")
+    return store.written(arrays.groupBy("bucket").applyInArrow(reduce, "token long, sid long, least int"), "shared-tokens")
 
 
 def groups(shared: DataFrame, sizes: DataFrame, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sid, key, part): a node's group is its most common token, in parts of about group_shingles; and the pairs of parts
-    (key_a, part_a, key_b, part_b) whose groups share a token, each once."""
-    n = shared.count()
+    """(sid, n_shingles, g): a node's group is its most common token, in parts of about group_shingles; and the matrix (token, g): the union
+    of the tokens of every group, of those tokens that more than one group has."""
     common = shared.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
-    common = store.written(common, "token-sets", n)
     best = shared.join(common, "token").groupBy("sid").agg(F.max_by("token", F.struct("sets", "token")).alias("key"))
-    best = store.written(best.join(sizes, "sid"), "node-keys", n)
+    best = store.written(best.join(sizes, "sid"), "node-keys")
     parts = best.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / group_shingles)).alias("parts"))
-    parts = store.written(parts, "group-parts", n)
-    nodes = best.join(parts, "key").select("sid", "n_shingles", "key", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"))
-    nodes = store.written(nodes, "groups", n)
-    rows = store.written(shared.join(nodes.select("sid", "key"), "sid").select("token", "key").distinct(), "matrix", n)
-    a, b = rows.alias("a"), rows.alias("b")
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key"))).select(
-        F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
-    pairs = across.unionByName(parts.select(F.col("key").alias("key_a"), F.col("key").alias("key_b")))
-    pairs = pairs.join(parts.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a")), "key_a")
-    pairs = pairs.join(parts.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b")), "key_b")
-    pairs = pairs.withColumn("part_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_a") - 1)))
-    pairs = pairs.withColumn("part_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_b") - 1)))
-    return nodes, pairs.where("key_a <> key_b or part_a <= part_b").select("key_a", "part_a", "key_b", "part_b")
-
-
-def node_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, size: int = 4) -> DataFrame:
-    """(key, part, members) of every group: members are its sets as (sid, shingles), each read from one of the documents that have it.
-    A set comes more than once if rows repeat that document's id and text."""
-    one = table.join(nodes, "sid").groupBy("sid", "key", "part").agg(F.min("doc_id").alias("doc_id"))
-    one = store.written(one, "node-documents", nodes.count())
-    texts = _texts(docs).alias("d").join(small(one).alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("sid", "key", "part", "text")
+    nodes = best.join(parts, "key").select("sid", "n_shingles", F.xxhash64("key", F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("g"))
+    nodes = store.written(nodes, "groups")
+    union = shared.join(nodes.select("sid", "g"), "sid").select("token", "g").distinct()
+    several = union.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
+    return nodes, store.written(union.join(several, "token"), "matrix")
+
+
+def openings(shared: DataFrame, nodes: DataFrame, matrix: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(sid, g, chunk, member): which sets meet in which task. Members of a group are in all its tasks; another group's set is in one of them,
+    if it shares as many tokens with the group's union as it would with a partner. Of two groups one asks the other, so a pair meets once."""
+    own = shared.join(matrix.select("token").distinct(), "token", "left_semi").join(nodes.select("sid", "n_shingles", F.col("g").alias("own")), "sid")
+    lower, upper = F.least("own", "g"), F.greatest("own", "g")
+    asks = (F.col("own") == lower) == (F.pmod(F.xxhash64(lower, upper), F.lit(2)) == 0)
+    met = own.join(matrix, "token").where((F.col("own") != F.col("g")) & asks)
+    routes = met.groupBy("sid", "g").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
+    routes = store.written(routes.where("shared >= least").select("sid", "g", "n_shingles"), "routes")
+    chunks = routes.groupBy("g").agg((1 + F.floor(F.sum("n_shingles") / (_ASKING * group_shingles))).alias("chunks"))
+    asking = routes.join(chunks, "g").select("sid", "g", F.pmod(F.xxhash64("sid"), F.col("chunks")).alias("chunk"), F.lit(False).alias("member"))
+    opened = nodes.join(chunks, "g", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
+    return opened.select("sid", "g", "chunk", F.lit(True).alias("member")).unionByName(asking)
+
+
+def opened_sets(docs: DataFrame, table: DataFrame, meetings: DataFrame, size: int = 4) -> DataFrame:
+    """(g, chunk, member, sid, shingles): the sets of every task, each read from one of the documents that have it. A set comes more than
+    once if partitions repeat that document's id and text."""
+    goals = meetings.groupBy("sid").agg(F.collect_list(F.struct("g", "chunk", "member")).alias("goals"))
+    one = table.join(goals.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    one = store.written(one.join(goals, "sid"), "node-documents")
+    texts = _texts(docs).join(small(one), "row").select("sid", "goals", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for piece in store.pieces(batches):
             text, h = shingle_sets(piece.column("text"), size)
             _, sid = set_ids(text, h, piece.num_rows)
-            right = np.flatnonzero(sid == piece.column("sid").to_numpy())       # an id may be repeated with another text
             bounds = np.searchsorted(text, np.arange(piece.num_rows + 1))
-            if len(right):
-                yield pa.RecordBatch.from_pydict({c: piece.column(c).take(pa.array(right)) for c in ("sid", "key", "part")}
-                                                 | {"shingles": pa.array([h[bounds[i]: bounds[i + 1]].tobytes() for i in right], pa.binary())})
+            wanted, goals = piece.column("sid").to_numpy(), piece.column("goals")
+            for i in np.flatnonzero(sid == wanted):
+                if wanted[i] in done:
+                    continue
+                done.add(wanted[i])
+                into = goals[int(i)].values
+                shingles = pa.array([h[bounds[i]: bounds[i + 1]].tobytes()], pa.binary())
+                # a set with many goals leaves in steps
+                for a in range(0, len(into), 64):
+                    at = into.slice(a, 64)
+                    yield pa.RecordBatch.from_pydict({"g": at.field("g"), "chunk": at.field("chunk"), "member": at.field("member"),
+                                                      "sid": pa.array(np.full(len(at), wanted[i])), "shingles": pa.repeat(shingles[0], len(at))})
+
+    return texts.mapInArrow(_few(scan), "g long, chunk long, member boolean, sid long, shingles binary")
+
 
-    sets = texts.mapInArrow(scan, "sid long, key long, part long, shingles binary")
-    return sets.groupBy("key", "part").agg(F.collect_list(F.struct("sid", "shingles")).alias("members"))
+def _few(scan, most: int = 4 << 20):
+    """scan, its small batches put together to about `most` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in scan(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: Fraction, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -274,40 +320,35 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def links(members: DataFrame, pairs: DataFrame, threshold: Fraction, shingles: int) -> DataFrame:
-    """(a, b, n): b null: set a has n links inside this pair of groups; else a link, enough of them to connect what is linked.
-    `shingles` is the size of all members together."""
-    members = store.written(members, "group-sets", files=1 + shingles // 500_000)
-    a = members.select(F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("members").alias("of_a"))
-    b = members.select(F.col("key").alias("key_b"), F.col("part").alias("part_b"), F.col("members").alias("of_b"))
-    # every part is compared with itself, which needs no join
-    inner = members.where(F.size("members") > 1).select(F.col("members").alias("of_a"), F.lit(None).cast(members.schema["members"].dataType).alias("of_b"))
-    others = pairs.where(~((F.col("key_a") == F.col("key_b")) & (F.col("part_a") == F.col("part_b"))))
-    outer = others.join(a, ["key_a", "part_a"]).join(b, ["key_b", "part_b"]).select("of_a", "of_b")
-
-    def unpack(members) -> tuple[np.ndarray, list[np.ndarray]]:
-        entries = members.values
-        ids, first = np.unique(entries.field("sid").to_numpy(), return_index=True)
-        shingles = entries.field("shingles")
-        return ids, [np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in first]
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                ids, sets_a = unpack(x)
-                same = not y.is_valid
-                ids_b, sets_b = (ids, sets_a) if same else unpack(y)
-                i, j = _linked(sets_a, sets_b, threshold, same)
-                if not len(i):
-                    continue
-                tree = _forest(i, j if same else j + len(ids), len(ids) + (0 if same else len(ids_b)))
-                who, times = np.unique(np.concatenate([ids[i], ids_b[j]]), return_counts=True)
-                yield pa.RecordBatch.from_pydict({
-                    "a": pa.array(np.concatenate([ids[i[tree]], who])),
-                    "b": pa.array(np.concatenate([ids_b[j[tree]], np.zeros(len(who), np.int64)]), mask=np.concatenate([np.zeros(int(tree.sum()), bool), np.ones(len(who), bool)])),
-                    "n": pa.array(np.concatenate([np.ones(int(tree.sum()), np.int64), times]))})
-
-    return store.written(inner.unionByName(outer).mapInArrow(verify, "a long, b long, n long"), "links", files=16 + shingles // 500_000)
+def links(meeting_sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b, n): b null: set a has n links inside this task; else a link, enough of them to connect what is linked."""
+
+    def verify(found: pa.Table) -> pa.Table:
+        member = found.column("member").to_numpy()
+        sid, shingles = found.column("sid").to_numpy(), found.column("shingles").combine_chunks()
+        sets = lambda rows: [np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in rows]
+        ids_a, at = np.unique(sid[member], return_index=True)
+        sets_a = sets(np.flatnonzero(member)[at])
+        ids_b, at = np.unique(sid[~member], return_index=True)
+        sets_b = sets(np.flatnonzero(~member)[at])
+        left, right, ids = [], [], np.concatenate([ids_a, ids_b])
+        if found.column("chunk")[0].as_py() == 0 and len(ids_a) > 1:
+            i, j = _linked(sets_a, sets_a, threshold, True)
+            left.append(i)
+            right.append(j)
+        if len(ids_a) and len(ids_b):
+            i, j = _linked(sets_a, sets_b, threshold, False)
+            left.append(i)
+            right.append(j + len(ids_a))
+        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+        tree = _forest(i, j, len(ids))
+        who, times = np.unique(np.concatenate([ids[i], ids[j]]), return_counts=True)
+        edges = int(tree.sum())
+        return pa.table({"a": pa.array(np.concatenate([ids[i[tree]], who])),
+                         "b": pa.array(np.concatenate([ids[j[tree]], np.zeros(len(who), np.int64)]), mask=np.arange(edges + len(who)) >= edges),
+                         "n": pa.array(np.concatenate([np.ones(edges, np.int64), times]))})
+
+    return store.written(meeting_sets.groupBy("g", "chunk").applyInArrow(verify, "a long, b long, n long"), "links")
 
 
 def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int) -> DataFrame:
@@ -316,9 +357,8 @@ def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int
     sizes = table.where("n_shingles > 0").select("sid", "n_shingles").distinct()
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 4_000_000)), size)
-    nodes, pairs = groups(shared, sizes, group_shingles)
-    weight = int(nodes.agg(F.sum("n_shingles")).first()[0] or 0)
-    found = links(node_sets(docs, table, nodes, size), pairs, threshold, weight)
+    nodes, matrix = groups(shared, sizes, group_shingles)
+    found = links(opened_sets(docs, table, openings(shared, nodes, matrix, group_shingles), size), threshold)
     roots = components(found.where("b is not null"))
     degree = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
     degree = store.written(degree.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left"), "near-roots", nodes.count())
