@@ -154,7 +154,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, longest:
     return [r["text"] for r in rows], [r["toxic"] for r in rows], share
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, longest: int = 1 << 16, **settings) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1000, longest: int = 1 << 15, **settings) -> Toxicity:
     """Train on the labelled ones of docs. `per_label` and `longest` bound the sample."""
     texts, toxic, share = labelled_sample(docs, labels, per_label, longest)
     return train(texts, toxic, share, **settings)
