@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from bagframe.functions.stats import chi2_pvalue, ratio
 from bagframe.operators.hot import COUNT, attach
-from bagframe.operators.scan import hash60, hash_position, ordered_scan
+from bagframe.operators.permute import BLOCK_VALUES, permuted_statistic, slots
+from bagframe.operators.scan import ordered_scan
+from bagframe.session import cut_lineage
 
 TINY = 1e-12
 
@@ -298,33 +300,20 @@ def brier_score(target: str, score: str) -> Column:
 
 
 def auc_permutation_test(df: DataFrame, target: str, score: str, id_col: str, permutations: int = 2000, seed: int = 1,
-                         blocks: int | None = None, ranges: int = 256) -> DataFrame:
+                         blocks: int | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
     """p = (#{permuted AUC >= AUC} + 1) / (permutations + 1).
 
-    Permuting labels means choosing which rows are positive: for each permutation the n_pos rows with the smallest md5 number of (seed,
-    permutation, id) become positive, and only the sum of their midranks matters. Numbers are counted by range, which the map side
-    combines: the ranges below the one in which the n_pos-th row lies add their sums, and only the rows of that range are ordered.
-    What is shuffled is permutations x ranges and rows x permutations / ranges.
+    Permuting labels means giving each positive row another row's midrank: with P positives only the sum of P midranks matters, of the
+    rows that :func:`permuted_statistic` names. Midranks are multiples of a half, so their sums are exact.
     """
     ranks = midranks(df.withColumn("__s", F.col(score).cast("double")), "__s", blocks=blocks)
     ranks = ranks.select("__s", F.col("n").alias(COUNT), "midrank")
     rows = attach(df.select(F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"), F.col(target).cast("long").alias("__y")), ranks, ["__s"])
+    rows = cut_lineage(slots(rows, "__id", blocks))                # read as rows, as partners and for the base
     base = rows.agg(F.sum("__y").alias("p"), F.count(F.lit(1)).alias("n"),
                     F.sum(F.when(F.col("__y") == 1, F.col("midrank"))).alias("r"))
-    drawn = rows.select("__id", "midrank", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    drawn = drawn.withColumn("__h", hash60(F.lit(str(seed)), F.col("perm").cast("string"), F.col("__id").cast("string")))
-    drawn = drawn.withColumn("range", F.floor(F.col("__h") / float((1 << 60) // ranges)))
-    per = drawn.groupBy("perm", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("midrank").alias("sum")).withColumn("p", base.select("p").scalar())
-    upto = Window.partitionBy("perm").orderBy("range")                                    # `ranges` rows
-    per = per.withColumn("upto", F.sum("n").over(upto)).withColumn("below", F.col("upto") - F.col("n"))
-    whole = per.where(F.col("upto") <= F.col("p")).groupBy("perm").agg(F.sum("sum").alias("whole"))
-    cut = per.where((F.col("below") < F.col("p")) & (F.col("p") < F.col("upto"))).select("perm", "range", (F.col("p") - F.col("below")).alias("take"))
-    # one row per permutation, a number the caller gives
-    part = drawn.join(F.broadcast(cut), ["perm", "range"])
-    part = part.withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy("__h", "__id"))).where(F.col("place") <= F.col("take"))
-    sums = whole.unionByName(part.groupBy("perm").agg(F.sum("midrank").alias("whole"))).groupBy("perm").agg(F.sum("whole").alias("rank_sum"))
-    sums = sums.withColumn("r", base.select("r").scalar())
-    hits = sums.agg(F.count_if(F.col("rank_sum") >= F.col("r")).alias("hits"))
+    sums = permuted_statistic(rows, F.lit(1), F.col("midrank"), F.col("__y") == 1, F.sum("b"), permutations, seed, block_values)
+    hits = sums.withColumn("r", base.select("r").scalar()).agg(F.count_if(F.col("s") >= F.col("r")).alias("hits"))
     pn = F.col("p") * (F.col("n") - F.col("p"))
     return base.withColumn("hits", hits.scalar()).select(
         ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, pn).alias("auc"), F.col("n"),
@@ -333,22 +322,18 @@ def auc_permutation_test(df: DataFrame, target: str, score: str, id_col: str, pe
 
 
 def permutation_test(df: DataFrame, v1: str, v2: str, id_col: str, statistic, permutations: int = 2000, seed: int = 1,
-                     blocks: int | None = None) -> DataFrame:
+                     blocks: int | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Permutation test of a user statistic: ``statistic(Column, Column) -> aggregate Column``, e.g. ``F.corr``.
 
-    v1 is permuted against v2 by pairing the row at md5 position k with the row at original position k.
+    v1 is permuted against v2 by :func:`permuted_statistic`: no row is ordered or shuffled per permutation.
     """
     score = statistic(F.col("a"), F.col("b"))
     rows = df.select(F.col(id_col).alias("__id"), F.col(v1).alias("a"), F.col(v2).alias("b"))
-    rows = hash_position(rows, [], ["__id"], [F.lit("order")], out="slot", blocks=blocks).drop("total")
-    drawn = rows.select("__id", "a").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = hash_position(drawn, ["perm"], ["__id"], [F.lit(str(seed)), F.col("perm").cast("string")], out="slot",
-                          blocks=blocks)
-    scores = drawn.select("perm", "slot", "a").join(rows.select("slot", "b"), "slot").groupBy("perm").agg(
-        score.alias("s"))
+    rows = cut_lineage(slots(rows, "__id", blocks))
+    scores = permuted_statistic(rows, F.col("a"), F.col("b"), F.lit(True), score, permutations, seed, block_values)
     base = rows.agg(score.alias("score"), F.count(F.lit(1)).alias("n"))
-    scores = scores.withColumn("score", base.select("score").scalar())
-    hits = scores.agg(F.count_if(F.round("s", 12) >= F.round("score", 12)).alias("hits"))          # equal up to the order of summing
+    hits = scores.withColumn("score", base.select("score").scalar()).agg(
+        F.count_if(F.round("s", 12) >= F.round("score", 12)).alias("hits"))          # equal up to the order of summing
     return base.withColumn("hits", hits.scalar()).select(
         "score", "n", F.lit(permutations).alias("permutations"),
         ((F.col("hits") + 1.0) / (permutations + 1.0)).alias("p"))

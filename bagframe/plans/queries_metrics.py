@@ -11,6 +11,7 @@ from bagframe.operators import groups as G
 from bagframe.operators import multiclass as M
 from bagframe.operators import predict as P
 from bagframe.operators import profile as PR
+from bagframe.operators.permute import permutation_sql
 from bagframe.operators.spec import CohortSpec, TrainType
 from bagframe.plans import fixtures as fx
 from bagframe.plans.oracle_parts import chi2_tail
@@ -225,32 +226,31 @@ def _(spark, sf):
     return fx.preds(spark, sf).groupBy("split").agg(B.brier_score("Pos", "out1").alias("brier"))
 
 
+HASH15 = "cast('0x' || substr(md5({text}), 1, 15) as bigint)"
+SLOT = f"row_number() over (order by {HASH15.format(text="'order:' || name")}, name) - 1 as slot"
+
+
 @query("auc_permutation_test", "auc:d n:l permutations:l p:d",
        """select (select sum(case when Pos = 1 then r end) - max(p) * (max(p) + 1) / 2.0e0 from ranked)
               / (select max(p) * cast(count(*) - max(p) as double) from ranked) as auc,
             (select count(*) from ranked) as n, 2000 as permutations,
-            ((select count(*) from (select k, sum(r) as s from (
-                select k, r, p, row_number() over (partition by k order by
-                    cast('0x' || substr(md5('1:' || cast(k as varchar) || ':' || name), 1, 15) as bigint), name) as rn
-                from ranked, range(1, 2001) t(k)) where rn <= p group by k)
+            ((select count(*) from (select k, sum(b.r) as s from drawn d join ranked b on b.slot = d.partner group by k)
               where s >= (select sum(case when Pos = 1 then r end) from ranked)) + 1) / 2001.0e0 as p""", "preds",
-       ranked="""select name, Pos, rank() over (order by out1) + (count(*) over (partition by out1) - 1) / 2.0e0 as r,
-              sum(Pos) over () as p from preds""")
+       ranked=f"""select name, Pos, rank() over (order by out1) + (count(*) over (partition by out1) - 1) / 2.0e0 as r,
+              sum(Pos) over () as p, {SLOT} from preds""",
+       positive="select slot from ranked where Pos = 1",
+       drawn=permutation_sql("positive", "1 as one", "(select count(*) from ranked)", 2000))
 def _(spark, sf):
-    """Permutation p-value of the AUC with 2000 permutations; the hash decides the permutations on both sides."""
+    """Permutation p-value of the AUC with 2000 permutations; a keyed bijection of the rows decides the permutations on both sides."""
     return B.auc_permutation_test(fx.preds(spark, sf), "Pos", "out1", "name")
 
 
-HASH15 = "cast('0x' || substr(md5({text}), 1, 15) as bigint)"
-
-
 @query("correlation_permutation_test", "score:d n:l permutations:l p:d",
-       """select score, n, 2000 as permutations, ((select count(*) from (select k, corr(d.y, b.out1) as s from drawn d join base b using (slot) group by k)
+       """select score, n, 2000 as permutations, ((select count(*) from (select k, corr(d.y, b.out1) as s from drawn d join base b on b.slot = d.partner group by k)
               where round(s, 12) >= round(score, 12)) + 1) / 2001.0e0 as p
           from (select corr(y, out1) as score, count(*) as n from base)""", "preds",
-       base=f"""select name, cast(Pos as double) as y, out1, row_number() over (order by {HASH15.format(text="'order:' || name")}, name) as slot from preds""",
-       drawn=f"""select k, y, row_number() over (partition by k order by {HASH15.format(text="'1:' || cast(k as varchar) || ':' || name")}, name) as slot
-              from base, range(1, 2001) t(k)""")
+       base=f"select name, cast(Pos as double) as y, out1, {SLOT} from preds",
+       drawn=permutation_sql("base", "y", "(select count(*) from base)", 2000))
 def _(spark, sf):
     """Permutation test of a user statistic given as an aggregate expression."""
     df = fx.preds(spark, sf).withColumn("y", F.col("Pos").cast("double"))
