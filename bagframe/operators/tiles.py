@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from bagframe.functions import scalars as S
 from bagframe.functions.stats import ratio
-from bagframe.operators.hot import attach_table, with_stats
+from bagframe.operators.hot import attach, attach_table, with_stats
+from bagframe.operators.narrowing import array_quantiles
 from bagframe.operators.scan import exact_quantiles, hash60
 from bagframe.session import cut_lineage
 
@@ -171,13 +172,12 @@ def distance_map(grid: DataFrame, tissue: str = "tissue", percentile: float = 98
 
 def normalise_feature_map(tiles: DataFrame, feat: str = "feat", low: float = 3.0, high: float = 97.0) -> DataFrame:
     """Rescale vectors between the low and high percentile of the bag's non-zero values and clip to [0, 1]; zeros
-    (background) stay NULL."""
-    values = tiles.select("name", F.explode(feat).alias("__v")).where(F.col("__v") != 0)
-    q = exact_quantiles(values, "__v", [low / 100, high / 100], ["name"])
+    (background) stay NULL. The percentiles are exact and found without shuffling the entries."""
+    q = cut_lineage(array_quantiles(tiles, "name", feat, [low / 100, high / 100], skip_zero=True))
     lo, span = F.col("quantiles")[0], F.col("quantiles")[1] - F.col("quantiles")[0] + 1e-6
     scaled = F.transform(feat, lambda v: F.when(v != 0, F.least(F.lit(1.0), F.greatest(
         F.lit(0.0), (v.cast("double") - lo) / span))))
-    return attach_table(tiles, q, ["name"]).withColumn("scaled", scaled).drop("quantiles")
+    return attach(tiles, q, ["name"]).withColumn("scaled", scaled).drop("quantiles")
 
 
 def bag_info(tiles: DataFrame, stride: int, feat: str = "feat") -> DataFrame:
