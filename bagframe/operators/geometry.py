@@ -1,4 +1,4 @@
-"""Polygons, distances, overlaps and box merging on annotation tables.
+"""Polygons, distances and overlaps on annotation tables.
 
 Coordinates are ARRAY<STRUCT<x, y>> columns. Spatial joins go through a grid: both sides emit the cells they touch and
 meet by equi-join, so nothing is compared across a whole slide.
@@ -10,13 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from bagframe.functions import scalars as S
-from bagframe.session import cut_lineage
+from bagframe.operators.boxes import merge_boxes  # noqa: F401  (part of the geometry operators)
 
 
 def _next_points(coords: Column) -> Column:
@@ -166,95 +166,6 @@ def contour_distances(contours: DataFrame, within: float, file: str = "file", na
     return j.groupBy(F.col("file").alias(file), "a", "b").agg(F.min("distance").alias("distance"))
 
 
-def _overlap_links(boxes: DataFrame, group: str) -> DataFrame:
-    """(group, id, other): for every box at most a few boxes it strictly overlaps; none only if no two overlap.
-
-    Every box is put on the grid level whose cell side is the next power of two above its longer side, so it touches
-    at most 3 x 3 cells there, and it also probes all coarser levels in use. Inside a cell a box is compared with a
-    constant number of others: its predecessors by left edge, and the box that reaches furthest right among them. The
-    merge loop repeats until this finds nothing, and then checks exactly (:func:`_exact_links`).
-    """
-    x = _probes(boxes, group)
-    cellkey = [group, "level", "cx", "cy"]
-    w = Window.partitionBy(*cellkey).orderBy("x0", "id")
-    me = F.struct("id", "x0", "y0", "x1", "y1")
-    x = x.withColumn("prev", F.array(F.lag(me).over(w), F.max(F.struct(F.col("x1").alias("reach"), me.alias("box"))).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))["box"]))
-    x = x.withColumn("o", F.explode("prev")).where(F.col("o").isNotNull())
-    return x.where(_strict("o")).select(group, "id", F.col("o.id").alias("other"))
-
-
-def _strict(o: str) -> Column:
-    c = F.col
-    return ((F.greatest(c("x0"), c(f"{o}.x0")) < F.least(c("x1"), c(f"{o}.x1")))
-            & (F.greatest(c("y0"), c(f"{o}.y0")) < F.least(c("y1"), c(f"{o}.y1"))))
-
-
-def _probes(boxes: DataFrame, group: str) -> DataFrame:
-    """A row per (own or coarser level in use in its group, cell touched)."""
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0))
-    b = boxes.withColumn("own", F.ceil(F.log2(side)).cast("int"))
-    used = b.groupBy(group).agg(F.collect_set("own").alias("used"))
-    b = b.join(used, group).withColumn("level", F.explode(F.filter("used", lambda l: l >= F.col("own")))).drop("used")
-    cell = F.pow(F.lit(2.0), F.col("level"))
-    b = b.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-    return b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-
-
-def _exact_links(boxes: DataFrame, group: str) -> DataFrame:
-    """All strictly overlapping pairs. Used when the linear links are exhausted: what is left then are nearly disjoint boxes, of which
-    only few can share a cell of their own size."""
-    x = _probes(boxes, group)
-    cellkey = [group, "level", "cx", "cy"]
-    big = x.where(F.col("own") == F.col("level")).select(*cellkey, F.struct("id", "x0", "y0", "x1", "y1").alias("o"))
-    return x.join(big, cellkey).where(F.col("id") != F.col("o.id")).where(_strict("o")).select(
-        group, "id", F.col("o.id").alias("other")).distinct()
-
-
-def connected_labels(nodes: DataFrame, links: DataFrame, group: str, max_rounds: int = 100) -> DataFrame:
-    """(group, id, root): the smallest id reachable over undirected links, by label propagation with pointer jumping.
-    One count per round comes to the driver; every round is checkpointed."""
-    edges = cut_lineage(links.select(group, F.col("id").alias("a"), F.col("other").alias("b")).unionByName(
-        links.select(group, F.col("other").alias("a"), F.col("id").alias("b"))).distinct())
-    lab = nodes.select(group, "id", F.col("id").alias("root"))
-
-    def step(lab: DataFrame) -> DataFrame:
-        heard = edges.join(lab.select(group, F.col("id").alias("b"), "root"), [group, "b"]).groupBy(
-            group, F.col("a").alias("id")).agg(F.min("root").alias("__m"))
-        near = lab.join(heard, [group, "id"], "left").withColumn("__r", F.least("root", F.coalesce("__m", F.col("root"))))
-        jump = lab.select(group, F.col("id").alias("__r"), F.col("root").alias("__rr"))
-        return near.join(jump, [group, "__r"]).select(group, "id", F.least("__r", "__rr").alias("root"), F.col("root").alias("was"))
-
-    for _ in range(max_rounds):
-        done = cut_lineage(step(step(lab).drop("was")))
-        lab = done.drop("was")
-        if done.where("root <> was").isEmpty():
-            return lab
-    raise RuntimeError("label propagation did not settle")
-
-
-def merge_boxes(boxes: DataFrame, group: str = "file", id_col: str = "id", max_rounds: int = 50) -> DataFrame:
-    """Replace strictly overlapping boxes by their hull until none overlap. Boxes are (group, id, row, col, h, w).
-
-    Hulls only grow, so the result does not depend on the order of merging. Every round links overlapping boxes, finds
-    connected components, and takes hulls; rounds are checkpointed.
-    """
-    x = cut_lineage(boxes.select(
-        F.col(group), F.col(id_col).alias("id"), F.col("col").cast("double").alias("x0"), F.col("row").cast("double").alias("y0"),
-        (F.col("col") + F.col("w")).cast("double").alias("x1"), (F.col("row") + F.col("h")).cast("double").alias("y1")))
-    for _ in range(max_rounds):
-        links = cut_lineage(_overlap_links(x, group))
-        if links.isEmpty():
-            links = cut_lineage(_exact_links(x, group))
-            if links.isEmpty():
-                return x.select(group, F.col("id").alias(id_col), F.col("y0").alias("row"), F.col("x0").alias("col"),
-                                (F.col("y1") - F.col("y0")).alias("h"), (F.col("x1") - F.col("x0")).alias("w"))
-        lab = connected_labels(x, links, group)
-        x = cut_lineage(x.join(lab, [group, "id"]).groupBy(group, F.col("root").alias("id")).agg(
-            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
-    raise RuntimeError("boxes still overlap after the last round")
-
-
 def contours_to_annotations(contours: DataFrame, spacing: float | None = None, slide_spacing: float | None = None,
                             min_area: float = 0.0, add_area: bool = True, swap_xy: bool = False, area: str = "area",
                             keep: Sequence[str] = ("file", "group", "color")) -> DataFrame:
