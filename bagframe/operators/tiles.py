@@ -17,9 +17,9 @@ from pyspark.sql.types import ArrayType, LongType
 
 from bagframe.functions import scalars as S
 from bagframe.functions.stats import ratio
-from bagframe.operators.hot import attach, attach_table, with_stats
+from bagframe.operators.hot import COUNT, attach, attach_table
 from bagframe.operators.narrowing import array_quantiles
-from bagframe.operators.scan import exact_quantiles, hash60
+from bagframe.operators.scan import hash60, ordered_scan
 from bagframe.session import cut_lineage
 
 
@@ -123,27 +123,57 @@ def stitch(sparse: DataFrame, shapes: DataFrame, dim: int, order: str | None = N
         "feat", F.coalesce("feat", zeros))
 
 
+def lower_envelope(at: np.ndarray, first_at: np.ndarray, site: np.ndarray, height: np.ndarray, first_site: np.ndarray) -> np.ndarray:
+    """Per position of many rows the smallest (position - site)^2 + height of its row's sites; rows begin at first_at and first_site (with the
+    ends appended), both sorted inside a row. -1 where a row has no site.
+
+    The best site never moves back as the position moves on, so the middle position of a stretch parts the sites for both halves: every level
+    of halving looks at each site about once, all stretches of all rows together.
+    """
+    out = np.full(len(at), -1, np.int64)
+    low, high = first_at[:-1].copy(), first_at[1:] - 1
+    left, right = first_site[:-1].copy(), first_site[1:] - 1
+    while True:
+        some = (low <= high) & (left <= right)
+        low, high, left, right = low[some], high[some], left[some], right[some]
+        if not len(low):
+            return out
+        mid = (low + high) >> 1
+        n = right - left + 1
+        start = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) + np.repeat(left - start, n)
+        cost = (np.repeat(at[mid], n) - site[k]) ** 2 + height[k]
+        least = np.minimum.reduceat(cost, start)
+        best = np.minimum.reduceat(np.where(cost == np.repeat(least, n), k, np.iinfo(np.int64).max), start)
+        out[mid] = least
+        low, high = np.concatenate([low, mid + 1]), np.concatenate([mid - 1, high])
+        left, right = np.concatenate([left, best]), np.concatenate([best, right])
+
+
+#: Cells whose envelopes are found together.
+_CELLS = 1 << 20
+
+
 @pandas_udf(ArrayType(LongType()))
 def _row_envelope(js: pd.Series, gaps: pd.Series) -> pd.Series:
     """Per grid row: min over columns of (j - j')^2 + gap(j')^2, where gap is the distance inside the column."""
+    sizes = np.array([len(j) for j in js], np.int64)
+    chunk = (np.cumsum(sizes) - sizes) // _CELLS
     out = []
-    for j, g in zip(js, gaps):
-        j, g = np.asarray(j, dtype=np.int64), np.asarray(g, dtype=np.float64)
-        best = np.full(len(j), np.inf)
-        for a in range(0, len(j), 256):  # bounded slices keep memory at 256 x width
-            d = (j[None, :] - j[a:a + 256, None]) ** 2 + g[None, :] ** 2
-            best[a:a + 256] = d.min(axis=1)
-        out.append([None if np.isinf(v) else int(v) for v in best])
+    for c in np.unique(chunk):
+        rows = np.flatnonzero(chunk == c)
+        at = np.concatenate([np.asarray(js.iloc[r], np.int64) for r in rows])
+        gap = np.concatenate([np.asarray(gaps.iloc[r], np.float64) for r in rows])
+        first = np.concatenate([[0], np.cumsum(sizes[rows])])
+        known = np.isfinite(gap)
+        sites = np.concatenate([[0], np.cumsum(known)])[first]
+        d = lower_envelope(at, first, at[known], gap[known].astype(np.int64) ** 2, sites)
+        out += [[None if v < 0 else v for v in d[a:b].tolist()] for a, b in zip(first[:-1], first[1:])]
     return pd.Series(out)
 
 
-def background_distance(grid: DataFrame, tissue: str = "tissue") -> DataFrame:
-    """Add ``distance``: Euclidean distance of each tissue cell to the nearest background cell of its slide, 0 for
-    background. The grid must be dense; the outside is not background; NULL when a slide has no background.
-
-    Two passes: nearest background within the column by windows, then along each row. A task sees one grid column or
-    one grid row of a slide, never a slide.
-    """
+def _squared_distance(grid: DataFrame, tissue: str) -> DataFrame:
+    """(name, i, j, tissue, __d2): squares of :func:`background_distance`, longs."""
     bg = F.col(tissue) == 0
     col = Window.partitionBy("name", "j").orderBy("i")
     above = F.max(F.when(bg, F.col("i"))).over(col.rowsBetween(Window.unboundedPreceding, 0))
@@ -153,21 +183,39 @@ def background_distance(grid: DataFrame, tissue: str = "tissue") -> DataFrame:
     rows = x.groupBy("name", "i").agg(F.array_sort(F.collect_list(F.struct("j", "__g", "tissue"))).alias("__r"))
     rows = rows.withColumn("__d", _row_envelope(F.col("__r.j"), F.col("__r.__g")))
     cells = rows.select("name", "i", F.explode(F.arrays_zip(F.col("__r"), F.col("__d").alias("d"))).alias("z"))
-    return cells.select("name", "i", F.col("z.__r.j").alias("j"), F.col("z.__r.tissue").alias(tissue),
-                        F.sqrt(F.col("z.d")).alias("distance"))
+    return cells.select("name", "i", F.col("z.__r.j").alias("j"), F.col("z.__r.tissue").alias(tissue), F.col("z.d").alias("__d2"))
+
+
+def background_distance(grid: DataFrame, tissue: str = "tissue") -> DataFrame:
+    """Add ``distance``: Euclidean distance of each tissue cell to the nearest background cell of its slide, 0 for
+    background. The grid must be dense; the outside is not background; NULL when a slide has no background.
+
+    Two passes: nearest background within the column by windows, then along each row. A task sees one grid column or
+    one grid row of a slide, never a slide.
+    """
+    return _squared_distance(grid, tissue).withColumn("distance", F.sqrt("__d2")).drop("__d2")
 
 
 def distance_map(grid: DataFrame, tissue: str = "tissue", percentile: float = 98.0) -> DataFrame:
     """Add ``weight``: distance / max, squared, zero below the percentile of the slide's cells, divided by its sum.
 
-    The distances are needed for the maximum, the percentile and the sum, so they are written to the shared folder once
-    instead of being computed for each.
+    Squared distances are whole numbers, of which a slide has few: maximum, percentile and sum come from their counts, and one
+    join brings them to the cells.
     """
-    d = cut_lineage(background_distance(grid, tissue))
-    d = with_stats(d, ["name"], __top=F.max("distance")).withColumn("__s", F.pow(ratio(F.col("distance"), F.col("__top")), F.lit(2.0)))
-    cut = exact_quantiles(d, "__s", [percentile / 100.0], ["name"]).select("name", F.col("quantiles")[0].alias("__cut"))
-    d = attach_table(d, cut, ["name"], "left").withColumn("__k", F.when(F.col("__s") < F.col("__cut"), 0.0).otherwise(F.col("__s")))
-    return with_stats(d, ["name"], __sum=F.sum("__k")).select("name", "i", "j", tissue, "distance", ratio(F.col("__k"), F.col("__sum")).alias("weight"))
+    d = _squared_distance(grid, tissue)
+    counts = d.where(F.col("__d2").isNotNull()).groupBy("name", "__d2").agg(F.count(F.lit(1)).alias("n"))
+    scan = ordered_scan(counts, "__d2", ["name"], ["n"])
+    at = F.lit(percentile / 100.0) * (F.col("total_n") - 1)
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    pick = lambda pos: F.max(F.when((first <= pos) & (pos <= last), F.col("__d2")))
+    share = lambda d2: F.pow(ratio(F.sqrt(d2), F.sqrt("__top")), F.lit(2.0))
+    per = scan.groupBy("name").agg(pick(F.floor(at)).alias("__lo"), pick(F.ceil(at)).alias("__hi"), F.max(at - F.floor(at)).alias("__f"),
+                                   F.max("__d2").alias("__top"), F.max("total_n").alias(COUNT))
+    per = per.withColumn("__cut", share(F.col("__lo")) + (share(F.col("__hi")) - share(F.col("__lo"))) * F.col("__f")).select("name", "__top", "__cut", COUNT)
+    kept = F.when(share(F.col("__d2")) < F.col("__cut"), 0.0).otherwise(share(F.col("__d2")))
+    sums = counts.join(per, "name").groupBy("name", "__top", "__cut", COUNT).agg(F.sum(kept * F.col("n")).alias("__sum"))
+    out = attach(d, sums, ["name"], "left")
+    return out.select("name", "i", "j", tissue, F.sqrt("__d2").alias("distance"), ratio(kept, F.col("__sum")).alias("weight"))
 
 
 def normalise_feature_map(tiles: DataFrame, feat: str = "feat", low: float = 3.0, high: float = 97.0) -> DataFrame:

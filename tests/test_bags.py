@@ -175,3 +175,32 @@ def test_python_stage_comes_after_the_filter(spark):
     df = spark.createDataFrame([(i, [0.0] * 4, i / 10) for i in range(10)], "id long, pixels array<double>, fraction double")
     plan = E.encode_tiles(TI.keep_tissue(df), "constant", (2, 2, 1))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInPandas") < plan.index("Filter")
+
+
+def test_lower_envelope_of_many_rows():
+    rng = np.random.default_rng(4)
+    at, first, site, height, ends = [], [0], [], [], [0]
+    want = []
+    for n in (1, 2, 7, 40, 300, 5, 0, 64):
+        p = np.sort(rng.choice(1000, n, replace=False))
+        known = rng.random(n) < (0.0 if n == 5 else 0.6)
+        h = rng.integers(0, 40, n)[known] ** 2
+        at.append(p)
+        site.append(p[known])
+        height.append(h)
+        first.append(first[-1] + n)
+        ends.append(ends[-1] + int(known.sum()))
+        want += [min(((v - s) ** 2 + g for s, g in zip(p[known], h)), default=-1) for v in p]
+    got = TI.lower_envelope(np.concatenate(at), np.array(first), np.concatenate(site), np.concatenate(height), np.array(ends))
+    assert got.tolist() == want
+
+
+def test_envelope_of_a_million_cells():
+    n = 1_000_000
+    rng = np.random.default_rng(5)
+    height = rng.integers(0, 2000, n) ** 2
+    height[0] = 0
+    d = TI.lower_envelope(np.arange(n), np.array([0, n]), np.arange(n), height, np.array([0, n]))
+    for j in rng.integers(0, n, 50):
+        a, b = max(0, j - 2000), min(n, j + 2001)
+        assert d[j] == ((np.arange(a, b) - j) ** 2 + height[a:b]).min()
