@@ -339,12 +339,27 @@ def evaluate_multilabel(df: DataFrame, spec: CohortSpec, sizes: Mapping[str, Siz
 
 
 def evaluate_survival(df: DataFrame, spec: CohortSpec, score: str, sizes: Mapping[str, Sizes] | Sizes = (1,), levels: Levels = ("", 2, 3)) -> DataFrame:
-    """Concordance of a score per split and category group."""
-    from bagframe.operators.survival import concordance
+    """(split, level, category_group, n, comparable, concordant, tied, cind): concordance of a score for the whole table and per category group.
 
+    Pairs are counted once per pair of categories that some group holds; a group's index is made of the sums of its members' cells, so
+    rows are not multiplied by groups.
+    """
+    from bagframe.operators.survival import concordance, concordance_between, harrell
+
+    split, counts = spec.split_col, ["comparable", "concordant", "tied"]
     members = memberships(df, spec, sizes, levels)
-    rows = df.select(spec.split_col, *[spec.category(n) for n in members], spec.duration_col, spec.event_col, score)
-    return concordance(in_groups(rows, spec, members), spec.duration_col, spec.event_col, score, [spec.split_col, *GROUP])
+    whole = concordance(df, spec.duration_col, spec.event_col, score, [split]).drop("cind")
+    out = df.groupBy(split).agg(F.count(F.lit(1)).alias("n")).join(whole, split, "left")
+    out = out.select(split, F.lit("all").alias("level"), F.lit("all").alias("category_group"), "n", *counts)
+    for n, table in members.items():
+        first = table.select("level", "category_group", F.col("category").alias("a"))
+        both = first.join(table.select("level", "category_group", F.col("category").alias("b")), GROUP)
+        cells = concordance_between(df, spec.duration_col, spec.event_col, score, spec.category(n), both, [split])
+        sums = both.join(cells, ["a", "b"]).groupBy(split, *GROUP).agg(*[F.sum(c).alias(c) for c in counts])
+        rows = df.groupBy(split, F.col(spec.category(n)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(table, "category").groupBy(split, *GROUP).agg(F.sum("n").alias("n"))
+        out = out.unionByName(rows.join(sums, [split, *GROUP], "left").select(split, *GROUP, "n", *counts))
+    return out.select(split, *GROUP, "n", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts]).withColumn("cind", harrell())
 
 
 def to_long_metrics(report: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -82,24 +82,16 @@ def logrank(df: DataFrame, duration: str, event: str, arm: str, group: Sequence[
     return out.withColumn("p", chi2_pvalue(F.col("statistic"), F.lit(1)))
 
 
-def concordance(df: DataFrame, duration: str, event: str, score: str, group: Sequence[str] = (),
-                blocks: int | None = None) -> DataFrame:
-    """(group..., comparable, concordant, tied, cind): Harrell's index, a higher score means living longer.
-
-    A pair (i, j) is comparable when i has an event and T_i < T_j, or T_i = T_j and j is censored. It is concordant
-    when s_i < s_j and counts one half when the scores are equal. NULL when no pair is comparable.
-
-    No pairs are formed. For score ranks a < b there is exactly one bit position where they share all higher bits, a
-    has 0 and b has 1. So each distinct (time, score) row is put into one node per bit (about log2 of the number of
-    distinct scores), and inside a node concordant pairs are a running count of events along time.
-    """
-    group = list(group)
-    base = df.groupBy(*group, F.col(duration).cast("double").alias("time"), F.col(score).cast("double").alias("__s")).agg(
+def _score_nodes(df: DataFrame, duration: str, event: str, score: str, group: list[str], part: list[str], blocks: int | None) -> DataFrame:
+    """(group..., part..., level, node, time, block, ie, je, jc): distinct (time, score) rows in their nodes. Two scores a < b of a group share one
+    node of a level >= 0, in which a's events are ie and b's rows je (events) and jc (censored); equal scores share one of level -1, and
+    level -2 holds all."""
+    base = df.groupBy(*group, *part, F.col(duration).cast("double").alias("time"), F.col(score).cast("double").alias("__s")).agg(
         F.count_if(F.col(event) == 1).alias("__e"), F.count_if(F.col(event) != 1).alias("__c"))
     ranks = df.select(*group, F.col(score).cast("double").alias("__s")).distinct().withColumn("__one", F.lit(1).cast("long"))
     ranks = ordered_scan(ranks, "__s", group, ["__one"], blocks=blocks).select(
         *group, "__s", (F.col("cum___one") - 1).alias("__rank"), F.col("total___one").alias("__distinct"))
-    x = with_blocks(base, "time", blocks, [*group, "__s", "__e", "__c"]).withColumnRenamed(BLOCK, "__tb")
+    x = with_blocks(base, "time", blocks, [*group, *part, "__s", "__e", "__c"]).withColumnRenamed(BLOCK, "__tb")
     x = x.join(ranks, [*group, "__s"])
     bits = F.when(F.col("__distinct") > 1, F.length(F.bin(F.col("__distinct") - 1))).otherwise(0)
     zero = F.lit(0).cast("long")
@@ -118,18 +110,56 @@ def concordance(df: DataFrame, duration: str, event: str, score: str, group: Seq
 
     nodes = F.concat(F.array(node(F.lit(-2), zero, e, e, c), node(F.lit(-1), rank, e, e, c)),
                      F.transform(levels, bit_node))
-    x = x.select(*group, "time", "__tb", F.explode(nodes).alias("k")).groupBy(
-        *group, "k.level", "k.node", "time", "__tb").agg(*[F.sum(f"k.{v}").alias(v) for v in ("ie", "je", "jc")])
+    return x.select(*group, *part, "time", "__tb", F.explode(nodes).alias("k")).groupBy(
+        *group, *part, "k.level", "k.node", "time", "__tb").agg(*[F.sum(f"k.{v}").alias(v) for v in ("ie", "je", "jc")])
+
+
+def _pair_sums(pairs: Column) -> list[Column]:
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, pairs)), F.lit(0).cast("long"))
+
+    return [total(F.col("level") == -2).alias("comparable"), total(F.col("level") >= 0).alias("concordant"), total(F.col("level") == -1).alias("tied")]
+
+
+def harrell(comparable: str = "comparable", concordant: str = "concordant", tied: str = "tied") -> Column:
+    return ratio(F.col(concordant) + F.col(tied) / 2.0, F.col(comparable))
+
+
+def concordance(df: DataFrame, duration: str, event: str, score: str, group: Sequence[str] = (),
+                blocks: int | None = None) -> DataFrame:
+    """(group..., comparable, concordant, tied, cind): Harrell's index, a higher score means living longer.
+
+    A pair (i, j) is comparable when i has an event and T_i < T_j, or T_i = T_j and j is censored. It is concordant
+    when s_i < s_j and counts one half when the scores are equal. NULL when no pair is comparable.
+
+    No pairs are formed. For score ranks a < b there is exactly one bit position where they share all higher bits, a
+    has 0 and b has 1. So each distinct (time, score) row is put into one node per bit (about log2 of the number of
+    distinct scores), and inside a node concordant pairs are a running count of events along time.
+    """
+    group = list(group)
+    x = _score_nodes(df, duration, event, score, group, [], blocks)
     s = ordered_scan(x, "time", [*group, "level", "node"], ["ie"], block_expr=F.col("__tb"))
     pairs = F.col("je") * (F.col("cum_ie") - F.col("ie")) + F.col("jc") * F.col("cum_ie")
+    return s.groupBy(*group).agg(*_pair_sums(pairs)).withColumn("cind", harrell())
 
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, pairs)), zero)
 
-    out = s.groupBy(*group).agg(total(F.col("level") == -2).alias("comparable"),
-                                total(F.col("level") >= 0).alias("concordant"),
-                                total(F.col("level") == -1).alias("tied"))
-    return out.withColumn("cind", ratio(F.col("concordant") + F.col("tied") / 2.0, F.col("comparable")))
+def concordance_between(df: DataFrame, duration: str, event: str, score: str, part: str, wanted: DataFrame, group: Sequence[str] = (),
+                        blocks: int | None = None) -> DataFrame:
+    """(group..., a, b, comparable, concordant, tied): the pair counts of :func:`concordance` with i from the part a and j from the part b, for the
+    ``wanted`` (a, b). Sums of these cells are the counts of any union of parts. In a node, events of part a run along time, and the rows of
+    the parts b that ask for a read the running count; a row meets each a that is wanted with its part, and no other row."""
+    group = list(group)
+    x = _score_nodes(df.where(F.col(part).isNotNull()), duration, event, score, group, [part], blocks)
+    here = [*group, "level", "node", "time", "__tb"]
+    none = F.lit(None).cast("struct<b:string,je:bigint,jc:bigint>")
+    left = x.where("ie > 0").select(*here, F.col(part).cast("string").alias("a"), "ie", none.alias("j"))
+    asking = x.where("je + jc > 0").select(*here, F.struct(F.col(part).cast("string").alias("b"), "je", "jc").alias("j"), F.col(part).cast("string").alias("b"))
+    right = asking.join(wanted.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct(), "b").select(*here, "a", F.lit(0).cast("long").alias("ie"), "j")
+    rows = left.unionByName(right).groupBy(*here, "a").agg(F.sum("ie").alias("ie"), F.collect_list("j").alias("js"))      # a part at the most once in js
+    s = ordered_scan(rows, "time", [*group, "level", "node", "a"], ["ie"], block_expr=F.col("__tb"))
+    s = s.select(*group, "a", "level", "ie", "cum_ie", F.explode("js").alias("j"))
+    pairs = F.col("j.je") * (F.col("cum_ie") - F.col("ie")) + F.col("j.jc") * F.col("cum_ie")
+    return s.groupBy(*group, "a", F.col("j.b").alias("b")).agg(*_pair_sums(pairs))
 
 
 def dichotomise(df: DataFrame, marker: str, out: str = "arm", cutoff: str | float | Column = "median",

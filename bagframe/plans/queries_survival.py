@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bagframe.operators import cox as CX
+from bagframe.operators import multiclass as M
 from bagframe.operators import scan as SC
 from bagframe.operators import survival as SV
+from bagframe.operators.spec import CohortSpec, TrainType
 from bagframe.plans import fixtures as fx
 from bagframe.plans.oracle_parts import chi2_tail, cox_steps
 from bagframe.plans.registry import query
@@ -79,6 +81,29 @@ def _(spark, sf):
     return SV.concordance(fx.surv(spark, sf), "duration", "event", "nation", ["grp"])
 
 
+@query("survival_category_groups", "split:s level:s category_group:s n:l comparable:l concordant:l tied:l cind:d",
+       """select g.split, g.level, g.category_group, g.n, coalesce(comparable, 0) as comparable, coalesce(concordant, 0) as concordant, coalesce(tied, 0) as tied,
+            (concordant + tied / 2.0e0) / nullif(comparable, 0) as cind
+          from (select split, level, category_group, count(*) as n from members group by all) g left join pairs p using (split, level, category_group)""", "surv",
+       base="""select case when id % 3 = 0 then 'test' else 'train' end as split, grp as category, 'r' || cast(cast(nation as bigint) % 4 as varchar) as category2, duration, event, marker as s
+              from surv""",
+       names="select distinct category from base",
+       members="""select split, 'all' as level, 'all' as category_group, duration, event, s from base
+          union all select split, 'category', category, duration, event, s from base
+          union all select split, 'category', a.category || '_' || b.category, duration, event, s from base
+            join names a on true join names b on a.category < b.category and (base.category = a.category or base.category = b.category)
+          union all select split, 'category2', category2, duration, event, s from base""",
+       pairs="""select i.split, i.level, i.category_group, count(*) as comparable, count(*) filter (i.s < j.s) as concordant, count(*) filter (i.s = j.s) as tied
+          from members i join members j on i.split = j.split and i.level = j.level and i.category_group = j.category_group and i.event = 1
+            and (i.duration < j.duration or (i.duration = j.duration and j.event = 0)) group by all""")
+def _(spark, sf):
+    """Harrell's index of the whole table, of single categories and pairs of them on one level, and of those of a second level."""
+    category2 = F.concat(F.lit("r"), (F.col("nation").cast("long") % 4).cast("string"))
+    df = fx.surv(spark, sf).withColumns({"split": F.when(F.col("id") % 3 == 0, "test").otherwise("train"), "category": F.col("grp"), "category2": category2})
+    spec = CohortSpec(TrainType.SURV, ("event", "duration"))
+    return M.evaluate_survival(df, spec, "marker", {"": (1, 2), "2": (1,)}, ("", 2))
+
+
 @query("marker_dichotomised", "name:s arm:l cutoff:d",
        "select name, cast(marker >= c as integer) as arm, c as cutoff from surv, (select median(marker) as c from surv)", "surv")
 def _(spark, sf):

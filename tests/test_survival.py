@@ -154,3 +154,28 @@ def test_p_values_as_columns(spark):
     df = spark.createDataFrame([(s, 1) for s in stats] + [(2.0, 0), (None, 1)], "s double, d int")
     got = [r["p"] for r in df.select(chi2_pvalue(F.col("s"), F.col("d")).alias("p")).collect()]
     assert np.allclose(got[:len(stats)], [chi2_sf(s, 1) for s in stats], rtol=1e-9, atol=1e-300) and got[-2:] == [1.0, None]
+
+
+def test_survival_groups_are_sums_of_cells(spark):
+    """Groups of one, two and three of four categories, rows without a category, and a category without an event."""
+    import itertools
+
+    from bagframe.operators import multiclass as M
+    from bagframe.operators.spec import CohortSpec, TrainType
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(160):
+        cat = [None, "a", "b", "c", "d"][int(rng.integers(0, 5))]
+        rows.append((f"r{i}", "s0" if i % 3 else "s1", cat, float(rng.integers(1, 12)), 0 if cat == "d" else int(rng.integers(0, 2)), float(rng.integers(0, 9))))
+    df = spark.createDataFrame(rows, "name string, split string, category string, time double, event int, risk double")
+    spec = CohortSpec(TrainType.SURV, ("event", "time"))
+    got = {(r.split, r.category_group): (r.n, r.comparable, r.concordant, r.tied) for r in M.evaluate_survival(df, spec, "risk", (1, 2, 3)).collect()}
+    groups = {"_".join(g): set(g) for k in (1, 2, 3) for g in itertools.combinations("abcd", k)} | {"all": {None, "a", "b", "c", "d"}}
+    want = {}
+    for split in ("s0", "s1"):
+        for name, members in groups.items():
+            x = [r for r in rows if r[1] == split and r[2] in members]
+            pairs = [(p, q) for p in x for q in x if p[4] == 1 and (p[3] < q[3] or p[3] == q[3] and q[4] == 0)]
+            want[split, name] = (len(x), len(pairs), sum(p[5] < q[5] for p, q in pairs), sum(p[5] == q[5] for p, q in pairs))
+    assert got == want
