@@ -195,6 +195,17 @@ def shared_tokens(docs: DataFrame, classes: Classes, buckets: int, size: int = 4
     return store.written(arrays.groupBy("bucket").applyInArrow(reduce, "token long, sid long, least int"), "shared-tokens")
 
 
+def with_partners(shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """shared without the sets that hold fewer shared tokens of a role than a partner in that role must have, and without the tokens that
+    then one set alone has. A passage that many texts share gives a set some common tokens by chance, but not that many."""
+    for _ in range(rounds):
+        enough = shared.groupBy("sid", "least").agg(F.count(F.lit(1)).alias("held")).where("held >= least").select("sid", "least")
+        kept = shared.join(enough, ["sid", "least"])
+        several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
+        shared = store.written(kept.join(several, "token"), "tokens-with-partners")
+    return shared
+
+
 def groups(shared: DataFrame, sizes: DataFrame, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sid, n_shingles, g): a node's group is its most common token, in parts of about group_shingles; and the matrix (token, g): the union
     of the tokens of every group, of those tokens that more than one group has."""
@@ -357,6 +368,7 @@ def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int
     sizes = table.where("n_shingles > 0").select("sid", "n_shingles").distinct()
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 4_000_000)), size)
+    shared = with_partners(shared)
     nodes, matrix = groups(shared, sizes, group_shingles)
     found = links(opened_sets(docs, table, openings(shared, nodes, matrix, group_shingles), size), threshold)
     roots = components(found.where("b is not null"))
