@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
 from bagframe.functions import scalars as S
 from bagframe.operators.boxes import merge_boxes  # noqa: F401  (part of the geometry operators)
+from bagframe.operators.overlap import intersecting
 
 
 def _next_points(coords: Column) -> Column:
@@ -125,25 +123,10 @@ def shapes_intersect(region: np.ndarray, other: np.ndarray) -> bool:
     return _edges_meet(region, other) or bool(_inside(other[:1], region)[0]) or bool(_inside(region[:1], other)[0])
 
 
-@pandas_udf(BooleanType())
-def _intersects(region: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([shapes_intersect(_points(a), _points(b)) for a, b in zip(region, other)], dtype=bool)
-
-
 def overlapping(annos: DataFrame, regions: DataFrame, cell: float = 1024.0, file: str = "file") -> DataFrame:
-    """(file, region, name, ...) for annotations that intersect a region polygon of the same file.
-
-    Grid cells give candidates, bounding boxes thin them out, and the exact test runs on the rest in Arrow batches.
-    A pair is reported once: it is tested in the first cell both boxes touch.
-    """
-    r = regions.select(F.col(file), F.col("name").alias("region"), F.col("coords").alias("__rc"), bounds("coords").alias("__rb"))
-    a = annos.withColumn("__ab", bounds("coords"))
-    j = in_cells(a, "__ab", cell).join(in_cells(r, "__rb", cell), [file, "cell_x", "cell_y"])
-    ab, rb = F.col("__ab"), F.col("__rb")
-    first = (F.col("cell_x") == F.floor(F.greatest(ab["x0"], rb["x0"]) / cell)) & (
-        F.col("cell_y") == F.floor(F.greatest(ab["y0"], rb["y0"]) / cell))
-    touch = (ab["x0"] <= rb["x1"]) & (rb["x0"] <= ab["x1"]) & (ab["y0"] <= rb["y1"]) & (rb["y0"] <= ab["y1"])
-    return j.where(first & touch).where(_intersects("__rc", "coords")).select(file, "region", *[c for c in annos.columns if c != file])
+    """(file, region, name, ...) for annotations that intersect a region polygon of the same file, as :func:`shapes_intersect` tells for
+    one pair; see :func:`bagframe.operators.overlap.intersecting`."""
+    return intersecting(annos, regions, cell, file)
 
 
 def contour_distances(contours: DataFrame, within: float, file: str = "file", name: str = "name") -> DataFrame:
