@@ -1,8 +1,9 @@
 """Per-key statistics joined back to rows when one key may hold a third of all rows.
 
 Spark's adaptive skew join splits a key only if both sides are plain shuffles; statistics are an aggregate over the same keys,
-so it does not. Here the hot keys are found by the aggregate's own counts. Fewer than SHARE keys can hold more than 1 / SHARE
-of the rows, so their statistics are broadcast, and their rows are dealt to the tasks by content instead of by key.
+so it does not. Here the SHARE keys with the most rows are found by the aggregate's own counts: every key with more than 1 / SHARE of the rows
+is among them. Their statistics, at most SHARE rows, are broadcast, and their rows are dealt to the tasks by content instead of by key.
+The aggregate is computed once: the largest keys and the join read the same shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than 1 / SHARE of the rows is hot.
+#: So many of the largest keys are taken as hot.
 SHARE = 64
 COUNT = "__rows"
 _DEEP = ("array", "map", "struct", "binary", "variant")
@@ -23,12 +24,11 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "i
     ``how``: inner or left. A NULL key matches nothing, as in any equi-join."""
     keys = list(keys)
     values = [c for c in stats.columns if c not in keys and c != COUNT]
-    is_hot = F.col(COUNT) * SHARE > stats.agg(F.sum(COUNT)).scalar()
     packed = F.struct(*[F.col(c) for c in values], F.lit(True).alias("__there"))
-    hot = stats.where(is_hot).select(*keys, packed.alias("__hot"))
+    hot = stats.orderBy(F.col(COUNT).desc()).limit(SHARE).select(*keys, packed.alias("__hot"))
     # 0, but no literal: a literal key would be folded into a condition, and the join would deal by the other keys alone
     zero = F.pmod(F.col(COUNT), F.lit(1)).cast("long")
-    cold = stats.where(~is_hot).select(*keys, zero.alias("__deal"), packed.alias("__cold"))
+    cold = stats.select(*keys, zero.alias("__deal"), packed.alias("__cold"))
     spread = [F.col(c) for c, t in rows.dtypes if c not in keys and not t.startswith(_DEEP)]
     x = rows.join(F.broadcast(hot), keys, "left")
     # rows of hot keys are done; they travel on to any task, the same one again if the task is repeated

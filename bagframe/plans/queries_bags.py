@@ -403,7 +403,7 @@ def _(spark, sf):
     bags = BG.pool_bags(t, DIM).join(t.groupBy("name").agg((F.sum("cls") % 2).cast("int").alias("y"), F.min("vec_id").alias("k")), "name")
     split = F.when(F.col("k") % 5 < 3, "training").when(F.col("k") % 5 == 3, "validation").otherwise("testing")
     bags = bags.withColumn("split", split).withColumn("weight", F.when(F.col("y") == 1, 1.5).otherwise(1.0))
-    return BG.fit_bag_classifier(bags, "y", weight="weight", grid=(0.01, 0.1))[0]
+    return BG.fit_bag_classifier(bags, "y", weight="weight")[0]
 
 
 # ---------------------------------------------------------------- encoders
