@@ -240,14 +240,18 @@ def predict(docs: DataFrame, crf: Crf, key: str = "doc_id") -> DataFrame:
 def recognised(docs: DataFrame, crf: Crf, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose words are recognised: the mean over the words of their best language's
     probability is `least` or more, whatever the languages are, so a text that changes its language stays. A text that is null or has
-    no letter goes."""
+    no letter goes. Repeated rows stay or go alike; an empty table, and a model without labels, give no rows."""
+
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])       # any name will do
+    text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in store.pieces(batches):
-            texts = piece.column("text").fill_null("")
+        for piece in store.pieces(batches, text):
+            texts = piece.column(text).fill_null("")
             label, _, m, w = label_texts(texts, crf)
             n = len(texts)
             sure = np.bincount(w.text, weights=m.max(1), minlength=n) / np.maximum(np.bincount(w.text, minlength=n), 1)
             yield piece.filter(pa.array([y != UNDETERMINED and s >= least for y, s in zip(label, sure)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if crf.labels else docs.limit(0)
+    return rows.mapInArrow(run, rows.schema).toDF(*names) if crf.labels else docs.limit(0)
