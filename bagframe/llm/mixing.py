@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagframe.llm import store
+from bagframe.llm.decontaminate import small
 
 WEIGHTS = (5, 2, 1)
 #: rows per hash bucket or slot chunk inside which a window may order rows
@@ -138,17 +139,18 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     middle = rows.where("size > 0").join(pieces, ["source_no", "start"]).where("first <= floor(size / 2) and floor(size / 2) < last")
     copies = middle.groupBy("source_no", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     equal = rows.where("size > 0").groupBy("source_no", "source", "doc_id", "size").agg(F.count(F.lit(1)).alias("equals"))
+    told = lambda doc_id, source, size: F.xxhash64(doc_id, source, size).alias("told")
     copies = store.written(equal.join(copies, (equal.source_no == copies.source_no) & equal.doc_id.eqNullSafe(copies.doc_id) & (equal.size == copies.size))
-                           .select(equal.source, equal.doc_id, equal.size, "equals", "copies"), "mix-copies", rows.count())
-    columns = [F.col(c) for c in docs.columns]
-    sized = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                        n_words(F.col("text").cast("string")).alias("size"))
-    found = sized.join(copies, sized.doc_id.eqNullSafe(copies.doc_id) & sized.source.eqNullSafe(copies.source) & (sized["size"] == copies["size"]))
-    found = found.select("row", "copies", "equals", sized.doc_id.alias("doc_id"), sized.source.alias("source"), sized["size"].alias("size"))
+                           .select(told(equal.doc_id, equal.source, equal.size), "equals", "copies"), "mix-copies", rows.count())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    size = n_words(F.col("text").cast("string")).cast("long")
+    sized = docs.select(F.struct(*columns).alias("row"), told(F.col("doc_id").cast("long"), F.col("source").cast("string"), size))
+    # three longs a row: 12 MB at the most that are broadcast
+    found = sized.join(small(copies), "told")
     single = found.where("equals = 1").withColumn("times", F.col("copies"))
     if not copies.where("equals > 1").isEmpty():
         # rows that share id, source and size are numbered
-        number = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("row")["text"])) - 1
+        number = F.row_number().over(Window.partitionBy("told").orderBy(F.col("row")["text"])) - 1
         several = found.where("equals > 1").withColumn("number", number)
         times = F.floor(F.col("copies") / F.col("equals")) + (F.col("number") < F.pmod("copies", F.col("equals"))).cast("int")
         single = single.unionByName(several.withColumn("times", times).drop("number"))
