@@ -30,10 +30,14 @@ PARTS[[0x20, 0x09]] = True
 #: Words of the longest phrase, and so the depth of the subtrees.
 DEPTH = 4
 #: Occurrences in a group, about; a group holds at most twice as many suffixes.
-BUDGET = 1_000_000
+BUDGET = 500_000
+#: No group holds much more than one part in so many of the corpus, however small that is.
+_PARTS = 256
 #: Prefixes beyond the budget and borders of groups stay below this number, whatever the corpus size.
 _LISTED = 1_000_000
-_PIECE = 8 << 20
+_PIECE = 4 << 20
+#: Bytes of text whose suffixes a task sorts at once.
+_SORTED = 2 << 20
 _H = [f"h{i}" for i in range(1, DEPTH + 1)]
 
 
@@ -84,7 +88,7 @@ def word_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"h": pa.array(u.view(np.int64)), "lang": piece.column("lang").take(pa.array(w.text[at])), "word": text, "f": pa.array(n)})
 
     found = _rows(docs).mapInArrow(scan, "h long, lang string, word string, f long")
-    return store.written(found.groupBy("h").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("f").alias("f")), "words")
+    return store.written(found.groupBy("h", "lang", "word").agg(F.sum("f").alias("f")), "words")
 
 
 @dataclass
@@ -147,7 +151,7 @@ def _continued(docs: DataFrame, known: Prefixes) -> DataFrame:
 
 def vertical_partition(docs: DataFrame, found: DataFrame, total: int, budget: int = BUDGET) -> Prefixes:
     """The groups of prefixes for `total` occurrences, from the word table `found`."""
-    budget = max(budget, total // _LISTED)
+    budget = max(1, min(budget, total // _PARTS), total // _LISTED)
     out, level = Prefixes(), found.select(F.col("h").alias("key"), F.col("h").alias("h1"), "f")
     fits = []
     for size in range(1, DEPTH + 1):
@@ -183,7 +187,7 @@ def dealt_suffixes(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
     """(group, lang, h1.. as arrays, n): the different suffixes of a batch in each group, and how often the batch has them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in store.pieces(batches, most=_PIECE):
+        for piece in store.pieces(batches, most=_SORTED):
             w, h, number = word_pieces(piece)
             if not len(h):
                 continue
@@ -321,7 +325,7 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = 30, inside: int
     """
     found, word_counts = phrases(docs, least, budget)
     rows = store.written(scored(found, word_counts, least, inside), "scored")
-    buckets = 1 + rows.count() // 200_000
+    buckets = 1 + rows.count() // 10_000
     by = [F.col("score").desc(), F.col("a").desc()]
     last = first_of(rows.select("lang", *_H, "score", "a"), "lang", by, most, buckets, _H).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
     # as many as are asked for, and those that tie with the last
