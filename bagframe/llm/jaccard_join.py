@@ -152,7 +152,7 @@ def set_table(docs: DataFrame, size: int = 4) -> DataFrame:
 
 def shared_tokens(docs: DataFrame, classes: Classes, buckets: int, size: int = 4) -> DataFrame:
     """(token, sid, least): tokens that two or more different sets have. Tokens travel in arrays by bucket, and a bucket is one
-    range of token hashes; `buckets` keeps it to a few million tokens."""
+    range of token hashes; `buckets` keeps it to about a million tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in store.pieces(batches):
@@ -367,7 +367,7 @@ def _rooted(docs: DataFrame, threshold: Fraction, size: int, group_shingles: int
     table = store.written(set_table(docs, size), "sets")
     sizes = table.where("n_shingles > 0").select("sid", "n_shingles").distinct()
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 4_000_000)), size)
+    shared = shared_tokens(docs, Classes(threshold), int(max(32, total // 1_500_000)), size)
     shared = with_partners(shared)
     nodes, matrix = groups(shared, sizes, group_shingles)
     found = links(opened_sets(docs, table, openings(shared, nodes, matrix, group_shingles), size), threshold)
