@@ -130,7 +130,12 @@ def extended(key: np.ndarray, h: np.ndarray) -> np.ndarray:
         return mix(key * np.uint64(0x9FB21C651E98DF25) ^ mix(h + np.uint64(0x165667B19E3779F9)))
 
 
-def _continued(docs: DataFrame, known: Prefixes) -> DataFrame:
+def _files(total: int) -> int:
+    """Files of a table that grows with `total` occurrences."""
+    return 1 + total // 1_000_000
+
+
+def _continued(docs: DataFrame, known: Prefixes, total: int) -> DataFrame:
     """(key, h1.., f) of the prefixes one word longer than the longest that `known` has, where those are beyond the budget."""
     size = len(known.keys) + 1
 
@@ -146,7 +151,7 @@ def _continued(docs: DataFrame, known: Prefixes) -> DataFrame:
 
     names = _H[:size]
     found = _rows(docs).mapInArrow(scan, f"key long, {', '.join(f'{c} long' for c in names)}, f long")
-    return store.written(found.groupBy("key").agg(*[F.min(c).alias(c) for c in names], F.sum("f").alias("f")), "prefixes")
+    return store.written(found.groupBy("key").agg(*[F.min(c).alias(c) for c in names], F.sum("f").alias("f")), "prefixes", files=_files(total))
 
 
 def vertical_partition(docs: DataFrame, found: DataFrame, total: int, budget: int = BUDGET) -> Prefixes:
@@ -168,7 +173,7 @@ def vertical_partition(docs: DataFrame, found: DataFrame, total: int, budget: in
         out.keys.append(np.array([r["key"] for r in hot], np.int64).view(np.uint64))
         out.counts.append(np.array([r["f"] for r in hot], np.int64))
         out.words.append(np.array([[r[c] for c in _H[:size]] for r in hot], np.int64).view(np.uint64))
-        level = _continued(docs, out)
+        level = _continued(docs, out, total)
     bits = max(10, int(16 * total // budget).bit_length())
     cell = F.expr(f"shiftrightunsigned(key, {64 - bits})").alias("cell")
     cells = fits[0].unionByName(fits[1]) if len(fits) > 1 else fits[0]
@@ -278,7 +283,7 @@ def phrases(docs: DataFrame, least: int = 30, budget: int = BUDGET) -> tuple[Dat
         known = docs.sparkSession.createDataFrame(rows, _PHRASE.split(", ", 1)[1])
         named = known.join(found.select(F.col("h").alias("h1"), "lang"), "h1").select(*trees.columns)
         trees = trees.unionByName(named)
-    return store.written(trees, "phrases"), found
+    return store.written(trees, "phrases", files=_files(total)), found
 
 
 def _shifted(m: int, first: int) -> Column:
