@@ -88,6 +88,19 @@ def test_yates_chi_square_and_p(spark):
         assert math.isclose(chi2_sf(stat, dof), p, rel_tol=1e-5)
 
 
+def _cells(spark, low_neg, high_neg, low_pos, high_pos):
+    """A table of the given size by label and score, without a row object per row."""
+    ends = np.cumsum([low_neg, high_neg, low_pos, high_pos])
+    at = F.when(F.col("id") < int(ends[0]), 0).when(F.col("id") < int(ends[1]), 1).when(F.col("id") < int(ends[2]), 2).otherwise(3)
+    return spark.range(int(ends[3])).select((at >= 2).cast("long").alias("y"), F.when(at % 2 == 1, 0.9).otherwise(0.1).alias("s"))
+
+
+def test_report_of_a_large_table(spark):
+    got = B.binary_report(_cells(spark, 100_000, 98_000, 99_000, 99_500), "y", "s", threshold=0.5).first()
+    assert (got["tn"], got["fp"], got["fn"], got["tp"]) == (100_000, 98_000, 99_000, 99_500)
+    assert 0 < got["p_thresh"] < 1 and math.isclose(got["p_thresh"], math.erfc(math.sqrt(got["chi2"] / 2)), rel_tol=1e-9)
+
+
 def test_kappa_of_the_six_labels(spark):
     t, p = [0, 0, 1, 1, 2, 3], [3, 0, 2, 1, 3, 2]
     df = spark.createDataFrame(list(zip(t, p)), "t int, p int")
