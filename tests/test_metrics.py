@@ -95,6 +95,18 @@ def _cells(spark, low_neg, high_neg, low_pos, high_pos):
     return spark.range(int(ends[3])).select((at >= 2).cast("long").alias("y"), F.when(at % 2 == 1, 0.9).otherwise(0.1).alias("s"))
 
 
+def test_p_value_of_a_large_table(spark):
+    # the product of the four margins passes 64 bits
+    obs = np.array([[100_000, 98_000], [99_000, 99_500]])
+    got = B.chi_square_test(_cells(spark, *obs.ravel().tolist()), "y", "s", 0.5).first()
+    exp = obs.sum(1, keepdims=True) * obs.sum(0, keepdims=True) / obs.sum()
+    want = ((np.abs(obs - exp) - 0.5) ** 2 / exp).sum()
+    assert math.isclose(got["statistic"], want, rel_tol=1e-12) and got["dof"] == 1
+    assert math.isclose(got["p"], math.erfc(math.sqrt(want / 2)), rel_tol=1e-9)
+    one_sided = B.chi_square_test(_cells(spark, 5, 0, 7, 0), "y", "s", 0.5).first()
+    assert (one_sided["statistic"], one_sided["dof"], one_sided["p"]) == (0.0, 0, 1.0)
+
+
 def test_report_of_a_large_table(spark):
     got = B.binary_report(_cells(spark, 100_000, 98_000, 99_000, 99_500), "y", "s", threshold=0.5).first()
     assert (got["tn"], got["fp"], got["fn"], got["tp"]) == (100_000, 98_000, 99_000, 99_500)
