@@ -216,14 +216,20 @@ def add_cohort(df: DataFrame, other: DataFrame, spec: CohortSpec, same_cols: boo
     return concat(df, other)
 
 
+def _keys(right: DataFrame, key: str) -> DataFrame:
+    """The keys of ``right`` as the hashed side of a semi or anti join. A task then holds each of its distinct keys once and lets the left rows
+    pass, whereas a merge join sorts all rows of both lists, and a broadcast, chosen by file sizes, would hold a whole list."""
+    return right.select(key).hint("shuffle_hash")
+
+
 def intersection(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left rows (duplicates kept) whose key is in right."""
-    return left.join(right.select(key), key, "left_semi")
+    """Left rows (duplicates kept) whose key is in right. No list is sorted: see :func:`_keys`."""
+    return left.join(_keys(right, key), key, "left_semi")
 
 
 def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left rows (duplicates kept) whose key is not in right; a NULL key is never in right."""
-    return left.join(right.select(key), key, "left_anti")
+    return left.join(_keys(right, key), key, "left_anti")
 
 
 def distinct_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

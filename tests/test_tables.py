@@ -206,3 +206,16 @@ def test_balanced_folds_beat_the_average(spark, sf):
     best = score(SP.balanced_folds(c, BINARY, ["n_chars"], 3, iterations=15))
     others = [score(SP.cv_folds(c, BINARY, 3, seed=s)) for s in range(3)]
     assert best <= np.mean(others) + 1e-9
+
+
+def test_surpluses_keep_duplicates_and_sort_nothing(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")] + [(9, "hot")] * 50, "key long, v string")
+    right = spark.createDataFrame([(1,)] * 20 + [(3,), (3,), (None,)], "key long")
+    both, only_left, only_right = C.surpluses(left, right, "key")
+    assert sorted(r.v for r in both.collect()) == ["a", "b"]
+    assert sorted(r.v for r in only_left.collect()) == ["c", "d"] + ["hot"] * 50
+    assert sorted((r.key for r in only_right.collect()), key=str) == [3, 3, None]
+    # a merge join sorts all rows of both lists in its tasks, a broadcast holds a whole list
+    for d in (both, only_left, only_right):
+        plan = d._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan and "Broadcast" not in plan
