@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bagframe.operators import binary as B
-from bagframe.operators.permute import WIDTH, network, permuted_statistic, slots, with_partner
+from bagframe.operators.permute import BLOCK_VALUES, SHELF, WIDTH, network, permuted_statistic, slots, with_partner
 
 
 def _partners(n: int, k: int, seed: int = 1) -> list[int]:
@@ -72,3 +72,14 @@ def test_p_values_at_both_ends(spark):
     strong = B.permutation_test(rows, "a", "c", "name", F.corr, 200).first()
     weak = B.permutation_test(rows, "a", "b", "name", F.corr, 200).first()
     assert strong["p"] == 1 / 201 and weak["p"] > 0.01 and strong["n"] == 150
+
+
+def test_rows_travel_once_per_shelf_of_blocks(spark):
+    rows = slots(_rows(spark), "name", blocks=4)
+    one = {r.perm: r.s for r in permuted_statistic(rows, F.col("a"), F.col("b"), F.lit(True), F.corr("a", "b"), 30).collect()}
+    # 14 blocks on 5 shelves, the last of each not full, and all on one
+    for shelf in (3, 16):
+        many = {r.perm: r.s for r in permuted_statistic(rows, F.col("a"), F.col("b"), F.lit(True), F.corr("a", "b"), 30, block_values=17, deals=3, shelf=shelf).collect()}
+        assert many.keys() == one.keys() and all(math.isclose(one[k], many[k], abs_tol=1e-12) for k in one)
+    # four million rows have one shelf by default: no row tries its permutations twice
+    assert BLOCK_VALUES * SHELF >= 1 << 22
