@@ -67,6 +67,16 @@ def test_no_order_and_no_shuffle_per_permutation(spark):
     assert below and "Window" not in above and "Sort" not in above and "Join" not in above and "partial_corr" in above
 
 
+def test_permutations_of_a_small_table_use_all_partitions(spark, tmp_path):
+    slots(_rows(spark), "name", blocks=4).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))                   # one file, which a broadcast join would read in one task
+    met = permuted_statistic(rows, F.col("a"), F.col("b"), F.lit(True), F.corr("a", "b"), 20)
+    assert len(met.collect()) == 20
+    plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    steps = re.findall(r"SortMergeJoin|BroadcastHashJoin|AQEShuffleRead|REPARTITION_BY_NUM", plan)
+    assert "BroadcastHashJoin" not in steps and steps[steps.index("SortMergeJoin") + 1] == "REPARTITION_BY_NUM"      # not coalesced
+
+
 def test_p_values_at_both_ends(spark):
     rows = _rows(spark, 150).withColumn("c", F.col("a") + F.col("b") / 10)
     strong = B.permutation_test(rows, "a", "c", "name", F.corr, 200).first()
