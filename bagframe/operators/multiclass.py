@@ -14,6 +14,7 @@ from bagframe.functions.stats import ratio
 from bagframe.operators import binary as B
 from bagframe.operators.groups import Levels, Sizes, in_groups, memberships
 from bagframe.operators.spec import CohortSpec, TrainType
+from bagframe.session import cut_lineage
 
 
 def class_scores(df: DataFrame, spec: CohortSpec, keep: Sequence[str] = (), outs: Sequence[str] | None = None) -> DataFrame:
@@ -347,6 +348,9 @@ def evaluate_survival(df: DataFrame, spec: CohortSpec, score: str, sizes: Mappin
     from bagframe.operators.survival import concordance, concordance_between, harrell
 
     split, counts = spec.split_col, ["comparable", "concordant", "tied"]
+    # read many times below: whatever made the table is run once
+    categories = [spec.category(n) for n in levels if spec.category(n) in df.columns]
+    df = cut_lineage(df.select(*dict.fromkeys([split, *categories, *spec.target_cols, spec.duration_col, spec.event_col, score])))
     members = memberships(df, spec, sizes, levels)
     whole = concordance(df, spec.duration_col, spec.event_col, score, [split]).drop("cind")
     out = df.groupBy(split).agg(F.count(F.lit(1)).alias("n")).join(whole, split, "left")

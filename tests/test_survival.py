@@ -179,3 +179,14 @@ def test_survival_groups_are_sums_of_cells(spark):
             pairs = [(p, q) for p in x for q in x if p[4] == 1 and (p[3] < q[3] or p[3] == q[3] and q[4] == 0)]
             want[split, name] = (len(x), len(pairs), sum(p[5] < q[5] for p, q in pairs), sum(p[5] == q[5] for p, q in pairs))
     assert got == want
+
+
+def test_category_groups_make_their_table_once(spark):
+    from bagframe.operators import multiclass as M
+    from bagframe.operators.spec import CohortSpec, TrainType
+
+    df = spark.range(60).selectExpr("if(id % 3 = 0, 'test', 'train') as split", "concat('c', id % 2) as category", "cast(id % 7 as double) as duration",
+                                    "cast(id % 2 as int) as event", "cast(id * 13 % 17 as double) as risk").distinct()
+    out = M.evaluate_survival(df, CohortSpec(TrainType.SURV, ("event", "duration")), "risk", (1,))
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.split, r.category_group) for r in out.collect()} == {(s, g) for s in ("test", "train") for g in ("all", "c0", "c1")}
