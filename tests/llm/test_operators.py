@@ -91,6 +91,41 @@ def test_mixing_symbol_probabilities_sum_to_one():
     assert whole[0] == whole[3] and np.isfinite(whole).all()
 
 
+def test_mixing_learns_from_all_training_texts(spark):
+    """Every training text is in the centres, in the tables and in the weights, and its weights come from the other fold's counts."""
+    from bagframe.llm import context_mixing as cm
+    from bagframe.llm import unigram
+
+    texts = [f"word{i} alpha beta {i * 7919 % 101} gamma\nline {i}" for i in range(900)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = unigram.rows_of(docs, F.lit(True))
+    training = cm._training(rows)
+    assert bag(r.text for r in training.collect()) == bag(t or "" for t in texts)
+    centres = cm._centres(rows)
+    x = cm.profiles(*(lambda d, o: (cm.LOWER[d], o))(*cm.buffers(pa.array([t or "" for t in texts]))))
+    of = np.argmax(x @ centres.T - 0.5 * (centres ** 2).sum(1), 1)
+    assert centres.shape == (cm.SORTS, 256) and (np.bincount(of, minlength=cm.SORTS) > 0).sum() > 1
+    code = cm.Code.huffman(np.arange(257))
+    tables = cm._train_tables(training, code, centres)
+    folds = {r.text: r.fold for r in training.collect()}
+    assert set(folds.values()) == set(range(cm.FOLDS))
+    for t in (texts[3], texts[401], texts[899]):
+        slots, _, _ = cm.decisions(cm.units(pa.array([t]), centres), slice(0, 99), code)
+        assert (tables[0][slots] & 7).min() > 0                                   # each text was counted
+        assert (tables[1 + folds[t]][slots[cm.K - 1]] & 7).min() == 0             # and not in the tables its weights are fitted by
+    w = cm._weights(training, code, centres, tables)
+    model = [cm.Model(code, tables[1 + f], w, centres) for f in range(cm.FOLDS)]
+    # least cost over all texts: no step is left for the gates with most decisions
+    bend, aim = np.zeros((cm.GATES, cm.K, cm.K)), np.zeros((cm.GATES, cm.K))
+    for f in range(cm.FOLDS):
+        u = cm.units(pa.array([t or "" for t in texts if folds[t or ""] == f]), centres)
+        times = np.bincount(u.kind, minlength=len(u.start)).astype(np.float32)
+        more, further = model[f].newton(u, slice(0, len(u.start)), times, w)
+        bend, aim = bend + more, aim + further
+    often = np.trace(bend, axis1=1, axis2=2)
+    assert np.abs(cm.solved(bend, aim) - w)[often > often.max() / 20].max() < 0.1
+
+
 def test_mixing_empty(empty):
     from bagframe.llm.context_mixing import score_texts
 
