@@ -126,6 +126,37 @@ def test_mixing_learns_from_all_training_texts(spark):
     assert np.abs(cm.solved(bend, aim) - w)[often > often.max() / 20].max() < 0.1
 
 
+def test_mixing_works_shared_beginnings_out_once(monkeypatch):
+    """Words that begin alike share steps, with the same slots, sums and counts as one word at a time; pieces gathered are as one piece."""
+    from bagframe.llm import context_mixing as cm
+
+    texts = pa.array(["Walking walked walker-walkers\n", "walk walking abcdefghijkl abcdefghijkm", "", None, "walk"] * 3)
+    centres = np.zeros((1, 256), np.float32)
+    rng = np.random.default_rng(5)
+    code, price = cm.Code.huffman(rng.integers(0, 50, 257)), rng.uniform(0, 1, cm.TOTAL)
+    u = cm.units(texts, centres)
+    slots, bit, steps = cm.decisions(u, slice(0, len(u.start)), code)
+    assert len(steps.bounds) - 1 < (u.size + u.ends).sum() * 0.8
+    alone = [cm.decisions(u, slice(i, i + 1), code) for i in range(len(u.start))]
+    cost = lambda s, b: price[s].sum(0) * (1 + b)
+    assert np.allclose(steps.sums(cost(slots, bit)), [cost(s, b).sum() for s, b, _ in alone])
+    often = np.bincount(u.kind)
+    want = np.bincount(np.concatenate([2 * s[0].astype(int) + b for s, b, _ in alone]), weights=np.concatenate([np.full(len(b), often[i]) for i, (_, b, _) in enumerate(alone)]))
+    assert np.array_equal(np.bincount(2 * slots[0].astype(int) + bit, weights=steps.times(often)), want)
+    assert sorted(np.concatenate(list(cm.alike(u)))) == list(range(len(u.start)))
+    monkeypatch.setattr(cm, "SMALL", 40)
+    batch = pa.RecordBatch.from_pydict({"text": texts.fill_null(""), "fold": pa.array(np.zeros(len(texts), np.int32))})
+    for most in (4 << 20, 10):
+        monkeypatch.setattr(cm, "GATHERED", most)
+        found = {}
+        for fold, g, times in cm._gathered(iter([batch]), centres):
+            for h, t, a, n in zip(g.hash.tolist(), times.tolist(), g.start, g.size):
+                word, before = g.data[a: a + n].tobytes(), found.get(h, (None, 0))
+                assert fold == 0 and before[0] in (None, word)
+                found[h] = (word, before[1] + t)
+        assert found == {h: (u.data[a: a + n].tobytes(), t) for h, a, n, t in zip(u.hash.tolist(), u.start, u.size, often.tolist())}
+
+
 def test_mixing_empty(empty):
     from bagframe.llm.context_mixing import score_texts
 
