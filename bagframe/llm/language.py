@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 BITS = 16
 AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3)
+#: Bytes of text labelled at once; features and distributions of their words take some dozens of times as much.
+PIECE = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -220,20 +222,23 @@ def label_texts(texts: pa.Array, crf: Crf) -> tuple[list[str], np.ndarray, np.nd
     return label, np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0), m, w
 
 
+def labelled(batches: Iterator[pa.RecordBatch], crf: Crf, column: str = "text") -> Iterator[tuple]:
+    """(piece, labels, scores, distributions of the words, words): `label_texts` of the batches, a piece of bounded size at a time."""
+    for piece in store.pieces(batches, column, PIECE):
+        yield piece, *label_texts(piece.column(column).fill_null(""), crf)
+
+
 def predict(docs: DataFrame, crf: Crf, key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every row: the label with the largest mean probability over the words (ties: the first by name).
     A null text, a text without a letter, and a model without labels give `und` and 0. Only key and text are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in store.pieces(batches):
-            texts = piece.column("text").fill_null("")
-            if crf.labels:
-                label, score, _, _ = label_texts(texts, crf)
-            else:
-                label, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        for piece, label, score, _, _ in labelled(batches, crf):
             yield pa.RecordBatch.from_pydict({"key": piece.column("key"), "lang_pred": pa.array(label, pa.string()), "score": pa.array(score)})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    if not crf.labels:
+        return rows.select(F.col("key").alias(key), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.mapInArrow(run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
@@ -247,10 +252,8 @@ def recognised(docs: DataFrame, crf: Crf, least: float = 0.5) -> DataFrame:
     text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in store.pieces(batches, text):
-            texts = piece.column(text).fill_null("")
-            label, _, m, w = label_texts(texts, crf)
-            n = len(texts)
+        for piece, label, _, m, w in labelled(batches, crf, text):
+            n = piece.num_rows
             sure = np.bincount(w.text, weights=m.max(1), minlength=n) / np.maximum(np.bincount(w.text, minlength=n), 1)
             yield piece.filter(pa.array([y != UNDETERMINED and s >= least for y, s in zip(label, sure)], pa.bool_()))
 

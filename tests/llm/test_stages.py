@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 
 
@@ -77,6 +78,25 @@ def test_recognised_keeps_even_mixes(spark, sf):
     assert sorted(r.doc_id for r in recognised(mixed, crf).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_labelling_a_large_batch_in_little_memory():
+    import tracemalloc
+
+    from bagframe.llm.language import Crf, labelled
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=300)) for _ in range(3000)] + [None, ""]      # 5.8 MB
+    batch = pa.RecordBatch.from_pydict({"body": texts})
+    tracemalloc.start()
+    try:
+        sizes = [(piece.num_rows, len(label), len(score), len(m) == len(w.start)) for piece, label, score, m, w in labelled(iter([batch]), Crf.empty(["de", "en", "fr"]), "body")]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, *_ in sizes) == len(texts) and all(n == a == b and same for n, a, b, same in sizes)
+    assert peak < 80e6                                          # 123 MB with pieces of 4 MB
+
+
 def test_proximity_over_inserted_and_unknown_words(spark):
     from bagframe.llm.decontaminate import contamination
 
