@@ -171,12 +171,13 @@ def train(texts: list[str], labels: list[str], spans: int = 12, span_words: tupl
     return crf
 
 
-def labelled_sample(docs: DataFrame, per_label: int = 300) -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, per_label: int = 300, most: int | None = None) -> list[tuple[str, str]]:
     """(text, lang) of about `per_label` documents of every label, fewer if a label has fewer: at most `per_label` times the number of
     labels, which is the bound of what the driver holds. Chosen by a hash of id and text, so a rerun takes the same ones and a null id
-    is an id; rows equal in id, text and label are one example."""
+    is an id; rows equal in id, text and label are one example. `most` is a bound of the rows of docs, if the caller knows one: each
+    file of a task costs the executor a process of its own, so the keys go into as few as they fill."""
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"), "lang", "text")
-    place = store.written(keyed.select("key", "lang").distinct(), "labelled")
+    place = store.written(keyed.select("key", "lang").distinct(), "labelled", most)
     counts = place.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 31)) / F.lit(float(1 << 31))
     picked = place.join(counts, "lang").withColumn("place", unit * F.col("n"))
@@ -187,7 +188,7 @@ def labelled_sample(docs: DataFrame, per_label: int = 300) -> list[tuple[str, st
 
 def fit(docs: DataFrame, per_label: int = 300, **settings) -> Crf:
     """Train on labelled documents (doc_id, text, lang); rows without a text or a label are no examples."""
-    rows = labelled_sample(docs.where("text is not null and lang is not null"), per_label)
+    rows = labelled_sample(docs.where("text is not null and lang is not null"), per_label, docs.count())
     return train([t for t, _ in rows], [y for _, y in rows], **settings)
 
 

@@ -62,6 +62,22 @@ def test_labelled_sample_with_more_null_ids_than_its_size(spark):
     assert any(t in null for t, _ in got) and any(t not in null for t, _ in got)
 
 
+def test_labelled_keys_go_into_few_files(spark, monkeypatch):
+    from bagframe.llm import language
+
+    kept, write = [], language.store.written
+    monkeypatch.setattr(language.store, "written", lambda *a: kept.append(write(*a)) or kept[-1])
+    rows = [(i, f"{word} text of number {i}", y) for i in range(100) for y, word in (("en", "the"), ("de", "der"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        assert language.fit(docs, per_label=20, epochs=1).labels == ["de", "en"]
+    finally:
+        spark.conf.unset(coalesce)
+    assert [(k.count(), len(k.inputFiles())) for k in kept] == [(200, 1)]
+
+
 def test_recognised_keeps_even_mixes(spark, sf):
     from bagframe.llm.language import fit, predict, recognised
     from bagframe.llm.queries import importable
