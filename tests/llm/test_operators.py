@@ -157,6 +157,93 @@ def test_mixing_works_shared_beginnings_out_once(monkeypatch):
         assert found == {h: (u.data[a: a + n].tobytes(), t) for h, a, n, t in zip(u.hash.tolist(), u.start, u.size, often.tolist())}
 
 
+def _mixing_model(rng, cm, bits=16):
+    code = cm.Code.huffman(rng.integers(0, 50, 257))
+    stored = lambda n: ((rng.integers(-60, 60, n) << 3) | rng.integers(0, 8, n)).astype(np.int16)
+    across = cm.Across(bits, stored(2 << bits), rng.uniform(0, 0.6, (cm.GATES, cm.L)).astype(np.float32))
+    return cm.Model(code, stored(cm.TOTAL), rng.uniform(0, 0.5, (cm.GATES, cm.K)).astype(np.float32), np.zeros((1, 256), np.float32), across)
+
+
+def test_mixing_contexts_reach_over_white_space():
+    """Two symbols share a slot if and only if the last bytes, or the word before and the bytes since the white space, are the same."""
+    from bagframe.llm import context_mixing as cm
+
+    texts = ["The cat sat.\n The  cat sat on the cat", "", "a cat sat", "the cat\tsat", " ", "abcdefghij abcdefghij abcdefghix"]
+    u = cm.units(pa.array(texts), np.zeros((1, 256), np.float32))
+    got = cm.places(u, np.arange(len(u.kind)), cm.Code.huffman(np.arange(257)), 30)
+    near, word = [], []
+    for t in texts:
+        t = brute.low(t)
+        for i in range(len(t) + 1):
+            near.append((t[max(0, i - cm.REACH): i], min(i, cm.REACH)))
+            cut = max((j + 1 for j in range(i) if t[j] in " \t\n"), default=0)
+            word.append((next(iter(brute.SPACED.findall(t[:cut])[::-1]), None), t[cut:i]))
+    for slots, want in zip(got.slots, (near, word)):
+        assert len(slots) == len(want) and len(set(slots.tolist())) == len(set(want)) == len(set(zip(slots.tolist(), want)))
+
+
+def test_mixing_second_layer_sums_to_one(monkeypatch):
+    from bagframe.llm import context_mixing as cm
+
+    monkeypatch.setattr(cm, "LOWER", np.arange(256, dtype=np.uint8))          # else capitals are symbols that no text has
+    model, prefix, total = _mixing_model(np.random.default_rng(8), cm), b"a word be", 0.0
+    for symbol in range(257):
+        data = prefix if symbol == cm.END else prefix + bytes([symbol])
+        u = cm.units(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)), model.centres)
+        x, gate, _ = model.inputs(u, np.arange(len(u.kind)), cm.Seen().steps(model, u))
+        z = (x * model.across.weights[gate].T).sum(0)
+        before = model.code.count[list(prefix)].sum()
+        own = z[before: before + model.code.count[symbol]]
+        total += math.exp(-np.log1p(np.exp(-own)).sum())
+    assert abs(total - 1) < 1e-4
+
+
+def test_mixing_weights_follow_the_coding_errors(monkeypatch):
+    """Block by block and per gate, against a plain loop; a text costs the same alone, with others, and in any order."""
+    from bagframe.llm import context_mixing as cm
+
+    rng = np.random.default_rng(9)
+    model = _mixing_model(rng, cm)
+    monkeypatch.setattr(cm, "LANES", 3)
+    monkeypatch.setattr(cm, "GROWTH", 4)                          # blocks grow early
+    texts = [" ".join(rng.choice(["one", "two", "three", "\n", "seventeen"], n)) for n in (100, 3, 41, 0, 9, 8, 300)] + [None]
+    got = model.bits(pa.array(texts))
+    assert np.allclose(got, [model.bits(pa.array([t], pa.string()))[0] for t in texts]) and np.allclose(got[::-1], model.bits(pa.array(texts[::-1])))
+    for text, bits in zip(texts, got):
+        u = cm.units(pa.array([text], pa.string()), model.centres)
+        known, n, done, total = cm.Seen().steps(model, u), len(u.kind), 0, 0.0
+        weights, trust = model.across.weights.astype(float), cm.TRUST
+        while done < n:
+            step = max(cm.BLOCK, done // cm.GROWTH)
+            x, gate, _ = model.inputs(u, np.arange(done, min(done + step, n)), known)
+            z = (x * weights[gate].T).sum(0)
+            cost = np.array([np.log1p(np.exp(-f * z)).sum() for f in cm.FACTORS.astype(float)])
+            share = np.exp(cost.min() - cost) * trust
+            total += cost.min() - math.log(share.sum())
+            back = cm.SHARE * min(step / cm.SPAN, 1)
+            trust = (1 - back) * share / share.sum() + back * cm.TRUST
+            for g in range(cm.GATES):
+                weights[g] += cm.RATE * min(cm.BLOCK / step, 1) * (x / (1 + np.exp(z)))[:, gate == g].sum(1)
+            done += step
+        assert abs(total / math.log(2) + math.log2(cm.SORTS) - bits) < 1e-3 * max(bits, 1)
+    monkeypatch.setattr(cm, "RATE", 0.0)
+    still = model.bits(pa.array(texts))
+    assert abs(still[0] - got[0]) > 1 and np.allclose(still[[1, 3]], got[[1, 3]])           # one block: nothing to follow yet
+
+
+def test_mixing_word_costs_by_the_word_before(spark):
+    """Before, a word cost the same behind any word."""
+    from bagframe.llm.context_mixing import score_texts
+
+    rng = np.random.default_rng(3)
+    pair = {"red": "apple", "blue": "whale", "old": "stone", "tall": "tower"}
+    texts = [" ".join(f"{w} {pair[w]}" for w in rng.choice(list(pair), 30)) for _ in range(200)]
+    fits, mixed = "red apple blue whale old stone tall tower", "red stone blue tower old apple tall whale"
+    docs = spark.createDataFrame([*enumerate(texts), (1000, fits), (1001, mixed)], "doc_id long, text string").repartition(3)
+    score = {r.doc_id: r.score for r in score_texts(docs, F.col("doc_id") < 1000).collect()}
+    assert len(score) == 202 and score[1000] > score[1001] + 4
+
+
 def test_mixing_empty(empty):
     from bagframe.llm.context_mixing import score_texts
 
