@@ -158,7 +158,7 @@ def test_mixing_works_shared_beginnings_out_once(monkeypatch):
 
 
 def _mixing_model(rng, cm, bits=16):
-    code = cm.Code.huffman(rng.integers(0, 50, 257))
+    code = cm.Code.huffman(rng.integers(0, 50, (257, 257)))
     stored = lambda n: ((rng.integers(-60, 60, n) << 3) | rng.integers(0, 8, n)).astype(np.int16)
     across = cm.Across(bits, stored(2 << bits), rng.uniform(0, 0.6, (cm.GATES, cm.L)).astype(np.float32))
     return cm.Model(code, stored(cm.TOTAL), rng.uniform(0, 0.5, (cm.GATES, cm.K)).astype(np.float32), np.zeros((1, 256), np.float32), across)
@@ -170,7 +170,9 @@ def test_mixing_contexts_reach_over_white_space():
 
     texts = ["The cat sat.\n The  cat sat on the cat", "", "a cat sat", "the cat\tsat", " ", "abcdefghij abcdefghij abcdefghix"]
     u = cm.units(pa.array(texts), np.zeros((1, 256), np.float32))
-    got = cm.places(u, np.arange(len(u.kind)), cm.Code.huffman(np.arange(257)), 30)
+    code = cm.Code.huffman(np.arange(257))
+    got, decided = cm.places(u, np.arange(len(u.kind)), cm.Seen().known(u, code, 29), 29)
+    assert decided.tolist() == [code.count[b] for t in texts for b in (*brute.low(t).encode(), cm.END)]
     near, word = [], []
     for t in texts:
         t = brute.low(t)
@@ -178,10 +180,29 @@ def test_mixing_contexts_reach_over_white_space():
             near.append((t[max(0, i - cm.REACH): i], min(i, cm.REACH)))
             cut = max((j + 1 for j in range(i) if t[j] in " \t\n"), default=0)
             word.append((next(iter(brute.SPACED.findall(t[:cut])[::-1]), None), t[cut:i]))
-    for slots, want in zip(got.slots, (near, word)):
+    for slots, want in zip(got.T, (near, word)):
         assert len(slots) == len(want) and len(set(slots.tolist())) == len(set(want)) == len(set(zip(slots.tolist(), want)))
 
 
+def test_mixing_codes_by_the_byte_before(spark):
+    from bagframe.llm import context_mixing as cm
+    from bagframe.llm import unigram
+
+    texts = ["Ab ab\nb", "", None, " a", "abc abd é"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string").repartition(3)
+    pairs = cm._pairs(cm._byte_table(unigram.rows_of(docs, F.lit(True))))
+    want = Counter()
+    for t in texts * 3:
+        b = brute.low(t).encode()
+        for i in range(len(b) + 1):
+            want[256 if i == 0 or b[i - 1] in b" \n" else b[i - 1], b[i] if i < len(b) else cm.END] += 1
+    assert {tuple(k.tolist()): pairs[tuple(k)] for k in np.argwhere(pairs)} == want
+    code = cm.Code.huffman(pairs)
+    for row in set(code.row.tolist()):
+        assert abs((0.5 ** code.count[row: row + 257]).sum() - 1) < 1e-9
+    assert code.count[code.row[ord("a")] + ord("b")] < code.count[code.row[256] + ord("b")]
+
+
 def test_mixing_second_layer_sums_to_one(monkeypatch):
     from bagframe.llm import context_mixing as cm
 
@@ -190,10 +211,11 @@ def test_mixing_second_layer_sums_to_one(monkeypatch):
     for symbol in range(257):
         data = prefix if symbol == cm.END else prefix + bytes([symbol])
         u = cm.units(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)), model.centres)
-        x, gate, _ = model.inputs(u, np.arange(len(u.kind)), cm.Seen().steps(model, u))
+        x, gate, _ = model.inputs(u, np.arange(len(u.kind)), cm.Seen().known(u, model.code, 16, model))
         z = (x * model.across.weights[gate].T).sum(0)
-        before = model.code.count[list(prefix)].sum()
-        own = z[before: before + model.code.count[symbol]]
+        behind = model.code.row[[256 if i == 0 or prefix[i - 1] == 32 else prefix[i - 1] for i in range(len(prefix) + 1)]]
+        before = model.code.count[behind[:-1] + list(prefix)].sum()
+        own = z[before: before + model.code.count[behind[-1] + symbol]]
         total += math.exp(-np.log1p(np.exp(-own)).sum())
     assert abs(total - 1) < 1e-4
 
@@ -211,7 +233,7 @@ def test_mixing_weights_follow_the_coding_errors(monkeypatch):
     assert np.allclose(got, [model.bits(pa.array([t], pa.string()))[0] for t in texts]) and np.allclose(got[::-1], model.bits(pa.array(texts[::-1])))
     for text, bits in zip(texts, got):
         u = cm.units(pa.array([text], pa.string()), model.centres)
-        known, n, done, total = cm.Seen().steps(model, u), len(u.kind), 0, 0.0
+        known, n, done, total = cm.Seen().known(u, model.code, 16, model), len(u.kind), 0, 0.0
         weights, trust = model.across.weights.astype(float), cm.TRUST
         while done < n:
             step = max(cm.BLOCK, done // cm.GROWTH)
