@@ -184,6 +184,18 @@ def test_mixing_contexts_reach_over_white_space():
         assert len(slots) == len(want) and len(set(slots.tolist())) == len(set(want)) == len(set(zip(slots.tolist(), want)))
 
 
+def test_mixing_first_layer_knows_all_bytes_since_the_white_space():
+    """Words that differ only more than eight bytes back are told apart by the longest context, and share the others."""
+    from bagframe.llm import context_mixing as cm
+
+    code = cm.Code.huffman(np.arange(257))
+    u = cm.units(pa.array(["abcdefghijkl", "zbcdefghijkl"]), np.zeros((1, 256), np.float32))
+    found = [cm.decisions(u, np.array(some), code) for some in ([0], [1], [0, 1])]
+    ends = [slots[:, steps.bounds[steps.of[-1]]: steps.bounds[steps.of[-1] + 1]] for slots, _, steps in found]
+    assert cm.K == 4 and ends[0].shape == (4, code.count[cm.END])
+    assert (ends[0][:3] == ends[1][:3]).all() and (ends[0][3] != ends[1][3]).all() and len(found[2][2].bounds) - 1 == 2 * 13
+
+
 def test_mixing_codes_by_the_byte_before(spark):
     from bagframe.llm import context_mixing as cm
     from bagframe.llm import unigram
